@@ -21,9 +21,10 @@ def display_value(c: Column) -> Column:
 def display_number(c: Column) -> Column:
     """Text of a numeric cell; whole numbers lose their decimal point."""
     whole = c.cast("decimal(38,0)").cast("string")
-    return F.when(c.isNull(), F.lit("")).otherwise(
-        F.when(c == F.floor(c), whole).otherwise(c.cast("string"))
-    )
+    # Large fractions in plain digits, not in exponent form.
+    large = F.rtrim(c.cast("decimal(38,10)").cast("string"), F.lit("0"))
+    broken = F.when(F.abs(c) >= 1e7, large).otherwise(c.cast("string"))
+    return F.coalesce(F.when(c == F.floor(c), whole).otherwise(broken), F.lit(""))
 
 
 def text_datetime(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest table that is sent to every executor, in bytes.
@@ -15,7 +15,7 @@ SALTS = 16
 _ROW_BYTES = 32
 
 
-def size_expr(df: DataFrame) -> F.Column:
+def size_expr(df: DataFrame) -> Column:
     """Aggregate that estimates the bytes of ``df`` as rows of a hash table."""
     row = F.lit(_ROW_BYTES)
     for name, dtype in df.dtypes:
@@ -74,6 +74,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out exactly once per row.
+
+    A predicate on a projected column is pushed below the projection and repeats its
+    expression there, as often as it is used. For long expressions that costs more
+    than the rows saved, so they pass through a one-row generator, which stops it.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from procura import vocab
 from procura.functions import text
 from procura.functions.responses import parse_match
-from procura.operators.joins import BROADCAST_BYTES, lookup_join, spread
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join, spread
 from procura.operators.needles import find_needles
 
 # A needle found in more titles than this is scored per combination of such
@@ -92,6 +92,8 @@ def score_pairs(
     a boilerplate word never pairs every file with every title. The work per file
     is bounded by its rare needles and by the combinations of hot ones.
     """
+    # The tender side is used several times below; it is written once.
+    tenders = checkpointed(tenders.select("tender_id", "title", "customer"))
     features = _features(tenders, stopwords)
     classes = _smallest_ids(features, "features", "unit", top)
     heads = classes.filter(F.col("rn") == 1).select("unit", "features")
@@ -268,6 +270,7 @@ def choose_by_response(
     ranked candidates may name any tender, which then scores ``accept``. Answers that
     cannot be read fall back to the margin test.
     """
+    ranked = checkpointed(ranked)
     parsed = responses.select("path", parse_match(F.col("response")).alias("m"), "error")
     readable = F.col("m.valid") & F.col("error").isNull()
     ok = parsed.filter(
@@ -294,8 +297,10 @@ def band_files(
     """Files of each tender within one point of its best score.
 
     The best score is a partial aggregate joined back, not a window: one tender may
-    own a third of all files.
+    own a third of all files. Assignments are written first, so that the match
+    behind them runs once.
     """
+    assigned = checkpointed(assigned)
     best = assigned.groupBy("tender_id").agg(F.max("score").alias("top_score"))
     banded = lookup_join(assigned, best, ["tender_id"], limit=limit)
     return banded.filter(

@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 from procura.operators.joins import BROADCAST_BYTES, lookup_join, size_expr
 
 _RUN = "[a-zа-я0-9]"
-_MIN = 4
+_LONG = 4  # a run this long is preferred as a key
 _MAX = 64  # longest window; longer anchors are keyed on their head, then checked
 _MARK = "\0"
-_SINGLE = f"^{_RUN}{{{_MIN},{_MAX}}}$"
+_SINGLE = f"^{_RUN}{{1,{_MAX}}}$"
 
 
 def anchored(needles: DataFrame) -> DataFrame:
     """``needle, key, check`` for a table of distinct, non-empty needles.
 
-    Of several runs the rarest among all needles is the key, so that a word common
-    to many needles does not gather all of them under one key. The few needles that
-    have no run of four characters are keyed on their first characters, whatever
-    those are; a mark in front keeps the two kinds of key apart.
+    Of several runs the rarest long one among all needles is the key, so that a word
+    common to many needles does not gather all of them under one key. The few needles
+    without any word character are keyed on their first characters, whatever those
+    are; a mark in front keeps the two kinds of key apart.
     """
     single = needles.filter(F.col("needle").rlike(_SINGLE)).select(
         "needle", F.col("needle").alias("key"), F.lit(False).alias("check")
@@ -38,12 +38,14 @@ def anchored(needles: DataFrame) -> DataFrame:
     other = needles.filter(~F.col("needle").rlike(_SINGLE)).select(
         "needle",
         F.array_distinct(
-            F.regexp_extract_all("needle", F.lit(f"{_RUN}{{{_MIN},}}"), F.lit(0))
+            F.regexp_extract_all("needle", F.lit(f"{_RUN}+"), F.lit(0))
         ).alias("runs"),
     )
     runs = other.select("needle", F.explode("runs").alias("run"))
     spread = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("needle").orderBy("n", F.length("run").desc(), "run")
+    rarest = Window.partitionBy("needle").orderBy(
+        (F.length("run") >= _LONG).desc(), "n", F.length("run").desc(), "run"
+    )
     multi = (
         lookup_join(runs, spread, ["run"], fits=False)
         .withColumn("rn", F.row_number().over(rarest))
@@ -52,7 +54,7 @@ def anchored(needles: DataFrame) -> DataFrame:
     )
     bare = other.filter(F.size("runs") == 0).select(
         "needle",
-        F.concat(F.lit(_MARK), F.left("needle", F.lit(_MIN))).alias("key"),
+        F.concat(F.lit(_MARK), F.left("needle", F.lit(_LONG))).alias("key"),
         F.lit(True).alias("check"),
     )
     return single.unionByName(multi).unionByName(bare)
@@ -60,13 +62,14 @@ def anchored(needles: DataFrame) -> DataFrame:
 
 def _keys(texts: DataFrame, keep: list[str], words: list[int], heads: list[int]) -> DataFrame:
     """One row per distinct window of a text and key length in use."""
+    shortest = min(words, default=_MAX)
     windows = F.regexp_extract_all(
-        F.col("hay"), F.lit(f"(?=({_RUN}{{{_MIN},{_MAX}}}))"), F.lit(1)
+        F.col("hay"), F.lit(f"(?=({_RUN}{{{shortest},{_MAX}}}))"), F.lit(1)
     )
     fitting = F.col("size") <= F.length("window")
     if heads:
         any_chars = F.regexp_extract_all(
-            F.col("hay"), F.lit(f"(?s)(?=(.{{1,{_MIN}}}))"), F.lit(1)
+            F.col("hay"), F.lit(f"(?s)(?=(.{{1,{_LONG}}}))"), F.lit(1)
         )
         marked = F.transform(F.array_distinct(any_chars), lambda g: F.concat(F.lit(_MARK), g))
         windows = F.concat(windows, marked) if words else marked

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import text
-from procura.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, fits_broadcast, lookup_join
 from procura.operators.matching import prioritize_files
 from procura.operators.needles import find_needles
 
@@ -56,7 +56,7 @@ def assign_tiers(
         dirs = dirs.unionByName(folders.select("top_dir"))
     dirs = dirs.distinct()
     ids = tenders.select("tender_id").distinct()
-    hits = path_hits(files, ids, limit)
+    hits = checkpointed(path_hits(files, ids, limit))
     by_folder = ids.join(dirs.withColumnRenamed("top_dir", "tender_id"), "tender_id", "left_semi")
     found = (
         by_folder.select("tender_id", F.lit(BY_FOLDER).alias("tier"), F.col("tender_id").alias("top_dir"))
@@ -79,14 +79,14 @@ def assign_tiers(
     tiers = (
         found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") == 1).drop("rn")
     )
-    return tiers, hits
+    return checkpointed(tiers), hits
 
 
 def without_explicit(
     tenders: DataFrame, tiers: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Tenders left for scoring: those no folder and no path names."""
-    explicit = tiers.select("tender_id").distinct()
+    explicit = checkpointed(tiers.select("tender_id").distinct())
     return lookup_join(tenders, explicit, ["tender_id"], "left_anti", limit)
 
 

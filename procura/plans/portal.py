@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from procura import vocab
 from procura.operators import links, report, scoring
 from procura.sources import listing, pages as html
 
 
 def downloads(
-    pages: DataFrame, fetch_log: DataFrame, source_pages: DataFrame | None = None
+    pages: DataFrame,
+    fetch_log: DataFrame,
+    source_pages: DataFrame | None = None,
+    document_keywords: Sequence[str] = vocab.DOCUMENT_KEYWORDS,
+    source_keywords: Sequence[str] = vocab.SOURCE_KEYWORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(outcomes, files)`` per page.
 
@@ -21,8 +26,8 @@ def downloads(
     (fetched outside), keyed by the page they belong to.
     """
     anchors = html.anchors(pages)
-    documents = links.document_links(anchors)
-    sources = links.source_links(anchors)
+    documents = links.document_links(anchors, keywords=document_keywords)
+    sources = links.source_links(anchors, keywords=source_keywords)
     files = links.fetched_files(documents, fetch_log)
     if source_pages is not None:
         without = source_pages.join(documents.select("page_id").distinct(), "page_id", "left_anti")
@@ -38,9 +43,10 @@ def portal_results(
     template: str,
     source_pages: DataFrame | None = None,
     scorer: Callable[[DataFrame], DataFrame] = scoring.stub_scorer,
+    **keywords: Sequence[str],
 ) -> DataFrame:
     """One result row per tender; ``pages.page_id`` is the tender's ``row_number``."""
-    outcomes, files = downloads(pages, fetch_log, source_pages)
+    outcomes, files = downloads(pages, fetch_log, source_pages, **keywords)
     ids = listing.one_per_id(tenders).select(
         "tender_id", F.col("row_number").cast("long").alias("page_id")
     )

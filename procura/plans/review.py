@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.operators import matching, report, scoring, tiers
-from procura.operators.joins import BROADCAST_BYTES
+from procura.operators.joins import BROADCAST_BYTES, checkpointed
 from procura.sources import listing
 
 
@@ -41,7 +41,8 @@ def files_of_tenders(
     scoreable = tiers.without_explicit(tenders, named, limit)
     candidates = tiers.readable_files(tiers.scoreable_files(files))
     pairs = matching.score_pairs(candidates, scoreable, limit=limit, **score_options)
-    ranked = matching.rank_candidates(pairs)
+    # The match reads every text; what follows works on its few rows per file.
+    ranked = checkpointed(matching.rank_candidates(pairs))
     if matcher is None:
         chosen = matching.choose_by_margin(ranked)
     else:
@@ -72,7 +73,7 @@ def review(
     **options: object,
 ) -> DataFrame:
     """Result rows of the tenders that have files; the others give no row."""
-    chosen = files_of_tenders(files, tenders, max_files, **options)
+    chosen = checkpointed(files_of_tenders(files, tenders, max_files, **options))
     unique = listing.one_per_id(tenders)
     requests = scoring.analysis_requests(unique, chosen, template).filter(F.col("n_files") > 0)
     return report.results(unique, scoring.classify_requests(requests, scorer))

@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from procura.functions import text
 from procura.operators.joins import lookup_join
@@ -119,7 +120,7 @@ def _docx_text(content: bytes) -> str:
     return " ".join(n.text or "" for n in tree.iter() if n.tag.endswith("}t"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def docx_text(content: pd.Series) -> pd.Series:
     return content.map(_docx_text)
 

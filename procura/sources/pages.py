@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura.functions import text, urls
+from procura.operators.joins import once
 
 # Parts of a page that hold no links a reader could follow.
 _HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")
@@ -53,15 +54,9 @@ def anchors(pages: DataFrame) -> DataFrame:
             "pos", "anchor"
         ),
     )
-    return (
-        found.withColumn("href", _href(F.col("anchor")))
-        .filter(F.col("href") != "")
-        .select(
-            "page_id",
-            "page_url",
-            "pos",
-            "href",
-            urls.resolve(F.col("page_url"), F.col("href")).alias("abs_url"),
-            _label(F.col("anchor")).alias("text"),
-        )
-    )
+    with_href = once(found, href=_href(F.col("anchor"))).filter(F.col("href") != "")
+    return once(
+        with_href,
+        abs_url=urls.resolve(F.col("page_url"), F.col("href")),
+        text=_label(F.col("anchor")),
+    ).drop("anchor")
