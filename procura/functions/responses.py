@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import text
+from procura.operators.joins import once
 
 _INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 
@@ -52,24 +53,15 @@ def _number(doc: Column, key: str) -> Column:
     return F.struct(number.isNotNull().alias("valid"), number.alias("value"))
 
 
-def parse_response(
-    response: Column, tags: Sequence[str] = vocab.TAGS, default_tag: str = vocab.DEFAULT_TAG
+def _parse(
+    response: Column, doc: Column, number: Column, tags: Sequence[str], default_tag: str
 ) -> Column:
-    """Classification struct of an answer.
-
-    Fields ``classification_tag, confidence_percent, classification_comment,
-    analysis_markdown``. Anything that is not a JSON object with a readable
-    confidence becomes the fallback payload with the raw text as analysis.
-    """
-    doc = F.try_parse_json(response)
     tag = _text(doc, "classification_tag")
-    number = _number(doc, "confidence_percent")
     comment = _text(doc, "classification_comment")
     analysis = _text(doc, "analysis_markdown")
     raw = text.strip(F.coalesce(response, F.lit("")))
-    valid = _is_object(doc) & number["valid"]
     return F.when(
-        valid,
+        _is_object(doc) & number["valid"],
         payload(
             F.when(tag.isin(*tags), tag).otherwise(default_tag),
             F.greatest(F.lit(0), F.least(F.lit(100), number["value"])),
@@ -108,33 +100,50 @@ def provider_error_payload(error: Column) -> Column:
     )
 
 
-def classify(response: Column, error: Column) -> Column:
-    """Payload of a scorer row: the error when there is one, else the answer."""
-    return F.when(error.isNotNull(), provider_error_payload(error)).otherwise(
-        parse_response(response)
-    )
+def classify(
+    answers: DataFrame,
+    tags: Sequence[str] = vocab.TAGS,
+    default_tag: str = vocab.DEFAULT_TAG,
+) -> DataFrame:
+    """Add ``payload`` to rows with ``response`` and ``error``.
 
+    Fields ``classification_tag, confidence_percent, classification_comment,
+    analysis_markdown``. An error gives the error payload. Anything that is not a JSON
+    object with a readable confidence gives the fallback payload, with the raw text as
+    analysis. Each answer is parsed once.
+    """
+    read = once(answers, _doc=F.try_parse_json(F.col("response")))
+    read = once(read, _number=_number(F.col("_doc"), "confidence_percent"))
+    parsed = _parse(F.col("response"), F.col("_doc"), F.col("_number"), tags, default_tag)
+    failed = F.col("error").isNotNull()
+    return read.withColumn(
+        "payload", F.when(failed, provider_error_payload(F.col("error"))).otherwise(parsed)
+    ).drop("_doc", "_number")
 
-def parse_match(response: Column) -> Column:
-    """``struct(valid, tender_id, confidence)`` of a match answer.
+
+def parse_matches(answers: DataFrame) -> DataFrame:
+    """Add ``valid, chosen, confidence`` to rows with ``response`` and ``error``.
 
     An empty or null confidence is 0; one that is no whole number makes the answer
-    invalid, as does anything that is not a JSON object.
+    invalid, as does anything that is not a JSON object, or an error.
     """
-    doc = F.try_parse_json(response)
-    number = _number(doc, "confidence")
-    raw = F.try_variant_get(doc, "$.confidence", "variant")
-    kind = _kind(raw)
-    blank = (
-        (kind == "VOID")
-        | ((kind == "STRING") & (F.try_variant_get(doc, "$.confidence", "string") == ""))
-        | (F.to_json(raw).isin("[]", "{}"))
+    doc = F.col("_doc")
+    kind = _kind(F.try_variant_get(doc, "$.confidence", "variant"))
+    as_text = F.try_variant_get(doc, "$.confidence", "string")
+    blank = F.coalesce(
+        (kind == "VOID") | ((kind == "STRING") & (as_text == "")) | as_text.isin("[]", "{}"),
+        F.lit(False),
     )
-    blank = F.coalesce(blank, F.lit(False))
-    return F.struct(
-        (_is_object(doc) & (number["valid"] | blank)).alias("valid"),
-        _text(doc, "tender_id").alias("tender_id"),
-        F.when(blank, F.lit(0.0)).otherwise(number["value"]).alias("confidence"),
+    read = once(answers, _doc=F.try_parse_json(F.col("response")))
+    read = once(read, _number=_number(doc, "confidence"), _blank=blank)
+    valid = _is_object(doc) & (F.col("_number.valid") | F.col("_blank"))
+    return read.select(
+        *answers.columns,
+        (valid & F.col("error").isNull()).alias("valid"),
+        _text(doc, "tender_id").alias("chosen"),
+        F.when(F.col("_blank"), F.lit(0.0))
+        .otherwise(F.col("_number.value"))
+        .alias("confidence"),
     )
 
 

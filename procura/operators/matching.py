@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import text
-from procura.functions.responses import parse_match
+from procura.functions.responses import parse_matches
 from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join, spread
 from procura.operators.needles import find_needles
 
@@ -271,20 +271,21 @@ def choose_by_response(
     cannot be read fall back to the margin test.
     """
     ranked = checkpointed(ranked)
-    parsed = responses.select("path", parse_match(F.col("response")).alias("m"), "error")
-    readable = F.col("m.valid") & F.col("error").isNull()
+    parsed = checkpointed(
+        parse_matches(responses).select("path", "valid", "chosen", "confidence")
+    )
     ok = parsed.filter(
-        readable
-        & (F.upper("m.tender_id") != "NONE")
-        & (F.col("m.confidence") >= min_confidence)
-    ).select("path", F.col("m.tender_id").alias("tender_id"))
+        F.col("valid")
+        & (F.upper("chosen") != "NONE")
+        & (F.col("confidence") >= min_confidence)
+    ).select("path", F.col("chosen").alias("tender_id"))
     scored = ok.join(ranked.select("path", "tender_id", "score"), ["path", "tender_id"])
     open_files = ok.join(ranked.select("path").distinct(), "path", "left_anti")
     known = tenders.select("tender_id").distinct()
     free = lookup_join(open_files, known, ["tender_id"], "left_semi", limit).select(
         "path", "tender_id", F.lit(accept).alias("score")
     )
-    broken = parsed.filter(~readable).select("path")
+    broken = parsed.filter(~F.col("valid")).select("path")
     by_margin = choose_by_margin(ranked.join(broken, "path", "left_semi"), accept)
     return scored.unionByName(free).unionByName(by_margin)
 

@@ -12,18 +12,26 @@ the fused stage; no shuffle carries it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procura.operators.joins import BROADCAST_BYTES, lookup_join, size_expr
+from procura.operators.joins import BROADCAST_BYTES, lookup_join
 
 _RUN = "[a-zа-я0-9]"
 _LONG = 4  # a run this long is preferred as a key
 _MAX = 64  # longest window; longer anchors are keyed on their head, then checked
 _MARK = "\0"
+_KEY_BYTES = 128
 _SINGLE = f"^{_RUN}{{1,{_MAX}}}$"
 
 
+def _runs(needle: Column) -> Column:
+    """Distinct runs a needle may be keyed on: the long ones, if it has any."""
+    runs = F.array_distinct(F.regexp_extract_all(needle, F.lit(f"{_RUN}+"), F.lit(0)))
+    long = F.filter(runs, lambda r: F.length(r) >= _LONG)
+    return F.when(F.size(long) > 0, long).otherwise(runs)
+
+
 def anchored(needles: DataFrame) -> DataFrame:
     """``needle, key, check`` for a table of distinct, non-empty needles.
 
@@ -36,16 +44,11 @@ def anchored(needles: DataFrame) -> DataFrame:
         "needle", F.col("needle").alias("key"), F.lit(False).alias("check")
     )
     other = needles.filter(~F.col("needle").rlike(_SINGLE)).select(
-        "needle",
-        F.array_distinct(
-            F.regexp_extract_all("needle", F.lit(f"{_RUN}+"), F.lit(0))
-        ).alias("runs"),
+        "needle", _runs(F.col("needle")).alias("runs")
     )
     runs = other.select("needle", F.explode("runs").alias("run"))
     spread = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("needle").orderBy(
-        (F.length("run") >= _LONG).desc(), "n", F.length("run").desc(), "run"
-    )
+    rarest = Window.partitionBy("needle").orderBy("n", F.length("run").desc(), "run")
     multi = (
         lookup_join(runs, spread, ["run"], fits=False)
         .withColumn("rn", F.row_number().over(rarest))
@@ -98,17 +101,24 @@ def find_needles(
     ``needles`` has one column ``needle``. One aggregate over the needles measures
     them: their size decides between a broadcast and a salted shuffle.
     """
-    table = anchored(needles.filter(F.col("needle") != "").distinct())
-    is_head = F.startswith(F.col("key"), F.lit(_MARK))
-    facts = table.agg(
-        size_expr(table).alias("bytes"),
-        F.collect_set(F.when(~is_head, F.length("key"))).alias("words"),
-        F.collect_set(F.when(is_head, F.length("key"))).alias("heads"),
-    ).first()
-    if not facts["words"] and not facts["heads"]:
+    needles = needles.filter(F.col("needle") != "").distinct()
+    facts = (
+        needles.select("needle", F.explode_outer(_runs(F.col("needle"))).alias("run"))
+        .agg(
+            F.coalesce(F.sum(F.octet_length("needle") + _KEY_BYTES), F.lit(0)).alias("bytes"),
+            F.collect_set(F.least(F.length("run"), F.lit(_MAX))).alias("words"),
+            F.collect_set(
+                F.when(F.col("run").isNull(), F.least(F.length("needle"), F.lit(_LONG)))
+            ).alias("heads"),
+        )
+        .first()
+    )
+    words, heads = facts["words"], [1 + n for n in facts["heads"]]
+    if not words and not heads:
         return texts.select(*carry, F.lit("").alias("needle")).filter(F.lit(False))
+    table = anchored(needles)
     fits = facts["bytes"] <= limit
-    keys = _keys(texts, [*carry, "hay"] if fits else carry, facts["words"], facts["heads"])
+    keys = _keys(texts, [*carry, "hay"] if fits else carry, words, heads)
     holds = F.contains(F.col("hay"), F.col("needle"))
     if fits:
         found = keys.join(F.broadcast(table), "key")

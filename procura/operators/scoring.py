@@ -95,9 +95,7 @@ def classify_requests(
     Tenders without files are not sent (``skip_empty``) and get a fixed payload.
     """
     sent = requests.filter(F.col("n_files") > 0) if skip_empty else requests
-    answers = scorer(sent).select(
-        "tender_id", responses.classify(F.col("response"), F.col("error")).alias("payload")
-    )
+    answers = responses.classify(scorer(sent)).select("tender_id", "payload")
     read = answers.join(sent.select("tender_id", "files"), "tender_id").select(
         "tender_id", "payload", "files"
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from procura import vocab
 from procura.functions import cells, responses, text
 from procura.operators import links, matching, ordering, report, scoring, tiers
+from procura.operators.joins import checkpointed
 from procura.plans import portal, review
 from procura.sources import inventory, listing, pages, star
 
@@ -197,7 +198,7 @@ def _fetch_log(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
 
 def _outcomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     source = star.table(spark, folder, "pages")
-    anchors = pages.anchors(source)
+    anchors = checkpointed(links.followable(pages.anchors(source)))
     found = links.document_links(anchors, keywords=LINK_KEYWORDS)
     fetched = links.fetched_files(found, _fetch_log(spark, folder, found))
     sources = links.source_links(anchors, keywords=SOURCE_WORDS)
@@ -427,10 +428,7 @@ def _responses(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def parse_responses(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _responses(spark, folder)
-    return rows.select(
-        "event_id", responses.classify(F.col("response"), F.col("error")).alias("p")
-    ).select("event_id", "p.*")
+    return responses.classify(_responses(spark, folder)).select("event_id", "payload.*")
 
 
 # --- report ----------------------------------------------------------------------

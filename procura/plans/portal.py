@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.operators import links, report, scoring
+from procura.operators.joins import checkpointed
 from procura.sources import listing, pages as html
 
 
@@ -25,7 +26,8 @@ def downloads(
     page is used: ``source_pages`` has ``page_id, url, html`` of the source links found
     (fetched outside), keyed by the page they belong to.
     """
-    anchors = html.anchors(pages)
+    # Pages are parsed once; links are a small part of them.
+    anchors = checkpointed(links.followable(html.anchors(pages)))
     documents = links.document_links(anchors, keywords=document_keywords)
     sources = links.source_links(anchors, keywords=source_keywords)
     files = links.fetched_files(documents, fetch_log)
@@ -47,6 +49,7 @@ def portal_results(
 ) -> DataFrame:
     """One result row per tender; ``pages.page_id`` is the tender's ``row_number``."""
     outcomes, files = downloads(pages, fetch_log, source_pages, **keywords)
+    outcomes, files = checkpointed(outcomes), checkpointed(files)
     ids = listing.one_per_id(tenders).select(
         "tender_id", F.col("row_number").cast("long").alias("page_id")
     )

@@ -18,6 +18,8 @@ from pyspark.sql.types import StringType
 from procura.functions import text
 from procura.operators.joins import lookup_join
 
+_BATCH_BYTES = 16 * 1024 * 1024
+_BATCH_ROWS = 1000
 MEMBER_SCHEMA = "archive string, member string, path string, size long, content binary"
 
 
@@ -71,30 +73,35 @@ def is_archive(path: Column) -> Column:
     return F.lower(text.suffix(path)) == ".zip"
 
 
+def _members(path: str, content: bytes) -> Iterator[tuple[str, str, str, int, bytes]]:
+    folder = path[: path.rfind(".")] + "__extracted/"
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+        for member in archive.infolist():
+            if member.is_dir():
+                continue
+            body = archive.read(member)
+            parts = member.filename.split("/")
+            inside = "/".join(p for p in parts if p not in ("", ".", ".."))
+            yield path, member.filename, folder + inside, len(body), body
+    except Exception:  # not an archive, encrypted or damaged: keep what was read
+        return
+
+
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["archive", "member", "path", "size", "content"]
+    rows, held = [], 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            folder = path[: path.rfind(".")] + "__extracted/"
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-                for member in archive.infolist():
-                    if member.is_dir():
-                        continue
-                    body = archive.read(member)
-                    parts = member.filename.split("/")
-                    inside = "/".join(p for p in parts if p not in ("", ".", ".."))
-                    # One frame per member: a batch holds one member's bytes.
-                    yield pd.DataFrame(
-                        {
-                            "archive": [path],
-                            "member": [member.filename],
-                            "path": [folder + inside],
-                            "size": [len(body)],
-                            "content": [body],
-                        }
-                    )
-            except Exception:  # not an archive, encrypted or damaged: keep what was read
-                continue
+            for row in _members(path, content):
+                rows.append(row)
+                held += row[3]
+                # Hand over by bytes, so that large members never pile up.
+                if held >= _BATCH_BYTES or len(rows) >= _BATCH_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def expand_archives(archives: DataFrame, done: DataFrame | None = None) -> DataFrame:
