@@ -20,6 +20,7 @@ from procura.operators.joins import lookup_join
 
 _BATCH_BYTES = 16 * 1024 * 1024
 _BATCH_ROWS = 1000
+ARCHIVES = "*.[zZ][iI][pP]"
 MEMBER_SCHEMA = "archive string, member string, path string, size long, content binary"
 
 
@@ -107,6 +108,9 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def expand_archives(archives: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """Members of zip archives given as ``path, content``.
 
+    Read them with ``binary_files(spark, root, ARCHIVES)``, so that no other file is
+    opened.
+
     Unreadable archives give no rows. ``done`` (column ``archive``) names archives
     expanded earlier; they are left out before Python sees their bytes.
     """

@@ -31,6 +31,7 @@ def expand_arrivals(
         spark.readStream.format("binaryFile")
         .schema(_BINARY)
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", inventory.ARCHIVES)
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(root)
         .select(inventory.local_path(F.col("path")).alias("path"), "content")
