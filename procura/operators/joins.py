@@ -66,7 +66,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that comes in a few large splits.
 
     Large inputs have more splits than the cluster has cores and pass through
-    untouched; only a small one is shuffled, before work that is heavy per row.
+    untouched; only a small one is shuffled, before work that is heavy per row. For
+    plain scans: counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= 2 * cores:

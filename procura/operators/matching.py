@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from procura import vocab
 from procura.functions import text
 from procura.functions.responses import parse_matches
-from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join, spread
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join
 from procura.operators.needles import find_needles
 
 # A needle found in more titles than this is scored per combination of such
@@ -170,7 +170,7 @@ def score_pairs(
 
     postings = postings.unionByName(ids)
     members = members.unionByName(id_members)
-    texts = spread(files.select("path", "text_sample")).select(
+    texts = files.select(
         "path",
         F.concat(
             text.normalize_name(F.col("path")),

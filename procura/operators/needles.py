@@ -20,6 +20,7 @@ from procura.operators.joins import BROADCAST_BYTES, lookup_join
 _RUN = "[a-zа-я0-9]"
 _LONG = 4  # a run this long is preferred as a key
 _MAX = 64  # longest window; longer anchors are keyed on their head, then checked
+_PART = 100_000  # characters of a text looked at in one piece
 _MARK = "\0"
 _KEY_BYTES = 128
 _SINGLE = f"^{_RUN}{{1,{_MAX}}}$"
@@ -64,15 +65,24 @@ def anchored(needles: DataFrame) -> DataFrame:
 
 
 def _keys(texts: DataFrame, keep: list[str], words: list[int], heads: list[int]) -> DataFrame:
-    """One row per distinct window of a text and key length in use."""
+    """One row per window of a text and key length in use, distinct within a part.
+
+    A very long text is cut into parts first, which overlap by the longest window, so
+    that no task holds all windows of it at once and no window is lost at a cut.
+    """
+    cut = f"(?s)(?=(.{{1,{_PART + _MAX}}})).{{1,{_PART}}}"
+    parts = F.when(F.length("hay") <= _PART, F.array("hay")).otherwise(
+        F.regexp_extract_all(F.col("hay"), F.lit(cut), F.lit(1))
+    )
+    texts = texts.select(*keep, F.explode(parts).alias("part"))
     shortest = min(words, default=_MAX)
     windows = F.regexp_extract_all(
-        F.col("hay"), F.lit(f"(?=({_RUN}{{{shortest},{_MAX}}}))"), F.lit(1)
+        F.col("part"), F.lit(f"(?=({_RUN}{{{shortest},{_MAX}}}))"), F.lit(1)
     )
     fitting = F.col("size") <= F.length("window")
     if heads:
         any_chars = F.regexp_extract_all(
-            F.col("hay"), F.lit(f"(?s)(?=(.{{1,{_LONG}}}))"), F.lit(1)
+            F.col("part"), F.lit(f"(?s)(?=(.{{1,{_LONG}}}))"), F.lit(1)
         )
         marked = F.transform(F.array_distinct(any_chars), lambda g: F.concat(F.lit(_MARK), g))
         windows = F.concat(windows, marked) if words else marked

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import prompts, responses, text
-from procura.operators.joins import BROADCAST_BYTES, fits_broadcast, lookup_join
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, fits_broadcast, lookup_join
 
 # Longest list of options that is put into a prompt of a file without candidates.
 MAX_OPTION_BYTES = 8 * 1024 * 1024
@@ -25,7 +25,8 @@ def run_scorer(
 
     ``requests`` has ``key, prompt, files`` (array of paths). ``make_scorer`` runs once
     per task and returns ``scorer(prompt, files) -> text``. A failed call becomes the
-    ``error`` of its row and never fails the task.
+    ``error`` of its row and never fails the task. The answers are written at once, so
+    that using them twice does not ask the model twice.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,8 +43,10 @@ def run_scorer(
             yield pd.DataFrame({key: batch[key], "response": answers, "error": errors})
 
     kind = dict(requests.dtypes)[key]
-    return requests.select(key, "prompt", "files").mapInPandas(
-        call, f"`{key}` {kind}, response string, error string"
+    return checkpointed(
+        requests.select(key, "prompt", "files").mapInPandas(
+            call, f"`{key}` {kind}, response string, error string"
+        )
     )
 
 

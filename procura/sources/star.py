@@ -73,7 +73,7 @@ def _file_columns(docs: DataFrame) -> DataFrame:
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """Files for matching: one per document, in a folder per source."""
-    named = _file_columns(table(spark, folder, "documents"))
+    named = _file_columns(spread(table(spark, folder, "documents")))
     return named.select(
         F.concat(F.lit("/inbox/"), "source", F.lit("/"), "name").alias("path"),
         F.col("source").alias("top_dir"),
@@ -87,7 +87,8 @@ def filed(spark: SparkSession, folder: str) -> DataFrame:
     titles = table(spark, folder, "benchmark").select(
         (F.col("item_id") * 11 + 3).alias("doc_id"), F.col("text").alias("lot")
     )
-    named = _file_columns(table(spark, folder, "documents")).join(titles, "doc_id", "left")
+    docs = spread(table(spark, folder, "documents"))
+    named = _file_columns(docs).join(titles, "doc_id", "left")
     code = F.lpad((F.col("doc_id") * 97 + 13).cast("string"), 5, "0")
     top = (
         F.when(F.col("doc_id") % 13 == 5, code)

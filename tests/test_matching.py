@@ -119,7 +119,9 @@ def test_result_does_not_depend_on_partitioning(spark, fixture):
 
 
 @pytest.mark.parametrize("limit", [0, 1 << 27])
-def test_needles_equal_contains(spark, limit):
+@pytest.mark.parametrize("part", [3, 70, 100_000])
+def test_needles_equal_contains(spark, monkeypatch, limit, part):
+    monkeypatch.setattr(needles, "_PART", part)
     rng = random.Random(7)
     alphabet = "abcя1 .№é"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(80)]
