@@ -9,10 +9,12 @@ from procura.functions import text, urls
 from procura.operators.joins import once
 
 # Parts of a page that hold no links a reader could follow.
-_HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")
-_ANCHOR = r"(?is)<a\s[^>]*>.*?</a\s*>"
-_HREF = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_LABEL = r"(?is)^<a\s[^>]*>(.*)</a\s*>$"
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+# An anchor reaches to its end tag, to the next anchor or to the end of the page; so
+# pages are split, and an open tag never makes a search run through the page again.
+_NEXT = r"(?i)<a(?=\s)"
+_HREF = r"""(?is)^(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_LABEL = r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)"
 
 
 def unescape(c: Column) -> Column:
@@ -28,12 +30,6 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def visible(html: Column) -> Column:
-    for pattern in _HIDDEN:
-        html = F.regexp_replace(html, pattern, "")
-    return html
-
-
 def _href(anchor: Column) -> Column:
     return unescape(
         F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in range(1, 4)])
@@ -47,12 +43,11 @@ def _label(anchor: Column) -> Column:
 
 def anchors(pages: DataFrame) -> DataFrame:
     """``page_id, page_url, pos, href, abs_url, text`` of each anchor with an href."""
-    found = pages.select(
-        "page_id",
-        F.col("url").alias("page_url"),
-        F.posexplode(F.regexp_extract_all(visible(F.col("html")), F.lit(_ANCHOR), F.lit(0))).alias(
-            "pos", "anchor"
-        ),
+    parts = F.split(F.regexp_replace("html", _HIDDEN, ""), _NEXT)
+    found = (
+        pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(parts))
+        .filter(F.col("pos") > 0)
+        .select("page_id", "page_url", (F.col("pos") - 1).alias("pos"), F.col("col").alias("anchor"))
     )
     with_href = once(found, href=_href(F.col("anchor"))).filter(F.col("href") != "")
     return once(

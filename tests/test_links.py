@@ -33,6 +33,14 @@ def test_anchors(spark):
     assert len(got) == 10 and not any("hidden" in h or "s.pdf" in h for h, _, _ in got)
 
 
+def test_open_anchors(spark):
+    html = '<a href=/1>one <a href="/2">two</a> x <A\nHREF="/3"><i>three</i>'
+    got = [(r["href"], r["text"], r["pos"]) for r in pages.anchors(page(spark, html)).orderBy("pos").collect()]
+    assert got == [("/1", "one", 0), ("/2", "two", 1), ("/3", "three", 2)]
+    # Thousands of open tags stay linear.
+    assert pages.anchors(page(spark, "<a href=/x>" * 20_000)).count() == 20_000
+
+
 def test_document_and_source_links(spark):
     anchors = pages.anchors(page(spark, HTML, "<p>none</p>"))
     docs = links.document_links(anchors).orderBy("pos").collect()
