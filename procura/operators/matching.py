@@ -57,10 +57,12 @@ def _smallest_ids(df: DataFrame, group: str, unit: str, top: int | None) -> Data
     The group's id is its smallest tender id. Equal scores rank by tender id, so
     no other member of a group can reach the top of any file.
     """
+    if top is None:
+        names = df.groupBy(group).agg(F.min("tender_id").alias(unit))
+        named = lookup_join(df, names, [group])
+        return named.withColumn("rn", F.when(F.col("tender_id") == F.col(unit), 1).otherwise(2))
     by_id = Window.partitionBy(group).orderBy("tender_id")
-    ranked = df.withColumn("rn", F.row_number().over(by_id))
-    if top is not None:
-        ranked = ranked.filter(F.col("rn") <= top)
+    ranked = df.withColumn("rn", F.row_number().over(by_id)).filter(F.col("rn") <= top)
     return ranked.withColumn(unit, F.min("tender_id").over(Window.partitionBy(group)))
 
 

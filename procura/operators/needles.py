@@ -26,23 +26,43 @@ _KEY_BYTES = 128
 _SINGLE = f"^{_RUN}{{1,{_MAX}}}$"
 
 
+def _closed(needle: Column) -> Column:
+    """Runs that end inside the needle, so that they end in the text as well."""
+    return F.regexp_extract_all(needle, F.lit(f"{_RUN}+(?=[^{_RUN[1:]})"), F.lit(0))
+
+
 def _runs(needle: Column) -> Column:
-    """Distinct runs a needle may be keyed on: the long ones, if it has any."""
-    runs = F.array_distinct(F.regexp_extract_all(needle, F.lit(f"{_RUN}+"), F.lit(0)))
-    long = F.filter(runs, lambda r: F.length(r) >= _LONG)
-    return F.when(F.size(long) > 0, long).otherwise(runs)
+    """Distinct runs a needle may be keyed on: long ones first, closed ones first."""
+    every = F.regexp_extract_all(needle, F.lit(f"{_RUN}+"), F.lit(0))
+
+    def long(runs: Column) -> Column:
+        return F.filter(runs, lambda r: F.length(r) >= _LONG)
+
+    closed = long(_closed(needle))
+    chosen = (
+        F.when(F.size(closed) > 0, closed)
+        .when(F.size(long(every)) > 0, long(every))
+        .when(F.size(_closed(needle)) > 0, _closed(needle))
+        .otherwise(every)
+    )
+    return F.array_distinct(chosen)
 
 
 def anchored(needles: DataFrame) -> DataFrame:
-    """``needle, key, check`` for a table of distinct, non-empty needles.
-
-    Of several runs the rarest long one among all needles is the key, so that a word
-    common to many needles does not gather all of them under one key. The few needles
-    without any word character are keyed on their first characters, whatever those
-    are; a mark in front keeps the two kinds of key apart.
+    """``needle, key, check, whole`` for a table of distinct, non-empty needles.
+
+    ``check``: the text itself must be asked. ``whole``: the key is all that is left of
+    a run where it occurs, which spares the question for longer words. Of several runs
+    the rarest long one among all needles is the key, so that a word common to many
+    needles does not gather all of them under one key. The few needles without any
+    word character are keyed on their first characters, whatever those are; a mark in
+    front keeps the two kinds of key apart.
     """
     single = needles.filter(F.col("needle").rlike(_SINGLE)).select(
-        "needle", F.col("needle").alias("key"), F.lit(False).alias("check")
+        "needle",
+        F.col("needle").alias("key"),
+        F.lit(False).alias("check"),
+        F.lit(False).alias("whole"),
     )
     other = needles.filter(~F.col("needle").rlike(_SINGLE)).select(
         "needle", _runs(F.col("needle")).alias("runs")
@@ -54,12 +74,21 @@ def anchored(needles: DataFrame) -> DataFrame:
         lookup_join(runs, spread, ["run"], fits=False)
         .withColumn("rn", F.row_number().over(rarest))
         .filter(F.col("rn") == 1)
-        .select("needle", F.left("run", F.lit(_MAX)).alias("key"), F.lit(True).alias("check"))
+        .select(
+            "needle",
+            F.left("run", F.lit(_MAX)).alias("key"),
+            F.lit(True).alias("check"),
+            (
+                F.array_contains(_closed(F.col("needle")), F.col("run"))
+                & (F.length("run") < _MAX)
+            ).alias("whole"),
+        )
     )
     bare = other.filter(F.size("runs") == 0).select(
         "needle",
         F.concat(F.lit(_MARK), F.left("needle", F.lit(_LONG))).alias("key"),
         F.lit(True).alias("check"),
+        F.lit(False).alias("whole"),
     )
     return single.unionByName(multi).unionByName(bare)
 
@@ -95,7 +124,11 @@ def _keys(texts: DataFrame, keep: list[str], words: list[int], heads: list[int])
         texts.select(*keep, F.explode(F.array_distinct(windows)).alias("window"))
         .select(*keep, "window", size)
         .filter(fitting)
-        .select(*keep, F.left("window", F.col("size")).alias("key"))
+        .select(
+            *keep,
+            F.left("window", F.col("size")).alias("key"),
+            (F.col("size") == F.length("window")).alias("full"),
+        )
     )
 
 
@@ -131,9 +164,10 @@ def find_needles(
     keys = _keys(texts, [*carry, "hay"] if fits else carry, words, heads)
     holds = F.contains(F.col("hay"), F.col("needle"))
     if fits:
-        found = keys.join(F.broadcast(table), "key")
+        found = keys.join(F.broadcast(table), "key").filter(~F.col("whole") | F.col("full"))
         return found.filter(~F.col("check") | holds).select(*carry, "needle")
     found = lookup_join(keys, table, ["key"], fits=False)
+    found = found.filter(~F.col("whole") | F.col("full"))
     sure = found.filter(~F.col("check")).select(*carry, "needle")
     # Only texts with a possible hit come back for the check.
     possible = found.filter("check").select(*carry, "needle").distinct()

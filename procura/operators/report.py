@@ -118,10 +118,13 @@ def tag_summary(rows: DataFrame, tags: Sequence[str] = vocab.TAGS) -> DataFrame:
 
 
 def write_monthly(report: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the sheets present in ``report``, each one replaced as a whole."""
+    """Write the sheets present in ``report``, each one replaced as a whole.
+
+    Numbered rows already lie in ranges of sheet and number, so a task writes few
+    sheets and a large sheet is written by many tasks.
+    """
     (
-        report.repartition("sheet", F.pmod(F.xxhash64("number"), F.lit(8)))
-        .write.partitionBy("sheet")
+        report.write.partitionBy("sheet")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .format(fmt)

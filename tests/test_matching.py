@@ -123,7 +123,7 @@ def test_result_does_not_depend_on_partitioning(spark, fixture):
 def test_needles_equal_contains(spark, monkeypatch, limit, part):
     monkeypatch.setattr(needles, "_PART", part)
     rng = random.Random(7)
-    alphabet = "abcя1 .№é"
+    alphabet = "abcя1  .№é"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(80)]
     texts.append("x" * 500 + "needle" + "y" * 300)
     words = {"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(120)}
