@@ -55,7 +55,9 @@ def lookup_join(
     keys = list(on)
     if fits:
         return big.join(F.broadcast(small), keys, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salts))
+    # Maps and variants cannot be hashed; the other columns tell rows apart as well.
+    plain = [c for c, t in big.dtypes if "map<" not in t and "variant" not in t]
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     left = big.withColumn("_salt", salt.cast("int"))
     right = small.withColumn("_salt", copies)

@@ -121,8 +121,10 @@ def expand_archives(archives: DataFrame, done: DataFrame | None = None) -> DataF
     return pending.mapInPandas(_expand, MEMBER_SCHEMA)
 
 
-def _docx_text(content: bytes) -> str:
+def _docx_text(content: bytes | None) -> str:
     """Text nodes of a word-processor file, joined by blanks; '' when unreadable."""
+    if content is None:
+        return ""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             tree = ElementTree.fromstring(archive.read("word/document.xml"))
@@ -147,21 +149,19 @@ def plain_text(content: Column) -> Column:
 def text_samples(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """``path, text_sample`` from ``path, content``.
 
-    Plain text is decoded by built-in functions; only word-processor files go
-    through Python. Other kinds give ``''``. The whole text is kept unless
+    Plain text is decoded by built-in functions; only the bytes of word-processor
+    files go through Python. Other kinds give ``''``. The whole text is kept unless
     ``max_chars`` is given.
     """
     kind = F.lower(text.suffix(F.col("path")))
-    plain = files.filter(~kind.isin(".docx")).select(
-        "path",
-        F.when(kind.isin(".txt", ".md"), plain_text(F.col("content")))
+    # One pass over the bytes; Python gets NULL for all other kinds.
+    from_docx = docx_text(F.when(kind == ".docx", F.col("content")))
+    sample = (
+        F.when(kind == ".docx", from_docx)
+        .when(kind.isin(".txt", ".md"), plain_text(F.col("content")))
         .otherwise("")
-        .alias("text_sample"),
-    )
-    docx = files.filter(kind == ".docx").select(
-        "path", docx_text(F.col("content")).alias("text_sample")
     )
-    out = plain.unionByName(docx)
+    out = files.select("path", sample.alias("text_sample"))
     if max_chars is not None:
         out = out.withColumn("text_sample", F.left("text_sample", F.lit(max_chars)))
     return out

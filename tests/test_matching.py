@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from procura import vocab
-from procura.operators import matching, needles, tiers
+from procura.operators import joins, matching, needles, tiers
 from procura.plans import review
 from procura.sources import listing
 
@@ -134,6 +134,15 @@ def test_needles_equal_contains(spark, monkeypatch, limit, part):
     assert got == {(i, w) for i, x in enumerate(texts) for w in words if w and w in x}
 
 
+def test_lookup_join_with_maps(spark):
+    big = spark.createDataFrame([(i % 2, {"a": str(i)}) for i in range(20)], "k int, raw map<string,string>")
+    small = spark.createDataFrame([(0, "x")], "k int, v string")
+    for limit in (0, 1 << 20):
+        assert joins.lookup_join(big, small, ["k"], limit=limit).count() == 10
+        assert joins.lookup_join(big, small, ["k"], "left", limit).count() == 20
+        assert joins.lookup_join(big, small, ["k"], "left_anti", limit).count() == 10
+
+
 def test_margin(spark):
     rows = [("a", "1", 8, 1), ("a", "2", 5, 2), ("b", "1", 9, 1), ("b", "2", 7, 2), ("c", "1", 8, 1), ("d", "1", 7, 1)]
     ranked = spark.createDataFrame(rows, "path string, tender_id string, score int, rn int")
