@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest table that is sent to every executor, in bytes.
@@ -88,15 +87,31 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where
-    none is set (tests) a temporary one is made.
+    The one the session names in ``spark.checkpoint.dir``, or the one that was set on
+    the context. Where neither is (tests, one machine), a folder of this application on
+    the default file system. A cluster whose default file system is each machine's own
+    disk has no such folder, which is an error.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    root = context._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if root.startswith("file:") and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/') if root != 'file:///' else 'file://'}/tmp/checkpoints/{context.applicationId}"
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` makes Spark remove the files
+    once nothing refers to them.
+    """
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint(eager)
