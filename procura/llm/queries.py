@@ -5,9 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from procura.llm import embedding_dedup, minhash, topk
-from procura.llm.common import table
+from procura.llm import embedding_dedup, langid, minhash, quality, topk
+from procura.llm.common import fold, table
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"), fold("doc_id", 5) != 0)
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, fold("doc_id", 3) != 1)
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return langid.identify(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +39,8 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op5_langid": op5_langid,
     "op3_minhash": op3_minhash,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op10_topk": op10_topk,
