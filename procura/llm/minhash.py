@@ -24,10 +24,13 @@ from procura.operators.joins import checkpointed
 BLOCK = 512
 # Pairs compared at once inside a task.
 PAIRS = 200_000
-# Standard deviations below the threshold at which a sketch rules a pair out.
-SIGMAS = 5.0
+# Minhashes of the wide sketch, made only for documents that share a key with another.
+WIDE = 512
+# Standard deviations below the threshold at which the wide sketch rules a pair out: of a
+# million pairs exactly at the threshold, 3 are.
+SIGMAS = 4.5
 
-_SKETCH = "_doc long, n_shingles long, _h1 long, _h2 long, _a array<long>, _b array<long>, _sketch binary"
+_SKETCH = "_doc long, n_shingles long, _h1 long, _h2 long, _a array<long>, _b array<long>"
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +61,11 @@ def _keys(minhashes: np.ndarray, first: int, rows: int, tables: int) -> np.ndarr
     return out
 
 
+def _bytes(minhashes: np.ndarray) -> np.ndarray:
+    """One mixed byte of every minhash."""
+    return (mix(minhashes.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set (none empty), in any order of its members."""
     values, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
@@ -66,7 +74,7 @@ def _set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_column: str, text: str, width: int, rows: int, tables: int) -> DataFrame:
-    """Per row: set size, 128-bit set hash, the keys of both collections, a byte sketch.
+    """Per row: set size, 128-bit set hash, the keys of both collections.
 
     Texts are worked off in slices of about a million shingles, so memory follows the
     longest text and not the batch.
@@ -75,18 +83,17 @@ def sketches(docs: DataFrame, id_column: str, text: str, width: int, rows: int,
     def pack(ids: list, sets: list[np.ndarray]) -> pd.DataFrame:
         full = [k for k, s in enumerate(sets) if len(s)]
         h1, h2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
-        a, b, sketch = ([None] * len(sets) for _ in range(3))
+        a, b = [None] * len(sets), [None] * len(sets)
         if full:
             chosen = [sets[k] for k in full]
             h1[full], h2[full] = _set_hashes(chosen)
             m = _minhashes(chosen, 2 * rows * tables)
             left = _keys(m, 0, rows, tables).view(np.int64)
             right = _keys(m, tables, rows, tables).view(np.int64)
-            low = (mix(m.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
             for row, k in enumerate(full):
-                a[k], b[k], sketch[k] = left[row], right[row], low[row].tobytes()
+                a[k], b[k] = left[row], right[row]
         return pd.DataFrame(
-            {"_doc": pd.array(ids, "Int64"), "n_shingles": list(map(len, sets)), "_h1": h1, "_h2": h2, "_a": a, "_b": b, "_sketch": sketch}
+            {"_doc": pd.array(ids, "Int64"), "n_shingles": list(map(len, sets)), "_h1": h1, "_h2": h2, "_a": a, "_b": b}
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,64 +130,66 @@ def _pairs_in_groups(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
         start = stop
 
 
-def _compared(buckets: DataFrame, threshold: float, n_hashes: int) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar enough.
+def _compared(buckets: DataFrame, threshold: float, tables: int) -> DataFrame:
+    """Pairs of different components that share a table and may be similar enough.
 
-    Buckets arrive as runs of rows in sorted partitions, cut to blocks of bounded size;
-    the run that a batch ends in waits for the next batch. A pair is ruled out by the
-    sizes of its sets (exact) or by a sketch that agrees ``SIGMAS`` standard deviations
-    less than the threshold demands.
+    Buckets hold the rows of one key of the first collection; two of them share a table
+    when they also share a key of the second. They arrive as runs in sorted partitions,
+    cut to blocks of bounded size; the run that a batch ends in waits for the next batch.
+    A pair counts in the first bucket it shares only. It is ruled out by the sizes of its
+    sets (exact) or by a wide sketch that agrees ``SIGMAS`` standard deviations less than
+    the threshold demands.
     """
-    chance = 1 / 256
-    expected = n_hashes * (threshold + (1 - threshold) * chance)
-    least = expected - SIGMAS * float(np.sqrt(n_hashes * threshold * (1 - threshold)))
+    expected = WIDE * (threshold + (1 - threshold) / 256)
+    least = expected - SIGMAS * float(np.sqrt(WIDE * threshold * (1 - threshold)))
+    run_of = ["_key", "_p", "_q"]
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        where = rows[["_bucket", "_p", "_q"]].to_numpy(np.int64)
+        where = rows[run_of].to_numpy(np.int64)
         group = np.cumsum(np.append(0, (np.diff(where, axis=0) != 0).any(axis=1)))
-        sketch = np.frombuffer(b"".join(rows["_sketch"]), np.uint8).reshape(len(rows), -1)
-        doc, comp, size, side = (rows[c].to_numpy(np.int64) for c in ("_rep", "_comp", "n_shingles", "_side"))
+        wide = np.frombuffer(b"".join(rows["_wide"]), np.uint8).reshape(len(rows), -1)
+        keys = np.array(rows["_keys"].tolist(), np.int64)
+        doc, comp, size, side, slot = (rows[c].to_numpy(np.int64) for c in ("_rep", "_comp", "n_shingles", "_side", "_slot"))
         cross = where[:, 1] != where[:, 2]
         for i, j in _pairs_in_groups(group):
             low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             ok = (comp[i] != comp[j]) & (low >= threshold * high) & (~cross[i] | (side[i] != side[j]))
             i, j = i[ok], j[ok]
-            ok = (sketch[i] == sketch[j]).sum(axis=1) >= least
+            same = keys[i] == keys[j]
+            ok = same[:, tables:].any(axis=1) & (same[:, :tables].argmax(axis=1) == slot[i])
+            i, j = i[ok], j[ok]
+            ok = (wide[i] == wide[j]).sum(axis=1) >= least
             if ok.any():
                 i, j = i[ok], j[ok]
-                yield pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])}).drop_duplicates()
+                yield pd.DataFrame({"a": np.minimum(doc[i], doc[j]), "b": np.maximum(doc[i], doc[j])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = None
         for batch in batches:
             rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            last = rows[["_bucket", "_p", "_q"]].iloc[-1]
-            open_run = (rows["_bucket"] == last["_bucket"]) & (rows["_p"] == last["_p"]) & (rows["_q"] == last["_q"])
+            open_run = (rows[run_of] == rows[run_of].iloc[-1]).all(axis=1)
             kept = rows[open_run]
             yield from pairs(rows[~open_run].reset_index(drop=True)) if not open_run.all() else ()
         if kept is not None:
             yield from pairs(kept.reset_index(drop=True))
 
     return (
-        buckets.repartition("_bucket", "_p", "_q")
-        .sortWithinPartitions("_bucket", "_p", "_q")
-        .select("_bucket", "_p", "_q", "_side", "_rep", "_comp", "n_shingles", "_sketch")
+        buckets.repartition(*run_of).sortWithinPartitions(*run_of)
+        .select(*run_of, "_side", "_slot", "_rep", "_comp", "n_shingles", "_keys", "_wide")
         .mapInPandas(run, "a long, b long")
-        .distinct()
     )
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough.
+def _sets(texts: DataFrame, classes: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """The shingle sets and wide sketches of the classes in ``named``, made from texts.
 
-    Sets are made again from the texts, only of documents in a pair. Where an id comes
-    with several texts, the one counts that its class was made of.
+    Where an id comes with several texts, the one counts that its class was made of.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
+            for lo in range(0, len(batch), 128):
+                part = batch.iloc[lo : lo + 128]
                 sets = [shingles(t, width) for t in part["_text"]]
                 own = [k for k, s in enumerate(sets) if len(s)]
                 if not own:
@@ -188,11 +197,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: in
                 h1, h2 = _set_hashes([sets[k] for k in own])
                 same = (h1 == part["_h1"].to_numpy()[own]) & (h2 == part["_h2"].to_numpy()[own])
                 own = [k for k, ok in zip(own, same, strict=True) if ok]
-                yield pd.DataFrame({"_rep": part["_rep"].to_numpy()[own], "_set": [sets[k].view(np.int64) for k in own]})
+                if own:
+                    wide = _bytes(_minhashes([sets[k] for k in own], WIDE))
+                    yield pd.DataFrame({
+                        "_rep": part["_rep"].to_numpy()[own], "_set": [sets[k].view(np.int64) for k in own], "_wide": [w.tobytes() for w in wide]
+                    })
+
+    wanted = named.join(classes.select("_rep", "_h1", "_h2"), "_rep")
+    made = texts.join(wanted, "_rep").mapInPandas(run, "_rep long, _set array<long>, _wide binary")
+    return checkpointed(made)
+
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("_rep")).distinct()
-    named = named.join(classes.select("_rep", "_h1", "_h2"), "_rep")
-    sets = checkpointed(texts.join(named, "_rep").mapInPandas(run, "_rep long, _set array<long>"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
     left = sets.select(F.col("_rep").alias("a"), F.col("_set").alias("_sa"))
     right = sets.select(F.col("_rep").alias("b"), F.col("_set").alias("_sb"))
     both = F.size(F.array_intersect("_sa", "_sb"))
@@ -202,33 +219,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: in
     )
 
 
-def _in_tables(meets: DataFrame, classes: DataFrame, merged: DataFrame, rows: int, tables: int, percent: int) -> DataFrame:
+def _in_tables(meets: DataFrame, classes: DataFrame, merged: DataFrame, sets: DataFrame, tables: int, percent: int) -> DataFrame:
     """Pairs of classes in different components that meet in a table."""
-    comp = F.coalesce("component", "_rep")
-    labelled = meets.join(merged.withColumnRenamed("node", "_rep"), "_rep", "left").select("_rep", "_slot", "_key", comp.alias("_comp"))
-    mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi")).where("lo < hi")
-    left, right = (F.collect_list(F.when(c, F.col("_key"))) for c in (F.col("_slot") < tables, F.col("_slot") >= tables))
-    own = labelled.join(mixed.select("_key"), "_key").groupBy("_rep", "_comp").agg(left.alias("_a"), right.alias("_b"))
-    keyed = (
-        own.select("_rep", "_comp", "_b", F.explode("_a").alias("_ka"))
-        .select("_rep", "_comp", "_ka", F.explode("_b").alias("_kb"))
-        .select("_rep", "_comp", F.xxhash64("_ka", "_kb").alias("_bucket"))
-    )
-    keyed = checkpointed(keyed)
-    several = keyed.groupBy("_bucket").agg(
-        F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")
-    ).where("lo < hi")
-    block = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int")
-    placed = keyed.join(several.select("_bucket", "_blocks"), "_bucket").select(
-        "*", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
+    comp = F.coalesce("component", "_rep").alias("_comp")
+    labelled = (
+        meets.where(F.col("_slot") < tables).join(merged.withColumnRenamed("node", "_rep"), "_rep", "left")
+        .select("_rep", "_slot", "_key", comp)
     )
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")
+    mixed = labelled.groupBy("_key").agg(F.min("_comp").alias("lo"), F.max("_comp").alias("hi"), blocks).where("lo < hi")
+    block = F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int").alias("_block")
+    placed = labelled.join(mixed.select("_key", "_blocks"), "_key").select("*", block)
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     buckets = placed.select(
-        "_bucket", "_rep", "_comp",
+        "_key", "_slot", "_rep", "_comp",
         F.least("_block", "_other").alias("_p"),
         F.greatest("_block", "_other").alias("_q"),
         (F.col("_block") > F.col("_other")).cast("int").alias("_side"),
-    ).join(classes.select("_rep", "n_shingles", "_sketch"), "_rep")
-    return checkpointed(_compared(buckets, percent / 100, 2 * rows * tables))
+    )
+    own = classes.select("_rep", "n_shingles", F.concat("_a", "_b").alias("_keys")).join(sets.select("_rep", "_wide"), "_rep")
+    return checkpointed(_compared(buckets.join(own, "_rep"), percent / 100, tables))
 
 
 def near_duplicates(
@@ -249,9 +259,10 @@ def near_duplicates(
     2. Classes that share a key of either collection with another are grouped by it, and
        every member is compared with one leader, the class that meets most others. What
        this links is merged.
-    3. Only where a group still holds two components are tables formed: pairs of such
-       keys. Buckets are cut to blocks, and pairs of different components are tested on
-       sizes and sketches there; large ones take more block pairs, not larger tasks.
+    3. Only where a group still holds two components are tables formed: its rows meet by
+       a key of the first collection, and two share a table when a key of the second
+       agrees too. Buckets are cut to blocks; pairs of different components are tested on
+       sizes and sketches there. A large bucket takes more block pairs, not larger tasks.
     4. All pairs found are confirmed on full sets; components of the confirmed links.
 
     A text that is null, empty or without words has 0 shingles and links with nothing.
@@ -261,31 +272,26 @@ def near_duplicates(
     base = checkpointed(sketches(docs, id_column, text, width, rows, tables))
     usable = base.where("_doc IS NOT NULL AND n_shingles > 0")
     classes = checkpointed(
-        usable.groupBy("_h1", "_h2", "n_shingles").agg(F.min(F.struct("_doc", "_a", "_b", "_sketch")).alias("r"))
-        .select("_h1", "_h2", "n_shingles", F.col("r._doc").alias("_rep"), "r._a", "r._b", "r._sketch")
-    )
-    slots = classes.select(
-        "_rep", F.posexplode(F.concat("_a", "_b")).alias("_slot", "_key")
+        usable.groupBy("_h1", "_h2", "n_shingles").agg(F.min(F.struct("_doc", "_a", "_b")).alias("r"))
+        .select("_h1", "_h2", "n_shingles", F.col("r._doc").alias("_rep"), "r._a", "r._b")
     )
+    slots = classes.select("_rep", F.posexplode(F.concat("_a", "_b")).alias("_slot", "_key"))
     shared = slots.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1")
     meets = checkpointed(slots.join(shared, "_key"))
     degree = meets.groupBy("_rep").agg(F.sum("n").alias("_degree"))
-    ranked = checkpointed(meets.join(degree, "_rep"))
-    leaders = ranked.groupBy("_key").agg(F.max_by("_rep", F.struct("_degree", -F.col("_rep"))).alias("_leader"))
-    sizes = classes.select("_rep", "n_shingles")
+    texts = docs.select(F.col(id_column).alias("_rep"), F.col(text).alias("_text"))
+    sets = _sets(texts, classes, degree.select("_rep"), width)
+    leaders = meets.join(degree, "_rep").groupBy("_key").agg(F.max_by("_rep", F.struct("_degree", -F.col("_rep"))).alias("_leader"))
     first = (
-        ranked.join(leaders, "_key").where("_rep <> _leader")
+        meets.join(leaders, "_key").where("_rep <> _leader")
         .select(F.least("_rep", "_leader").alias("a"), F.greatest("_rep", "_leader").alias("b")).distinct()
     )
+    sizes = classes.select("_rep", "n_shingles")
     first = first.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b")
-    first = checkpointed(
-        first.where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent).select("a", "b")
-    )
-    texts = docs.select(F.col(id_column).alias("_rep"), F.col(text).alias("_text")).where("_rep IS NOT NULL")
-    links = _confirmed(first, texts, classes, width, percent)
+    first = first.where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent).select("a", "b")
+    links = _confirmed(first, sets, percent)
     merged = components(links, "a", "b")
-    found = _in_tables(ranked, classes, merged, rows, tables, percent)
-    more = _confirmed(found, texts, classes, width, percent)
+    more = _confirmed(_in_tables(meets, classes, merged, sets, tables, percent), sets, percent)
     joined = components(links.unionByName(more), "a", "b")
     named = classes.join(joined.withColumnRenamed("node", "_rep"), "_rep", "left").select(
         "_h1", "_h2", "n_shingles", F.coalesce("component", "_rep").alias("component")
