@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import embedding_dedup, langid, minhash, quality, topk
+from procura.llm import bpe, embedding_dedup, langid, minhash, quality, secrets, topk
 from procura.llm.common import fold, table
 
 
@@ -34,6 +34,24 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return docs.select("doc_id", secrets.scan(F.col("text")).alias("d")).select("doc_id", "d.*")
+
+
+def tokenizer() -> str:
+    """The default vocabulary file, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sent = bpe.vocabulary(spark, path or tokenizer())
+    return docs.select("doc_id", bpe.digests(F.col("text"), sent).alias("d")).select("doc_id", "d.*")
+
+
 def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
@@ -43,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op3_minhash": op3_minhash,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op8_secrets": op8_secrets,
+    "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
 }
 
