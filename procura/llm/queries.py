@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import bpe, embedding_dedup, langid, minhash, quality, secrets, topk
+from procura.llm import bpe, embedding_dedup, langid, minhash, quality, secrets, topk, urls
 from procura.llm.common import fold, table
 
 
@@ -34,6 +34,11 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judge(table(spark, folder, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", secrets.scan(F.col("text")).alias("d")).select("doc_id", "d.*")
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_langid": op5_langid,
     "op3_minhash": op3_minhash,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
