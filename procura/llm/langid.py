@@ -148,7 +148,7 @@ def fit(
     data = kept.limit(sample).toPandas().sort_values("_id")
     languages = sorted(set(data["_lang"]))
     examples = [
-        (np.append(at, buckets), np.append(value, 1.0).astype(np.float64), languages.index(name))
+        (np.append(np.asarray(at, np.int64), buckets), np.append(value, 1.0).astype(np.float64), languages.index(name))
         for at, value, name in zip(data["_at"], data["_value"], data["_lang"], strict=True)
     ]
     held = [k % 10 == 9 for k in range(len(examples))]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import bpe, embedding_dedup, langid, minhash, quality, secrets, topk, urls
+from procura.llm import bpe, embedding_dedup, langid, minhash, mixing, quality, secrets, topk, urls
 from procura.llm.common import fold, table
 
 
@@ -26,6 +26,11 @@ def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).select("doc_id", "_mix.*")
+
+
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -64,6 +69,7 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_langid": op5_langid,
+    "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op7_urls": op7_urls,
