@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import bpe, embedding_dedup, langid, minhash, mixing, quality, secrets, topk, urls
+from procura.llm import bpe, chat, embedding_dedup, langid, minhash, mixing, quality, secrets, topk, urls
 from procura.llm.common import fold, table
 
 
@@ -39,6 +39,12 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op6_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    found = chat.format_chats(rows, F.coalesce(fold("_key", 5) != 0, F.lit(False)))
+    return found.withColumn("held_out", F.coalesce(fold("conv_id", 5) == 0, F.lit(False)))
+
+
 def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
     found = urls.judge(table(spark, folder, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict", "score")
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op6_chat": op6_chat,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
