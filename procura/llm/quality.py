@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura.llm.common import mix, word_hashes
+from procura.operators.joins import checkpointed
 
 _SHAPE = bytes(
     65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256)
@@ -104,12 +105,13 @@ def _platt(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", label: str = "quality",
-    buckets: int = 1 << 17, sample: int = 6000, cost: float = 0.01, epochs: int = 10, smooth: float = 1.0,
+    buckets: int = 1 << 17, sample: int = 16_000, fitted: int = 5_000, cost: float = 0.01, epochs: int = 10, smooth: float = 1.0,
 ) -> Model:
     """Learn from labelled rows whose id satisfies ``learn`` (a column over ``id_column``).
 
-    Class counts cover all such rows. The margin is fitted to at most ``sample`` of them,
-    chosen by a hash of the id, and a fifth of those sets the probability. An id with
+    At most ``sample`` of them are read, chosen by a hash of the id, so that no text is
+    shuffled: their ids are broadcast. Class counts cover the sample; the margin is fitted
+    to at most ``fitted`` of it, and a fifth of those sets the probability. An id with
     several labels has the one that at least half of them say; null labels and texts of
     unlabelled ids are not read. With labels of one class only, or none, every score is
     the share of label 1, or one half.
@@ -129,7 +131,9 @@ def fit(
         at = np.flatnonzero(found.any(axis=0))
         yield pd.DataFrame({"bucket": np.append(at, -1), "bad": np.append(found[0, at], total[0]), "good": np.append(found[1, at], total[1])})
 
-    counted = rows.join(truth, "_id").select("_text", "_good").mapInPandas(count, "bucket long, bad long, good long")
+    place = F.row_number().over(Window.orderBy(F.xxhash64("_id"), "_id"))
+    chosen = checkpointed(truth.orderBy(F.xxhash64("_id"), "_id").limit(sample).withColumn("_place", place))
+    counted = rows.join(F.broadcast(chosen), "_id").select("_text", "_good").mapInPandas(count, "bucket long, bad long, good long")
     sums = counted.groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
     totals = sums[sums["bucket"] == -1]
     bad, good = int(totals["bad"].sum()), int(totals["good"].sum())
@@ -150,9 +154,8 @@ def fit(
                 at = features(t if isinstance(t, str) else None, buckets, known)
                 yield pd.DataFrame({"_id": [i], "_good": [y], "_at": [at.astype(np.int32)]})
 
-    chosen = truth.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    kept = rows.join(F.broadcast(chosen), "_id").mapInPandas(sparse, "_id long, _good boolean, _at array<int>")
-    data = kept.limit(sample).toPandas()
+    kept = rows.join(F.broadcast(chosen.where(F.col("_place") <= fitted)), "_id")
+    data = kept.mapInPandas(sparse, "_id long, _good boolean, _at array<int>").limit(fitted).toPandas()
     data = data.sort_values("_id", kind="stable")
     examples, positive = [np.asarray(a, np.int64) for a in data["_at"]], data["_good"].to_numpy(bool)
     if positive.all() or not positive.any():
