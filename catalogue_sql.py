@@ -57,23 +57,24 @@ LOTS = """lots AS (
 
 _NAME = """CASE d.doc_id % 9 WHEN 0 THEN 'Техническое задание_' WHEN 1 THEN 'CRM-отчёт '
     WHEN 2 THEN 'Проект договора ' ELSE 'doc ' END || lpad(CAST(d.doc_id AS VARCHAR), 7, '0')
-    || CASE WHEN d.n_chars < 60 THEN '.rar' ELSE
-       CASE d.doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.docx' WHEN 2 THEN '.PDF' ELSE '.md' END END"""
+    || CASE d.doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.docx' WHEN 2 THEN '.PDF' ELSE '.md' END"""
 
-FILES = f"""files AS (
-  SELECT '/inbox/' || source || '/' || name AS path, source AS top_dir, name, text_sample FROM (
-    SELECT source, {_NAME} AS name,
-           CASE WHEN d.n_chars < 60 THEN '' ELSE d.text END AS text_sample
-    FROM documents d))"""
+# Every fiftieth document has an archive without text beside it.
+_BOTH = f"""docs AS (
+  SELECT doc_id, source, {_NAME} AS name, text AS text_sample FROM documents d
+  UNION ALL
+  SELECT doc_id, source, 'doc ' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '.rar', ''
+  FROM documents WHERE doc_id % 50 = 7)"""
+
+FILES = f"""{_BOTH}, files AS (
+  SELECT '/inbox/' || source || '/' || name AS path, source AS top_dir, name, text_sample FROM docs)"""
 
-FILED = f"""files AS (
+FILED = f"""{_BOTH}, files AS (
   SELECT '/inbox/' || top_dir || '/' || name AS path, top_dir, name, text_sample FROM (
     SELECT CASE WHEN d.doc_id % 13 = 5 THEN lpad(CAST(d.doc_id * 97 + 13 AS VARCHAR), 5, '0')
                 WHEN b.text IS NOT NULL THEN 'Лот ' || translate(b.text, '/ ', '__')
-                ELSE d.source END AS top_dir,
-           {_NAME} AS name,
-           CASE WHEN d.n_chars < 60 THEN '' ELSE d.text END AS text_sample
-    FROM documents d LEFT JOIN benchmark b ON b.item_id * 11 + 3 = d.doc_id))"""
+                ELSE d.source END AS top_dir, d.name, d.text_sample
+    FROM docs d LEFT JOIN benchmark b ON b.item_id * 11 + 3 = d.doc_id))"""
 
 READABLE = "NOT (f.text_sample = '' AND lower(" + _suffix("f.name") + ") IN ('.rar', '.7z'))"
 
@@ -128,6 +129,25 @@ all_tiers AS (SELECT * FROM named UNION ALL SELECT tender_id, path, 4 FROM band)
 found AS (SELECT * FROM all_tiers QUALIFY tier = min(tier) OVER (PARTITION BY tender_id))"""
 
 
+FILED_LOTS = f"{LOTS}, {FILED}"
+_RAW_FILES = """files AS (
+  SELECT path, CASE WHEN contains(path[8:], '/') THEN string_split(path, '/')[3] END AS top_dir,
+         regexp_extract(path, '([^/]*)$', 1) AS name, text_sample FROM (
+    SELECT '/inbox/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.TXT' WHEN 1 THEN '.docx' ELSE '.bin' END AS path,
+      CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, chr(10), ' ') ELSE '' END AS text_sample
+    FROM documents
+    UNION ALL SELECT '/inbox/' || source || '/d' || doc_id || '__extracted/docs/d' || doc_id || '.txt', text
+    FROM documents WHERE doc_id % 7 <> 6
+    UNION ALL SELECT '/inbox/' || source || '/d' || doc_id || '__extracted/readme.md', CAST(length(text) AS VARCHAR)
+    FROM documents WHERE doc_id % 7 <> 6))"""
+REVIEW_RUN = TIERS.replace(
+    f"WITH {LOTS}, {FILED}",
+    f"""WITH {LOTS.replace('lots AS', 'all_lots AS', 1)}, lots AS (SELECT * FROM (
+  SELECT *, row_number() OVER (ORDER BY deadline_at NULLS LAST, row_number) AS n FROM all_lots)
+  WHERE n > 3 AND n <= 33), {_RAW_FILES}""",
+)
+
+
 def _priority(group: str, path: str = "path") -> str:
     name = f"regexp_extract({path}, '([^/]*)$', 1)"
     words = " + ".join(
@@ -140,7 +160,7 @@ def _priority(group: str, path: str = "path") -> str:
     )
 
 
-ORDER_TENDERS = """tenders AS (
+ORDER_LOTS = """lots AS (
   SELECT CAST(o_orderkey AS INTEGER) AS row_number, CAST(o_orderkey AS VARCHAR) AS tender_id,
          c_mktsegment || ' / ' || o_orderpriority AS title,
          'https://etp.example.com/lot/' || o_orderkey AS url,
@@ -234,19 +254,21 @@ FETCHED = f"""named AS (
   SELECT l.page_id, l.abs_url, l.pos, e.event_type, e.value,
     CASE e.user_id % 3 WHEN 0 THEN 'doc_' || l.page_id || '.pdf' WHEN 1 THEN 'scan.html'
     ELSE {_detect('l.abs_url', 'l.text')} END AS filename
-  FROM links l JOIN events e ON e.event_id = l.page_id),
+  , e.event_id
+  FROM links l JOIN events e ON e.event_id % (SELECT count(*) FROM pages) = l.page_id),
 fetched AS (SELECT page_id, abs_url, pos, filename FROM named
   WHERE event_type <> 'error' AND NOT (value > 10 AND
-    lower({_suffix('filename')}) NOT IN {_list(vocab.DOCUMENT_EXTENSIONS)}))"""
+    lower({_suffix('filename')}) NOT IN {_list(vocab.DOCUMENT_EXTENSIONS)})
+  QUALIFY row_number() OVER (PARTITION BY page_id, abs_url ORDER BY event_id DESC) = 1)"""
 OUTCOMES = f"""outcomes AS (
   SELECT *, CASE WHEN n_files > 0 THEN 'ok' WHEN n_links > 0 THEN 'blocked' ELSE 'error' END AS status,
     CASE WHEN n_files > 0 THEN NULL WHEN n_links > 0 THEN 10
          WHEN source_url IS NULL THEN 5 ELSE 0 END AS confidence_percent,
     CASE WHEN n_files > 0 THEN NULL WHEN n_links > 0 THEN {_q(vocab.BLOCKED_COMMENT)}
-         WHEN source_url IS NULL THEN {_q(vocab.NOTHING_FOUND_COMMENT)}
+         WHEN source_url IS NULL THEN {_q(vocab.NOTHING_FOUND_COMMENT.format(portal=vocab.PORTAL_LABEL))}
          ELSE {_q(vocab.PIPELINE_ERROR_COMMENT)} END AS classification_comment,
     CASE WHEN n_files > 0 THEN '' WHEN n_links > 0 THEN {_q(vocab.BLOCKED_ERROR)}
-         WHEN source_url IS NULL THEN {_q(vocab.NOTHING_FOUND_ERROR)}
+         WHEN source_url IS NULL THEN {_q(vocab.NOTHING_FOUND_ERROR.format(portal=vocab.PORTAL_LABEL))}
          ELSE {_q(vocab.SOURCE_EMPTY_ERROR)} END AS error
   FROM (SELECT p.page_id,
           (SELECT count(*) FROM links l WHERE l.page_id = p.page_id) AS n_links,
@@ -265,11 +287,11 @@ _before, _rest = vocab.ANALYSIS_PROMPT.split("{url}")
 _PROMPT_TAIL = _rest.replace("{template}", TEMPLATE).replace("{{", "{").replace("}}", "}").replace(
     "{tags}", ", ".join(vocab.TAGS)
 )
-ORDER_FILES = f"""{ORDER_TENDERS}, {FILES},
+ORDER_FILES = f"""{ORDER_LOTS}, {FILES},
 top AS (SELECT tender_id, path, name, {_priority('tender_id')} AS priority FROM (
   SELECT CAST(CAST(regexp_extract(name, '([0-9]{{7}})', 1) AS INTEGER) AS VARCHAR) AS tender_id, path, name
   FROM files) QUALIFY priority <= 4),
-listed AS (SELECT t.*, coalesce(n.n_files, 0) AS n_files, n.names, n.paths FROM tenders t LEFT JOIN (
+listed AS (SELECT t.*, coalesce(n.n_files, 0) AS n_files, n.names, n.paths FROM lots t LEFT JOIN (
   SELECT tender_id, count(*) AS n_files, string_agg(name, ', ' ORDER BY priority) AS names,
          string_agg(path, '|' ORDER BY priority) AS paths FROM top GROUP BY 1) n USING (tender_id))"""
 
@@ -300,12 +322,12 @@ kinds AS (SELECT *, CASE WHEN event_id % 29 = 0 THEN 'error'
       WHEN 1 THEN props WHEN 2 THEN '[' || body || ']' WHEN 3 THEN event_type ELSE body END AS raw
   FROM answers)"""
 
-GRADED = f"""{ORDER_TENDERS}, graded AS (
+GRADED = f"""{ORDER_LOTS}, graded AS (
   SELECT row_number, tender_id, title, url, deadline_at,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'В работу' WHEN '2-HIGH' THEN 'Подано'
       WHEN '3-MEDIUM' THEN 'Не наш стек' ELSE 'Не изучено' END AS tag,
     row_number % 101 AS confidence_percent, 'статус ' || o_orderstatus AS comment,
-    {_sheet('deadline_at')} AS sheet FROM tenders)"""
+    {_sheet('deadline_at')} AS sheet FROM lots)"""
 
 _RAW_DATE = """CASE o_orderkey % 7
   WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y')
@@ -338,6 +360,8 @@ def _manifest(source: str) -> str:
           FROM {source})"""
 
 
+# Some titles already end in a number.
+_SUFFIXED = "CASE WHEN row_number % 97 = 0 THEN ' (2)' WHEN row_number % 89 = 0 THEN ' (3)' ELSE '' END"
 _ORDERED = "row_number() OVER (ORDER BY deadline_at NULLS LAST, row_number)"
 
 ORACLE: dict[str, str] = {
@@ -348,7 +372,7 @@ ORACLE: dict[str, str] = {
       {_any(_norm('name'), vocab.PROJECT_MARKERS)} AS is_project,
       CAST({' + '.join(f"CAST(contains({_norm('name')}, {_q(w)}) AS INTEGER)" for w in vocab.PRIORITY_KEYWORDS)} AS INTEGER) AS keywords,
       regexp_replace(name, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') AS dirname,
-      {_detect("path || '/?v=1'", 'left(text_sample, 40)')} AS by_label,
+      {_detect("path || '/?v=1'", 'text_sample')} AS by_label,
       {_detect("path || '?v=1/2'", "''")} AS by_href,
       CASE WHEN length(text_sample) % 2 = 0 THEN name ELSE 'fallback.bin' END AS by_header
       FROM files""",
@@ -372,26 +396,26 @@ ORACLE: dict[str, str] = {
       FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN card ELSE url END AS url,
               CASE WHEN page_id % 3 = 0 THEN card ELSE '' END AS portal_url,
               CASE page_id % 4 WHEN 0 THEN 'Источник' WHEN 1 THEN '' ELSE '№' || page_id END AS shown
-            FROM (SELECT *, 'https://PRO.myseldon.com/ru/Tender/' || page_id || '/x' AS card FROM pages))""",
+            FROM (SELECT *, 'https://CARDS.portal.example.org/ru/Tender/' || page_id || '/x' AS card FROM pages))""",
     "tender_listing": f"""SELECT * FROM (SELECT row_number,
       CASE WHEN k % 5 > 1 THEN 'L' || k ELSE {_url_id('url', 'row_number')} END AS tender_id,
       title, url, deadline_at, customer, customer_inn,
       CASE k % 5 WHEN 0 THEN 'Источник' WHEN 1 THEN '' ELSE ' L' || k END AS raw_number, n_links
     FROM (SELECT o_orderkey AS k, CAST(o_orderkey + 2 AS INTEGER) AS row_number,
         c_mktsegment || ' ' || o_orderpriority || ' ' || c_name AS title,
-        CASE WHEN o_orderkey % 12 = 0 THEN 'https://pro.myseldon.com/ru/tender/' || o_orderkey
+        CASE WHEN o_orderkey % 12 = 0 THEN 'https://cards.portal.example.org/ru/tender/' || o_orderkey
              WHEN o_orderkey % 17 = 0 THEN '' ELSE 'https://etp.example.com/card/x' || o_orderkey END AS url,
         o_orderdate AS deadline_at, c_name AS customer,
         CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR)
              ELSE CAST(c_acctbal AS VARCHAR) END AS customer_inn,
         CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_links
       FROM orders JOIN customer ON o_custkey = c_custkey)) WHERE url <> ''""",
-    "deadline_day": f"""WITH {ORDER_TENDERS} SELECT tender_id, title, deadline_at FROM tenders
+    "deadline_day": f"""WITH {ORDER_LOTS} SELECT tender_id, title, deadline_at FROM lots
       WHERE CAST(deadline_at AS DATE) = DATE '1998-10-03'""",
-    "deadline_queue": f"""WITH {ORDER_TENDERS} SELECT tender_id, deadline_at, row_number FROM (
-      SELECT *, {_ORDERED} AS n FROM tenders) WHERE n > 100""",
-    "queue_head": f"""WITH {ORDER_TENDERS} SELECT tender_id, deadline_at, row_number FROM (
-      SELECT *, {_ORDERED} AS n FROM tenders) WHERE n > 20 AND n <= 520""",
+    "deadline_queue": f"""WITH {ORDER_LOTS} SELECT tender_id, deadline_at, row_number FROM (
+      SELECT *, {_ORDERED} AS n FROM lots) WHERE n > 100""",
+    "queue_head": f"""WITH {ORDER_LOTS} SELECT tender_id, deadline_at, row_number FROM (
+      SELECT *, {_ORDERED} AS n FROM lots) WHERE n > 20 AND n <= 520""",
     "page_anchors": f"WITH {ANCHORS} SELECT page_id, pos, href, abs_url, text FROM anchors",
     "page_links": f"WITH {ANCHORS}, {FOLLOW}, {LINKS} SELECT page_id, abs_url, pos, text FROM links",
     "source_link": f"WITH {ANCHORS}, {FOLLOW}, {SOURCES} SELECT page_id, source_url FROM sources",
@@ -420,14 +444,20 @@ ORACLE: dict[str, str] = {
     "match_tiers": f"{TIERS} SELECT DISTINCT tender_id, path, tier FROM found",
     "file_priority": f"""WITH {FILES} SELECT top_dir, path,
       CAST({_priority('top_dir')} AS INTEGER) AS priority FROM files QUALIFY priority <= 4""",
-    "match_prompts": f"""{MATCH}, lines AS (SELECT tender_id, {OPTION} AS line FROM lots),
-      everyone AS (SELECT string_agg(line, chr(10) ORDER BY tender_id) AS options FROM lines),
-      own AS (SELECT path, string_agg(line, chr(10) ORDER BY rn) AS options
-              FROM ranked JOIN lines USING (tender_id) GROUP BY 1)
-      SELECT f.path, {_q(vocab.MATCH_PROMPT_HEAD)} || f.name || {_q(vocab.MATCH_PROMPT_TEXT)}
+    "match_prompts": f"""{MATCH} SELECT f.path, {_q(vocab.MATCH_PROMPT_HEAD)} || f.name || {_q(vocab.MATCH_PROMPT_TEXT)}
         || coalesce(nullif(left(f.text_sample, 5000), ''), {_q(vocab.MATCH_NO_TEXT)})
-        || {_q(vocab.MATCH_PROMPT_OPTIONS)} || coalesce(own.options, everyone.options) AS prompt
-      FROM files f CROSS JOIN everyone LEFT JOIN own ON own.path = f.path WHERE {READABLE}""",
+        || {_q(vocab.MATCH_PROMPT_OPTIONS)} AS prompt,
+        CASE WHEN f.path IN (SELECT path FROM ranked) THEN f.path ELSE '*' END AS option_set
+      FROM files f WHERE {READABLE}""",
+    "match_options": f"""{MATCH}, lines AS (SELECT tender_id, {OPTION} AS line FROM lots)
+      SELECT path AS option_set, rn, tender_id, line FROM ranked JOIN lines USING (tender_id)
+      UNION ALL SELECT '*', CAST(0 AS INTEGER), tender_id, line FROM lines""",
+    "match_scored": f"""{MATCH}, everyone AS (SELECT min(tender_id) AS tender_id FROM lots)
+      SELECT f.path, coalesce(r.tender_id, e.tender_id) AS tender_id,
+        CAST(coalesce(r.score, 8) AS INTEGER) AS score
+      FROM files f CROSS JOIN everyone e LEFT JOIN ranked r ON r.path = f.path AND r.rn = 1
+      WHERE {READABLE} AND length(f.path) % 3 > 0
+      UNION ALL SELECT path, tender_id, score FROM chosen WHERE length(path) % 3 = 0""",
     "match_choices": f"""{MATCH}, first AS (SELECT *, length(path) % 5 AS k FROM ranked WHERE rn = 1)
       SELECT path, tender_id, score FROM first WHERE k IN (0, 2, 4) AND score % 4 NOT IN (0, 1)
       UNION ALL SELECT c.path, c.tender_id, c.score FROM chosen c JOIN first f ON f.path = c.path
@@ -452,11 +482,8 @@ ORACLE: dict[str, str] = {
       CAST(n_files AS INTEGER) AS n_files FROM listed""",
     "stub_results": f"""WITH {ORDER_FILES} SELECT tender_id, title, customer, 'ok' AS status,
       {_q(vocab.DEFAULT_TAG)} AS classification_tag,
-      CAST(CASE WHEN n_files = 0 THEN 0 ELSE 1 END AS INTEGER) AS confidence_percent,
-      CASE WHEN n_files = 0 THEN {_q(vocab.NO_FILES_COMMENT)} ELSE {_stub_comment('names')} END
-        AS classification_comment,
-      CASE WHEN n_files = 0 THEN {_q(vocab.NO_FILES_ANALYSIS)} ELSE {_q(vocab.STUB_ANALYSIS)} END
-        AS analysis_markdown,
+      CAST(1 AS INTEGER) AS confidence_percent, {_stub_comment('names')} AS classification_comment,
+      {_q(vocab.STUB_ANALYSIS)} AS analysis_markdown,
       coalesce(paths, '') AS files FROM listed""",
     "parse_responses": f"""WITH {RESPONSES} SELECT event_id,
       CASE WHEN kind = 'good' AND tag <> 'Иное' THEN tag ELSE {_q(vocab.DEFAULT_TAG)} END AS classification_tag,
@@ -476,20 +503,64 @@ ORACLE: dict[str, str] = {
       SELECT s.sheet, CAST(t.ord AS INTEGER) AS ord, t.tag,
         (SELECT count(*) FROM graded g WHERE g.sheet = s.sheet AND g.tag = t.tag) AS n
       FROM sheets s CROSS JOIN tags t""",
-    "report_upsert": f"""WITH {ORDER_TENDERS}, both_sides AS (
-        SELECT customer_inn AS tender_id, strftime(deadline_at, '%Y-%m-%d %H:%M') || ' ' || lpad(tender_id, 9, '0')
-          AS version, title, deadline_at, 0 AS fresh FROM tenders WHERE deadline_at IS NOT NULL
+    "listing_scan": f"""WITH {ORDER_LOTS} SELECT row_number, 'N' || tender_id AS tender_id,
+      title || chr(10) || 'line "two"' AS title, url, deadline_at, customer, customer_inn FROM lots""",
+    "folder_scan": """SELECT 'source=' || source AS top_dir, '.txt' AS suffix,
+      CAST(sum(2 * strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source""",
+    "manifest_cycle": f"WITH {ORDER_LOTS} {_manifest('lots')}",
+    "report_cycle": f"""WITH {GRADED}, third AS (
+        SELECT row_number, tender_id, title, tag,
+          CASE WHEN year(deadline_at) = 1992 THEN NULL
+               WHEN row_number % 7 = 0 THEN deadline_at + INTERVAL 40 DAY ELSE deadline_at END AS deadline_at,
+          CASE WHEN year(deadline_at) = 1992 THEN 3 WHEN row_number % 7 = 0 THEN 2 ELSE 1 END AS version
+        FROM graded)
+      SELECT {_sheet('deadline_at')} AS sheet, tender_id, tag, title, {_deadline('deadline_at')} AS deadline,
+        CAST(version AS BIGINT) AS version,
+        row_number() OVER (PARTITION BY {_sheet('deadline_at')} ORDER BY deadline_at NULLS LAST, row_number) AS number
+      FROM third""",
+    "portal_cycle": f"""{PORTAL}, names AS (SELECT page_id,
+        string_agg(filename, ', ' ORDER BY pos, filename) AS names FROM fetched GROUP BY 1), {ORDER_LOTS},
+      queued AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY deadline_at NULLS LAST, row_number) AS n
+        FROM lots WHERE row_number IN (SELECT page_id FROM pages)) WHERE n > 5 AND n <= 5005)
+      SELECT {_sheet('deadline_at')} AS sheet, tender_id, {_q(vocab.DEFAULT_TAG)} AS tag,
+        CAST(CASE WHEN status = 'ok' THEN 1 ELSE confidence_percent END AS INTEGER) AS confidence_percent,
+        CASE WHEN status = 'ok' THEN {_stub_comment('names')} ELSE classification_comment END AS comment,
+        {_deadline('deadline_at')} AS deadline,
+        row_number() OVER (PARTITION BY {_sheet('deadline_at')} ORDER BY deadline_at NULLS LAST, row_number) AS number
+      FROM queued q JOIN outcomes o ON o.page_id = q.row_number LEFT JOIN names m ON m.page_id = o.page_id""",
+    "review_run": f"""{REVIEW_RUN}, top AS (SELECT *, {_priority('tender_id')} AS priority
+        FROM (SELECT DISTINCT tender_id, path FROM found) QUALIFY priority <= 4),
+      done AS (SELECT tender_id,
+        {_stub_comment("string_agg(regexp_extract(path, '([^/]*)$', 1), ', ' ORDER BY priority)")} AS comment
+        FROM top GROUP BY tender_id)
+      SELECT {_sheet('deadline_at')} AS sheet, title, {_q(vocab.DEFAULT_TAG)} AS tag,
+        CAST(1 AS INTEGER) AS confidence_percent, comment, {_deadline('deadline_at')} AS deadline,
+        row_number() OVER (PARTITION BY {_sheet('deadline_at')} ORDER BY deadline_at NULLS LAST, row_number) AS number
+      FROM done JOIN lots USING (tender_id)""",
+    "retargeted": f"""WITH {ANCHORS}, {FOLLOW}, {SOURCES}, {ORDER_LOTS}
+      SELECT tender_id, title, source_url AS url FROM lots JOIN sources ON page_id = row_number""",
+    "target_day": f"""WITH {ORDER_LOTS} SELECT customer, count(*) AS n FROM lots
+      WHERE CAST(deadline_at AS DATE) = DATE '1998-10-03' GROUP BY 1""",
+    "files_by_path": f"""WITH {FILED_LOTS} SELECT path,
+      row_number() OVER (ORDER BY string_split(path, '/')) AS n FROM files""",
+    "matched_order": f"""{MATCH} SELECT path, tender_id, score, row_number() OVER (ORDER BY tender_id, score DESC,
+      lower(regexp_extract(path, '([^/]*)$', 1)), path) AS n FROM chosen""",
+    "report_upsert": f"""WITH {ORDER_LOTS}, both_sides AS (
+        SELECT customer_inn AS tender_id, CAST(tender_id AS BIGINT) AS version, title, deadline_at, 0 AS fresh FROM lots
         UNION ALL
-        SELECT CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d %H:%M') || ' ' || lpad(CAST(event_id AS VARCHAR), 9, '0'),
-          event_type, ts, 1 FROM events)
+        SELECT CAST(user_id AS VARCHAR), event_id, event_type, ts, 1 FROM events)
       SELECT tender_id, version, title, {_sheet('deadline_at')} AS sheet, {_deadline('deadline_at')} AS deadline
       FROM both_sides QUALIFY row_number() OVER (PARTITION BY tender_id ORDER BY version DESC, fresh DESC) = 1""",
     "manifest": f"WITH {LOTS} {_manifest('lots')}",
-    "order_manifest": f"WITH {ORDER_TENDERS} {_manifest('tenders')}",
+    "order_manifest": f"WITH {ORDER_LOTS} {_manifest('lots')}",
     "folder_names": f"SELECT doc_id, {_folder('text')} AS folder_name FROM documents",
-    "unique_names": f"""WITH {ORDER_TENDERS} SELECT row_number,
-      CASE WHEN n = 1 THEN title ELSE title || ' (' || n || ')' END AS title FROM (
-      SELECT row_number, title, row_number() OVER (PARTITION BY title ORDER BY row_number) AS n FROM tenders)""",
+    "unique_names": f"""WITH {ORDER_LOTS}, titled AS (SELECT row_number, title || {_SUFFIXED} AS title FROM lots),
+      used AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY row_number) AS n FROM titled),
+      open_numbers AS (SELECT title, k, row_number() OVER (PARTITION BY title ORDER BY k) + 1 AS n
+        FROM (SELECT DISTINCT title FROM titled) t, range(2, 20002) r(k)
+        WHERE title || ' (' || k || ')' NOT IN (SELECT title FROM titled))
+      SELECT row_number, CASE WHEN u.n = 1 THEN title ELSE title || ' (' || k || ')' END AS title
+      FROM used u LEFT JOIN open_numbers o USING (title, n)""",
     "archive_members": """WITH zips AS (SELECT '/inbox/' || source || '/d' || doc_id AS stem, doc_id, text
         FROM documents WHERE doc_id % 7 <> 6)
       SELECT stem || '.ZIP' AS archive, member, stem || '__extracted/' || member AS path,

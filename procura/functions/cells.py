@@ -20,11 +20,13 @@ def display_value(c: Column) -> Column:
 
 def display_number(c: Column) -> Column:
     """Text of a numeric cell; whole numbers lose their decimal point."""
-    whole = c.cast("decimal(38,0)").cast("string")
+    whole = c.try_cast("decimal(38,0)").cast("string")
     # Large fractions in plain digits, not in exponent form.
-    large = F.rtrim(c.cast("decimal(38,10)").cast("string"), F.lit("0"))
+    large = F.rtrim(c.try_cast("decimal(38,10)").cast("string"), F.lit("0"))
     broken = F.when(F.abs(c) >= 1e7, large).otherwise(c.cast("string"))
-    return F.coalesce(F.when(c == F.floor(c), whole).otherwise(broken), F.lit(""))
+    shown = F.when(c == F.rint(c), whole).otherwise(broken)
+    # Beyond 38 digits the number stays in exponent form.
+    return F.coalesce(shown, c.cast("string"), F.lit(""))
 
 
 def text_datetime(c: Column) -> Column:
@@ -59,6 +61,7 @@ def serial_datetime(c: Column, date1904: bool = False) -> Column:
     starting days around serial 60.
     """
     x = c.cast("double")
+    x = F.when(F.abs(x) < 1e8, x)  # NULL for what no calendar holds, infinity too
     days = x.cast("long")
     millis = F.rint((x - days) * 86_400_000.0)
     seconds = (millis / 1000).cast("decimal(18,6)")
@@ -94,7 +97,7 @@ def derive_tender_id(url: Column, row_number: Column) -> Column:
 def portal_url(
     links: Column,
     host: str = vocab.PORTAL_HOST,
-    marker: str = vocab.PORTAL_TENDER_MARKER,
+    marker: str = vocab.PORTAL_CARD_MARKER,
 ) -> Column:
     """First link of the array that is a tender card of the portal, else ``''``."""
     cards = F.filter(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 128 * 1024 * 1024
 # Copies of a small side against one hot key of the other side.
 SALTS = 16
+# An input of fewer splits is at most a few gigabytes and may be dealt out again.
+FEW_SPLITS = 16
 _ROW_BYTES = 32
 
 
@@ -66,14 +68,14 @@ def lookup_join(
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input that comes in a few large splits.
 
-    Large inputs have more splits than the cluster has cores and pass through
-    untouched; only a small one is shuffled, before work that is heavy per row. For
-    plain scans: counting the splits of a plan with shuffles would run them.
+    Only an input of fewer splits than ``FEW_SPLITS`` is shuffled, before work that is
+    heavy per row; any other passes through untouched, on a cluster of any size (smaller
+    splits are what ``spark.sql.files.maxPartitionBytes`` is for). For plain scans:
+    counting the splits of a plan with shuffles would run them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
+    if df.rdd.getNumPartitions() >= FEW_SPLITS:
         return df
-    return df.repartition(2 * cores)
+    return df.repartition(FEW_SPLITS)
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:

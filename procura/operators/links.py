@@ -94,7 +94,9 @@ def fetched_files(links: DataFrame, fetch_log: DataFrame) -> DataFrame:
     """Files that a fetch of ``links`` brought, with their names.
 
     ``fetch_log`` has ``page_id, url, status, content_type, content_disposition``.
-    Failed fetches and web pages instead of documents are left out.
+    Failed fetches and web pages instead of documents are left out. The log may hold
+    retries: of a link fetched more than once, the file of the largest ``attempt`` (a
+    column of the log, if it has one) counts.
     """
     fetched = fetch_log.filter(F.col("status").between(200, 299)).withColumnRenamed(
         "url", "abs_url"
@@ -106,16 +108,21 @@ def fetched_files(links: DataFrame, fetch_log: DataFrame) -> DataFrame:
             text.detect_filename(F.col("abs_url"), F.col("text")),
         ),
     )
-    return named.filter(
-        ~urls.is_html_response(F.col("content_type"), F.col("filename"))
-    ).select("page_id", "abs_url", "pos", "filename")
+    attempt = F.col("attempt") if "attempt" in fetch_log.columns else F.lit(0)
+    good = named.filter(~urls.is_html_response(F.col("content_type"), F.col("filename")))
+    return good.groupBy("page_id", "abs_url", "pos").agg(
+        F.max_by("filename", F.struct(attempt, "filename")).alias("filename")
+    )
 
 
-def outcome(n_links: Column, n_files: Column, has_source: Column) -> Column:
+def outcome(
+    n_links: Column, n_files: Column, has_source: Column, portal: str = vocab.PORTAL_LABEL
+) -> Column:
     """``struct(status, confidence_percent, classification_comment, error)``.
 
     Files found: ok, to be classified. Document links without files: blocked. No
     link and no source page: nothing found. A source page without files: error.
+    ``portal`` is what messages call the portal.
     """
     def row(status: str, confidence: int | None, comment: str | None, error: str) -> Column:
         return F.struct(
@@ -129,14 +136,24 @@ def outcome(n_links: Column, n_files: Column, has_source: Column) -> Column:
         F.when(n_files > 0, row("ok", None, None, ""))
         .when(n_links > 0, row("blocked", 10, vocab.BLOCKED_COMMENT, vocab.BLOCKED_ERROR))
         .when(
-            ~has_source, row("error", 5, vocab.NOTHING_FOUND_COMMENT, vocab.NOTHING_FOUND_ERROR)
+            ~has_source,
+            row(
+                "error",
+                5,
+                vocab.NOTHING_FOUND_COMMENT.format(portal=portal),
+                vocab.NOTHING_FOUND_ERROR.format(portal=portal),
+            ),
         )
         .otherwise(row("error", 0, vocab.PIPELINE_ERROR_COMMENT, vocab.SOURCE_EMPTY_ERROR))
     )
 
 
 def page_outcomes(
-    pages: DataFrame, links: DataFrame, files: DataFrame, sources: DataFrame
+    pages: DataFrame,
+    links: DataFrame,
+    files: DataFrame,
+    sources: DataFrame,
+    portal: str = vocab.PORTAL_LABEL,
 ) -> DataFrame:
     """Outcome of every page from its document links, fetched files and source link."""
     n_links = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
@@ -150,5 +167,5 @@ def page_outcomes(
         .withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     )
     return counted.withColumn(
-        "o", outcome(F.col("n_links"), F.col("n_files"), F.col("source_url").isNotNull())
+        "o", outcome(F.col("n_links"), F.col("n_files"), F.col("source_url").isNotNull(), portal)
     ).select("page_id", "n_links", "n_files", "source_url", "o.*")

@@ -21,7 +21,7 @@ _CLASS, _SHARED, _ID = 0, 1, 2
 _POSTING_BYTES = 128
 
 
-def _features(tenders: DataFrame, stopwords: Sequence[str]) -> DataFrame:
+def _features(lots: DataFrame, stopwords: Sequence[str]) -> DataFrame:
     """``tender_id, features``: what a text must contain to score for a tender.
 
     A feature is ``(needle, weight, mult)``. A token that the title repeats is a
@@ -46,7 +46,7 @@ def _features(tenders: DataFrame, stopwords: Sequence[str]) -> DataFrame:
         ),
         lambda f: f["needle"] != "",
     )
-    return tenders.select(
+    return lots.select(
         "tender_id", F.sort_array(F.concat(by_token, by_customer)).alias("features")
     ).filter(F.size("features") > 0)
 
@@ -68,7 +68,7 @@ def _smallest_ids(df: DataFrame, group: str, unit: str, top: int | None) -> Data
 
 def score_pairs(
     files: DataFrame,
-    tenders: DataFrame,
+    lots: DataFrame,
     *,
     top: int | None = vocab.TOP_CANDIDATES,
     min_score: int = vocab.MIN_SCORE,
@@ -81,7 +81,7 @@ def score_pairs(
 ) -> DataFrame:
     """``path, tender_id, score`` of the pairs with at least ``min_score``.
 
-    ``files`` has ``path, text_sample``; ``tenders`` has one row per id (see
+    ``files`` has ``path, text_sample``; ``lots`` has one row per id (see
     ``one_per_id``) with ``tender_id, title, customer``. All pairs that can be among
     the ``top`` of their file are returned, with their exact score; ``top=None``
     returns every pair. A pair without a token or id hit stays below the default
@@ -95,8 +95,8 @@ def score_pairs(
     is bounded by its rare needles and by the combinations of hot ones.
     """
     # The tender side is used several times below; it is written once.
-    tenders = checkpointed(tenders.select("tender_id", "title", "customer"))
-    features = _features(tenders, stopwords)
+    lots = checkpointed(lots.select("tender_id", "title", "customer"))
+    features = _features(lots, stopwords)
     classes = _smallest_ids(features, "features", "unit", top)
     heads = classes.filter(F.col("rn") == 1).select("unit", "features")
     exploded = heads.select("unit", F.explode("features").alias("f")).select(
@@ -106,7 +106,7 @@ def score_pairs(
     id_needle = (
         text.normalize_name(F.col("tender_id")) if normalize_id else F.col("tender_id")
     )
-    ids = tenders.select(
+    ids = lots.select(
         id_needle.alias("needle"),
         F.lit(None).cast("string").alias("shared"),
         F.col("tender_id").alias("unit"),
@@ -124,7 +124,7 @@ def score_pairs(
     ).first()
     fits = facts["bytes"] <= limit
     members = classes.select("unit", F.lit(_CLASS).alias("kind"), "tender_id")
-    id_members = tenders.select(
+    id_members = lots.select(
         F.col("tender_id").alias("unit"), F.lit(_ID).alias("kind"), "tender_id"
     )
 
@@ -183,7 +183,7 @@ def score_pairs(
     hits = find_needles(texts, postings.select("needle"), ["path"], limit)
     # The one shuffle of the match: each file's own needles, on its path. All that
     # follows is grouped by path and stays where it is.
-    per_file = hits.groupBy("path").agg(F.collect_set("needle").alias("needles"))
+    per_file = hits.repartition("path").dropDuplicates(["path", "needle"])
     name = text.normalize_name(text.file_name(F.col("path")))
     found = (
         per_file.withColumn("_name", name)
@@ -192,7 +192,7 @@ def score_pairs(
             F.when(text.is_generic_name(F.col("_name"), generic_names), -2).otherwise(0)
             + F.when(text.is_project_name(F.col("_name"), project_markers), 2).otherwise(0),
         )
-        .select("path", "by_name", F.explode("needles").alias("needle"))
+        .select("path", "by_name", "needle")
     )
     units = (
         lookup_join(found, postings, ["needle"], fits=fits)
@@ -260,7 +260,7 @@ def choose_by_margin(
 def choose_by_response(
     responses: DataFrame,
     ranked: DataFrame,
-    tenders: DataFrame,
+    lots: DataFrame,
     min_confidence: int = vocab.MIN_CONFIDENCE,
     accept: int = vocab.ACCEPT_SCORE,
     limit: int = BROADCAST_BYTES,
@@ -283,7 +283,7 @@ def choose_by_response(
     ).select("path", F.col("chosen").alias("tender_id"))
     scored = ok.join(ranked.select("path", "tender_id", "score"), ["path", "tender_id"])
     open_files = ok.join(ranked.select("path").distinct(), "path", "left_anti")
-    known = tenders.select("tender_id").distinct()
+    known = lots.select("tender_id").distinct()
     free = lookup_join(open_files, known, ["tender_id"], "left_semi", limit).select(
         "path", "tender_id", F.lit(accept).alias("score")
     )
@@ -305,6 +305,7 @@ def band_files(
     """
     assigned = checkpointed(assigned)
     best = assigned.groupBy("tender_id").agg(F.max("score").alias("top_score"))
+    # The salted form holds for any skew; the best scores are one row per lot.
     banded = lookup_join(assigned, best, ["tender_id"], limit=limit)
     return banded.filter(
         F.col("score") >= F.greatest(F.lit(accept), F.col("top_score") - 1)

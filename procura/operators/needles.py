@@ -93,8 +93,8 @@ def anchored(needles: DataFrame) -> DataFrame:
     return single.unionByName(multi).unionByName(bare)
 
 
-def _keys(texts: DataFrame, keep: list[str], words: list[int], heads: list[int]) -> DataFrame:
-    """One row per window of a text and key length in use, distinct within a part.
+def _windows(texts: DataFrame, keep: list[str], shortest: int, marks: bool) -> DataFrame:
+    """One row per window of a text, distinct within a part: ``*keep, window``.
 
     A very long text is cut into parts first, which overlap by the longest window, so
     that no task holds all windows of it at once and no window is lost at a cut.
@@ -104,26 +104,40 @@ def _keys(texts: DataFrame, keep: list[str], words: list[int], heads: list[int])
         F.regexp_extract_all(F.col("hay"), F.lit(cut), F.lit(1))
     )
     texts = texts.select(*keep, F.explode(parts).alias("part"))
-    shortest = min(words, default=_MAX)
     windows = F.regexp_extract_all(
         F.col("part"), F.lit(f"(?=({_RUN}{{{shortest},{_MAX}}}))"), F.lit(1)
     )
-    fitting = F.col("size") <= F.length("window")
-    if heads:
+    if marks:
         any_chars = F.regexp_extract_all(
             F.col("part"), F.lit(f"(?s)(?=(.{{1,{_LONG}}}))"), F.lit(1)
         )
         marked = F.transform(F.array_distinct(any_chars), lambda g: F.concat(F.lit(_MARK), g))
-        windows = F.concat(windows, marked) if words else marked
-        is_head = F.startswith(F.col("window"), F.lit(_MARK))
-        fitting &= F.when(is_head, F.col("size").isin(*heads)).otherwise(
-            F.col("size").isin(*words)
-        )
-    size = F.explode(F.array(*[F.lit(s) for s in sorted({*words, *heads})])).alias("size")
+        windows = F.concat(windows, marked)
+    return texts.select(*keep, F.explode(F.array_distinct(windows)).alias("window"))
+
+
+def _keys(windows: DataFrame, keep: list[str], table: DataFrame, short: list[int], fits: bool) -> DataFrame:
+    """One row per window and key length that may match: ``*keep, key, full``.
+
+    Most windows start no key at all. The first characters of the long keys, each with
+    the lengths in use behind it, are looked up before a window is repeated for its
+    lengths; only keys shorter than that are tried on every window.
+    """
+    heads = (
+        table.filter(F.length("key") >= _LONG)
+        .select(F.left("key", F.lit(_LONG)).alias("_head"), F.length("key").alias("_size"))
+        .groupBy("_head")
+        .agg(F.collect_set("_size").alias("_sizes"))
+    )
+    headed = windows.withColumn("_head", F.left("window", F.lit(_LONG)))
+    none = F.array().cast("array<int>")
+    few = F.array(*[F.lit(s) for s in short]) if short else none
+    how = "left" if short else "inner"
+    headed = headed.join(F.broadcast(heads) if fits else heads, "_head", how)
+    sizes = F.concat(few, F.coalesce("_sizes", none)) if short else F.col("_sizes")
     return (
-        texts.select(*keep, F.explode(F.array_distinct(windows)).alias("window"))
-        .select(*keep, "window", size)
-        .filter(fitting)
+        headed.select(*keep, "window", F.explode(sizes).alias("size"))
+        .filter(F.col("size") <= F.length("window"))
         .select(
             *keep,
             F.left("window", F.col("size")).alias("key"),
@@ -153,6 +167,7 @@ def find_needles(
             F.collect_set(
                 F.when(F.col("run").isNull(), F.least(F.length("needle"), F.lit(_LONG)))
             ).alias("heads"),
+            F.approx_count_distinct(F.left("run", F.lit(_LONG))).alias("n_heads"),
         )
         .first()
     )
@@ -161,7 +176,12 @@ def find_needles(
         return texts.select(*carry, F.lit("").alias("needle")).filter(F.lit(False))
     table = anchored(needles)
     fits = facts["bytes"] <= limit
-    keys = _keys(texts, [*carry, "hay"] if fits else carry, words, heads)
+    # There are as many heads as kinds of four characters, however many needles.
+    heads_fit = fits or facts["n_heads"] * _KEY_BYTES <= limit
+    short = sorted({n for n in (*words, *heads) if n < _LONG})
+    kept = [*carry, "hay"] if fits else carry
+    windows = _windows(texts, kept, min(words, default=_MAX), bool(heads))
+    keys = _keys(windows, kept, table, short, heads_fit)
     holds = F.contains(F.col("hay"), F.col("needle"))
     if fits:
         found = keys.join(F.broadcast(table), "key").filter(~F.col("whole") | F.col("full"))

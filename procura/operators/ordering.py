@@ -73,30 +73,49 @@ def by_deadline_and_title() -> list[Column]:
 
 
 def queue(
-    tenders: DataFrame,
+    lots: DataFrame,
     skip: int = 0,
     limit: int | None = None,
     order: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """Tenders in working order, after ``skip`` rows, at most ``limit`` of them."""
+    """Lots in working order, after ``skip`` rows, at most ``limit`` of them."""
     if skip < 0 or (limit is not None and limit < 0):
         raise ValueError("skip and limit must not be negative")
     order = list(order or by_deadline())
     if not skip and limit is None:
-        return tenders.orderBy(*order)
+        return lots.orderBy(*order)
     if limit is not None and skip + limit <= _TOP_ROWS:
-        return tenders.orderBy(*order).offset(skip).limit(limit)
-    numbered = ordinal(tenders, order, "_ordinal").filter(F.col("_ordinal") > skip)
+        return lots.orderBy(*order).offset(skip).limit(limit)
+    numbered = ordinal(lots, order, "_ordinal").filter(F.col("_ordinal") > skip)
     if limit is not None:
         numbered = numbered.filter(F.col("_ordinal") <= skip + limit)
     return numbered.orderBy("_ordinal").drop("_ordinal")
 
 
 def unique_names(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-    """Suffix repeated names: second use ``x (2)``, third ``x (3)``, in ``order``."""
+    """Suffix repeated names: second use ``x (2)``, third ``x (3)``, in ``order``.
+
+    The first row of every name keeps it. Numbers that would give a name which another
+    row already has by itself are left out, so all results differ.
+    """
     numbered = ordinal(df, order, "_use", group=name)
+    # Names such as "x (2)" take a number of "x". The i-th of them, t, lies behind
+    # t - 1 - i free numbers, and is skipped by all uses past those.
+    part = r"(?s)^(.*) \(([1-9][0-9]{0,8})\)$"
+    number = F.regexp_extract(name, part, 2).try_cast("long")
+    taken = (
+        df.select(F.regexp_extract(name, part, 1).alias("_base"), number.alias("_t"))
+        .filter(F.col("_t") >= 2)
+        .distinct()
+        .groupBy("_base")
+        .agg(F.sort_array(F.collect_list("_t")).alias("_taken"))
+    )
+    free = F.transform(F.col("_taken"), lambda t, i: t - 2 - i)
+    taken = taken.select(F.col("_base").alias(name), free.alias("_free"))
+    found = numbered.join(taken, name, "left")
+    skipped = F.size(F.filter("_free", lambda c: c < F.col("_use") - 1))
+    use = F.col("_use") + F.when(F.col("_free").isNotNull(), skipped).otherwise(0)
     suffixed = F.when(
-        F.col("_use") > 1,
-        F.concat(F.col(name), F.lit(" ("), F.col("_use").cast("string"), F.lit(")")),
+        F.col("_use") > 1, F.concat(F.col(name), F.lit(" ("), use.cast("string"), F.lit(")"))
     ).otherwise(F.col(name))
-    return numbered.withColumn(name, suffixed).drop("_use")
+    return found.withColumn("_name", suffixed).withColumn(name, F.col("_name")).select(*df.columns)

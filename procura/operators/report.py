@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import cells, text
-from procura.operators.ordering import by_deadline, by_deadline_and_title, ordinal, unique_names
+from procura.operators.joins import checkpointed
+from procura.operators.ordering import by_deadline, by_deadline_and_title, ordinal
 
 RESULT_COLUMNS = (
     "tender_id",
@@ -28,10 +30,10 @@ RESULT_COLUMNS = (
 )
 
 
-def results(tenders: DataFrame, classified: DataFrame) -> DataFrame:
-    """Result rows of classified tenders (``tender_id, payload, files``)."""
+def results(lots: DataFrame, classified: DataFrame) -> DataFrame:
+    """Result rows of classified lots (``tender_id, payload, files``)."""
     return (
-        tenders.join(classified, "tender_id")
+        lots.join(classified, "tender_id")
         .select(
             "*",
             "payload.*",
@@ -43,10 +45,10 @@ def results(tenders: DataFrame, classified: DataFrame) -> DataFrame:
     )
 
 
-def failed_results(tenders: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Result rows of tenders whose documents were not obtained."""
+def failed_results(lots: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Result rows of lots whose documents were not obtained."""
     return (
-        tenders.join(outcomes.filter(F.col("status") != "ok"), "tender_id")
+        lots.join(outcomes.filter(F.col("status") != "ok"), "tender_id")
         .withColumn("classification_tag", F.lit(vocab.DEFAULT_TAG))
         .withColumn("downloaded_files", F.array().cast("array<string>"))
         .withColumn("analysis_markdown", F.lit(""))
@@ -75,10 +77,13 @@ def with_tag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("classification_tag", tag)
 
 
-def monthly(rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
+def monthly(
+    rows: DataFrame, order: Sequence[Column] | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Report rows with their month sheet and a running number in it.
 
-    ``order`` needs a unique last column; the default needs ``row_number``.
+    ``order`` needs a unique last column; the default needs ``row_number``. ``keep``
+    names further columns of ``rows`` to carry along.
     """
     sheets = with_tag(rows).withColumn("sheet", cells.sheet_name(F.col("deadline_at")))
     numbered = ordinal(sheets, order or by_deadline(), "number", group="sheet")
@@ -91,6 +96,7 @@ def monthly(rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame
         "title",
         "url",
         cells.format_deadline(F.col("deadline_at")).alias("deadline"),
+        *keep,
     )
 
 
@@ -132,12 +138,55 @@ def write_monthly(report: DataFrame, path: str, fmt: str = "parquet") -> None:
     )
 
 
-def manifest(tenders: DataFrame) -> DataFrame:
+# What a stored report holds besides its shown columns, so that it can be updated.
+STORED = ("tender_id", "version", "deadline_at", "row_number")
+
+
+def update_report(path: str, new: DataFrame) -> None:
+    """Upsert results into the report stored at ``path``; other sheets stay as they are.
+
+    ``new`` has result columns with ``tender_id, version, row_number``. A lot that moves
+    to another month leaves its old sheet: all sheets that lose or gain a row are written
+    again, and sheets without rows are removed. The names of touched sheets (one per
+    month) pass the driver.
+    """
+    spark = new.sparkSession
+    columns = [
+        "title", "url", "deadline_at", "classification_tag", "confidence_percent",
+        "classification_comment", "tender_id", "version", "row_number",
+    ]
+    new = checkpointed(latest(new.select(*columns), "tender_id", [F.col("version").desc()]))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows, touched = new, new.select(cells.sheet_name(F.col("deadline_at")).alias("sheet"))
+    if files.exists(target):
+        stored = spark.read.parquet(path).withColumnsRenamed(
+            {"tag": "classification_tag", "comment": "classification_comment"}
+        )
+        left = stored.join(new.select("tender_id"), "tender_id", "left_semi")
+        touched = touched.unionByName(left.select("sheet"))
+        rows = upsert(stored.select(*columns), new)
+    touched = checkpointed(touched.distinct())
+    sheet = cells.sheet_name(F.col("deadline_at"))
+    changed = rows.withColumn("_sheet", sheet).join(
+        touched.withColumnRenamed("sheet", "_sheet"), "_sheet", "left_semi"
+    )
+    # Written before the files it was read from are replaced.
+    fresh = checkpointed(monthly(changed.drop("_sheet"), keep=STORED))
+    write_monthly(fresh, path)
+    emptied = {r["sheet"] for r in touched.exceptAll(fresh.select("sheet").distinct()).collect()}
+    for status in files.listStatus(target):
+        name = unquote(status.getPath().getName())
+        if name.removeprefix("sheet=") in emptied:
+            files.delete(status.getPath(), True)
+
+
+def manifest(lots: DataFrame) -> DataFrame:
     """Ordered folder list: ``order, tender_id, title, folder_name, deadline_at, url``.
 
     The number makes each folder name unique, so ``unique_names`` has no work here.
     """
-    numbered = ordinal(tenders, by_deadline_and_title(), "order")
+    numbered = ordinal(lots, by_deadline_and_title(), "order")
     folder = text.ordinal_prefix(
         F.col("order"), text.sanitize_folder_name(F.col("title"))
     )
@@ -163,7 +212,7 @@ __all__ = [
     "monthly",
     "results",
     "tag_summary",
-    "unique_names",
+    "update_report",
     "upsert",
     "with_tag",
     "write_manifest",

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import prompts, responses, text
-from procura.operators.joins import BROADCAST_BYTES, checkpointed, fits_broadcast, lookup_join
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join
 
-# Longest list of options that is put into a prompt of a file without candidates.
-MAX_OPTION_BYTES = 8 * 1024 * 1024
+# What files without candidates are offered: all lots, as one set.
+EVERYONE = "*"
+# Files that one copy of a set of options serves.
+_FILES_PER_COPY = 1000
 
 Scorer = Callable[[str, list[str]], str]
 
@@ -21,7 +23,7 @@ Scorer = Callable[[str, list[str]], str]
 def run_scorer(
     requests: DataFrame, make_scorer: Callable[[], Scorer], key: str = "tender_id"
 ) -> DataFrame:
-    """``key, response, error``: one call of the scorer per row.
+    """``key, files, response, error``: one call of the scorer per row.
 
     ``requests`` has ``key, prompt, files`` (array of paths). ``make_scorer`` runs once
     per task and returns ``scorer(prompt, files) -> text``. A failed call becomes the
@@ -40,12 +42,14 @@ def run_scorer(
                 except Exception as problem:
                     answers.append(None)
                     errors.append(str(problem))
-            yield pd.DataFrame({key: batch[key], "response": answers, "error": errors})
+            yield pd.DataFrame(
+                {key: batch[key], "files": batch["files"], "response": answers, "error": errors}
+            )
 
     kind = dict(requests.dtypes)[key]
     return checkpointed(
         requests.select(key, "prompt", "files").mapInPandas(
-            call, f"`{key}` {kind}, response string, error string"
+            call, f"`{key}` {kind}, files array<string>, response string, error string"
         )
     )
 
@@ -55,13 +59,14 @@ def stub_scorer(requests: DataFrame, key: str = "tender_id") -> DataFrame:
     names = F.transform("files", text.file_name)
     return requests.select(
         key,
+        "files",
         responses.stub_response(names).alias("response"),
         F.lit(None).cast("string").alias("error"),
     )
 
 
 def analysis_requests(
-    tenders: DataFrame,
+    lots: DataFrame,
     tender_files: DataFrame,
     template: str,
     tags: Sequence[str] = vocab.TAGS,
@@ -78,7 +83,7 @@ def analysis_requests(
     )
     no_files = F.array().cast("array<string>")
     return (
-        tenders.select("tender_id", "url")
+        lots.select("tender_id", "url")
         .join(lists, "tender_id", "left")
         .withColumn("files", F.coalesce("files", no_files))
         .select(
@@ -95,13 +100,12 @@ def classify_requests(
 ) -> DataFrame:
     """``tender_id, payload, files``: the scorer's answers, read.
 
-    Tenders without files are not sent (``skip_empty``) and get a fixed payload.
+    Requests have one row per lot. A scorer passes ``tender_id`` and ``files`` on, so its
+    answers need no join back. Lots without files are not sent (``skip_empty``) and get a
+    fixed payload.
     """
     sent = requests.filter(F.col("n_files") > 0) if skip_empty else requests
-    answers = responses.classify(scorer(sent)).select("tender_id", "payload")
-    read = answers.join(sent.select("tender_id", "files"), "tender_id").select(
-        "tender_id", "payload", "files"
-    )
+    read = responses.classify(scorer(sent)).select("tender_id", "payload", "files")
     if not skip_empty:
         return read
     unsent = requests.filter(F.col("n_files") == 0).select(
@@ -119,45 +123,76 @@ def _line() -> Column:
 def match_requests(
     files: DataFrame,
     ranked: DataFrame,
-    tenders: DataFrame,
     fragment_chars: int | None = vocab.FRAGMENT_CHARS,
-    limit: int = BROADCAST_BYTES,
-    max_option_bytes: int = MAX_OPTION_BYTES,
 ) -> DataFrame:
-    """``path, prompt, files`` for each readable file.
+    """``path, prompt, option_set`` for each readable file; the prompt lacks its options.
 
-    Options are the ranked candidates of the file. A file without any is offered all
-    tenders, as one list shared by those files. That list is measured first: beyond
-    ``max_option_bytes`` no prompt could carry it, and the call is refused rather
-    than shortened.
+    ``option_set`` names rows of ``match_options``: the file's own candidates, or
+    ``EVERYONE`` where it has none. The list of all lots is so written once, not once
+    per file, however long it is. Texts are cut to the fragment before they move.
     """
-    lines = tenders.select("tender_id", _line().alias("line"))
-    options = (
-        lookup_join(ranked.select("path", "tender_id", "rn"), lines, ["tender_id"], limit=limit)
-        .groupBy("path")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "line"))).alias("o"))
-        .select("path", F.array_join(F.col("o.line"), "\n").alias("options"))
+    sample = F.col("text_sample")
+    if fragment_chars is not None:
+        sample = F.left(sample, F.lit(fragment_chars))
+    short = files.select(
+        "path",
+        prompts.match_prompt(text.file_name(F.col("path")), sample, F.lit(""), None).alias("prompt"),
     )
-    if not fits_broadcast(lines, max_option_bytes):
-        raise ValueError(
-            "the list of all tenders is too long for a prompt; "
-            "narrow the tenders down, for example to one day"
-        )
-    # Bounded by the check above.
-    everyone = lines.agg(
-        F.sort_array(F.collect_list(F.struct("tender_id", "line"))).alias("o")
-    ).select(F.array_join(F.col("o.line"), "\n").alias("all_options"))
-    return (
-        files.select("path", "text_sample")
-        .join(options, "path", "left")
-        .select(
-            "path",
-            prompts.match_prompt(
-                text.file_name(F.col("path")),
-                F.col("text_sample"),
-                F.coalesce(F.col("options"), everyone.scalar()),
-                fragment_chars,
-            ).alias("prompt"),
-            F.array().cast("array<string>").alias("files"),
-        )
+    own = ranked.select("path", F.col("path").alias("_own")).distinct()
+    return short.join(own, "path", "left").select(
+        "path", "prompt", F.coalesce("_own", F.lit(EVERYONE)).alias("option_set")
+    )
+
+
+def match_options(ranked: DataFrame, lots: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``option_set, rn, tender_id, line``: candidates of each file by rank, and all lots.
+
+    ``rn`` orders the lines of a set; lots of ``EVERYONE`` go by their id alone.
+    """
+    lines = lots.select("tender_id", _line().alias("line"))
+    own = lookup_join(ranked.select("path", "tender_id", "rn"), lines, ["tender_id"], limit=limit)
+    return own.select(F.col("path").alias("option_set"), "rn", "tender_id", "line").unionByName(
+        lines.select(F.lit(EVERYONE).alias("option_set"), F.lit(0).alias("rn"), "tender_id", "line")
     )
+
+
+def run_match_scorer(
+    requests: DataFrame, options: DataFrame, make_scorer: Callable[[], Scorer]
+) -> DataFrame:
+    """``path, response, error``: prompts are put together where the scorer runs.
+
+    A task meets a set of options once for all its files. The set of all lots is copied
+    once per ``_FILES_PER_COPY`` files that need it; a prompt holds the whole set, so the
+    memory of a task is that of one prompt and its list.
+    """
+    counted = requests.groupBy("option_set").agg(
+        F.ceil(F.count(F.lit(1)) / _FILES_PER_COPY).cast("int").alias("_copies")
+    )
+    copy = F.pmod(F.xxhash64("path"), F.col("_copies")).cast("int").alias("_copy")
+    each = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")
+    asked = requests.join(counted, "option_set").select("option_set", copy, "path", "prompt")
+    listed = options.join(counted, "option_set").select(
+        "option_set", each, "rn", "tender_id", "line"
+    )
+    keys = ["option_set", "_copy"]
+
+    def call(files: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+        scorer, answers, errors = make_scorer(), [], []
+        tail = "\n".join(lines.sort_values(["rn", "tender_id"])["line"])
+        for prompt in files["prompt"]:
+            try:
+                answers.append(scorer(prompt + tail, []))
+                errors.append(None)
+            except Exception as problem:
+                answers.append(None)
+                errors.append(str(problem))
+        return pd.DataFrame(
+            {
+                "path": files["path"].astype(object),
+                "response": pd.Series(answers, dtype=object, index=files.index),
+                "error": pd.Series(errors, dtype=object, index=files.index),
+            }
+        )
+
+    met = asked.groupBy(*keys).cogroup(listed.groupBy(*keys))
+    return checkpointed(met.applyInPandas(call, "path string, response string, error string"))

@@ -15,33 +15,34 @@ BY_FOLDER, BY_PATH, BY_TITLE, BY_SCORE = 1, 2, 3, 4
 
 
 def path_hits(
-    files: DataFrame, tenders: DataFrame, limit: int = BROADCAST_BYTES
+    files: DataFrame, lots: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``path, tender_id`` where the path contains the id, as written."""
     texts = files.select("path", F.col("path").alias("hay"))
-    ids = tenders.select(F.col("tender_id").alias("needle"))
+    ids = lots.select(F.col("tender_id").alias("needle"))
     hits = find_needles(texts, ids, ["path"], limit)
     return hits.withColumnRenamed("needle", "tender_id").distinct()
 
 
 def title_folders(
-    folders: DataFrame, tenders: DataFrame, limit: int = BROADCAST_BYTES
+    folders: DataFrame, lots: DataFrame, limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """``tender_id, top_dir``: smallest folder whose name contains the title.
 
     The search runs once per distinct title, so repeated titles add no work to it.
     """
-    titled = tenders.select("tender_id", text.normalize_name(F.col("title")).alias("needle"))
+    titled = lots.select("tender_id", text.normalize_name(F.col("title")).alias("needle"))
     titled = titled.filter(F.col("needle") != "")
     texts = folders.select("top_dir", text.normalize_name(F.col("top_dir")).alias("hay"))
     hits = find_needles(texts, titled.select("needle"), ["top_dir"], limit)
     first = hits.groupBy("needle").agg(F.min("top_dir").alias("top_dir"))
-    return lookup_join(titled, first, ["needle"], limit=limit).select("tender_id", "top_dir")
+    # Both sides are small next to the files; at run time Spark picks how they meet.
+    return titled.join(first, "needle").select("tender_id", "top_dir")
 
 
 def assign_tiers(
     files: DataFrame,
-    tenders: DataFrame,
+    lots: DataFrame,
     folders: DataFrame | None = None,
     limit: int = BROADCAST_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +56,7 @@ def assign_tiers(
     if folders is not None:
         dirs = dirs.unionByName(folders.select("top_dir"))
     dirs = dirs.distinct()
-    ids = tenders.select("tender_id").distinct()
+    ids = lots.select("tender_id").distinct()
     hits = checkpointed(path_hits(files, ids, limit))
     by_folder = ids.join(dirs.withColumnRenamed("top_dir", "tender_id"), "tender_id", "left_semi")
     found = (
@@ -70,7 +71,7 @@ def assign_tiers(
             )
         )
         .unionByName(
-            title_folders(dirs, tenders, limit).select(
+            title_folders(dirs, lots, limit).select(
                 "tender_id", F.lit(BY_TITLE).alias("tier"), "top_dir"
             )
         )
@@ -82,12 +83,9 @@ def assign_tiers(
     return checkpointed(tiers), hits
 
 
-def without_explicit(
-    tenders: DataFrame, tiers: DataFrame, limit: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Tenders left for scoring: those no folder and no path names."""
-    explicit = checkpointed(tiers.select("tender_id").distinct())
-    return lookup_join(tenders, explicit, ["tender_id"], "left_anti", limit)
+def without_explicit(lots: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Lots left for scoring: those no folder and no path names."""
+    return lots.join(tiers.select("tender_id").distinct(), "tender_id", "left_anti")
 
 
 def tender_files(
@@ -101,15 +99,15 @@ def tender_files(
     """``tender_id, path, tier``: the files of each tender's best tier.
 
     With ``max_files`` only the most telling files of each tender are kept. Folders
-    are then cut down *before* tenders meet them: the rank of a file within a folder
+    are then cut down *before* lots meet them: the rank of a file within a folder
     is the same for every tender that uses the folder, so a huge folder shared by
-    many tenders never turns into all pairs.
+    many lots never turns into all pairs.
     """
     in_dir = files.filter(F.col("top_dir").isNotNull()).select("top_dir", "path")
     if max_files is not None:
         in_dir = prioritize_files(in_dir, max_files, "top_dir").drop("priority")
     small = tiers.select("tender_id", "tier", "top_dir")
-    fits = fits_broadcast(small, limit)
+    fits = fits_broadcast(small, limit)  # one table, a row per lot at most
     by_dir = lookup_join(
         in_dir, small.filter(F.col("top_dir").isNotNull()), ["top_dir"], fits=fits
     ).select("tender_id", "path", "tier")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import cells, responses, text
 from procura.operators import links, matching, ordering, report, scoring, tiers
-from procura.operators.joins import checkpointed
+from procura.operators.joins import checkpoint_folder, checkpointed
 from procura.plans import portal, review
 from procura.sources import inventory, listing, pages, star
 
@@ -44,7 +45,7 @@ def file_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names for links and folders, and what a name says about a file."""
     named = star.files(spark, folder)
     norm = text.normalize_name(F.col("name"))
-    label = F.left("text_sample", F.lit(40))
+    label = F.col("text_sample")
     header = F.when(
         F.length("text_sample") % 2 == 0,
         F.concat(F.lit('attachment; FileName="'), "name", F.lit('"; size=1')),
@@ -91,7 +92,7 @@ def parse_cells(spark: SparkSession, folder: str) -> DataFrame:
 def derive_ids(spark: SparkSession, folder: str) -> DataFrame:
     """URL and id choice for every page, as if it were listed in a sheet."""
     key = F.col("page_id").cast("string")
-    card = F.concat(F.lit("https://PRO.myseldon.com/ru/Tender/"), key, F.lit("/x"))
+    card = F.concat(F.lit("https://CARDS.portal.example.org/ru/Tender/"), key, F.lit("/x"))
     found = F.when(F.col("page_id") % 3 == 0, F.array("url", card)).otherwise(F.array("url"))
     shown = (
         F.when(F.col("page_id") % 4 == 0, "Источник")
@@ -119,7 +120,7 @@ def tender_listing(spark: SparkSession, folder: str) -> DataFrame:
     """A raw listing bound to the tender schema by its headers."""
     rows = star.sheet_rows(spark, folder)
     names = [f"c{i}" for i in range(len(star.HEADERS))]
-    return listing.tenders_from_rows(
+    return listing.lots_from_rows(
         rows, star.HEADERS, names, title_column="Наименование лота", hyperlinks="links"
     ).select(
         "row_number", "tender_id", "title", "url", "deadline_at", "customer", "customer_inn",
@@ -130,23 +131,23 @@ def tender_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def deadline_day(spark: SparkSession, folder: str) -> DataFrame:
-    tenders = star.order_tenders(spark, folder)
-    return listing.due_on(tenders, "1998-10-03").select("tender_id", "title", "deadline_at")
+    lots = star.order_lots(spark, folder)
+    return listing.due_on(lots, "1998-10-03").select("tender_id", "title", "deadline_at")
 
 
 @query
 def deadline_queue(spark: SparkSession, folder: str) -> DataFrame:
-    """All tenders behind the first hundred, numbered in working order."""
-    tenders = star.order_tenders(spark, folder)
-    left = ordering.queue(tenders, skip=100)
+    """All lots behind the first hundred, numbered in working order."""
+    lots = star.order_lots(spark, folder)
+    left = ordering.queue(lots, skip=100)
     return left.select("tender_id", "deadline_at", "row_number")
 
 
 @query
 def queue_head(spark: SparkSession, folder: str) -> DataFrame:
     """Skip and limit, as for a trial run."""
-    tenders = star.order_tenders(spark, folder)
-    return ordering.queue(tenders, 20, 500).select("tender_id", "deadline_at", "row_number")
+    lots = star.order_lots(spark, folder)
+    return ordering.queue(lots, 20, 500).select("tender_id", "deadline_at", "row_number")
 
 
 # --- links ---------------------------------------------------------------------
@@ -178,10 +179,13 @@ def selected_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _fetch_log(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
-    events = star.table(spark, folder, "events").withColumnRenamed("event_id", "page_id")
+    """Every event is one round of fetches of a page, so most links are fetched again."""
+    n_pages = star.table(spark, folder, "pages").agg(F.count("*").alias("n")).scalar()
+    events = star.table(spark, folder, "events").withColumn("page_id", F.col("event_id") % n_pages)
     number = F.col("page_id").cast("string")
     return found.join(events, "page_id").select(
         "page_id",
+        F.col("event_id").alias("attempt"),
         F.col("abs_url").alias("url"),
         F.when(F.col("event_type") == "error", 404).otherwise(200).alias("status"),
         F.when(F.col("value") > 10, "text/html; charset=utf-8")
@@ -220,9 +224,9 @@ def portal_run(spark: SparkSession, folder: str) -> DataFrame:
     """Whole portal run with the test scorer, one result per tender page."""
     source = star.table(spark, folder, "pages")
     found = links.distinct_links(links.followable(pages.anchors(source)))
-    tenders = star.order_tenders(spark, folder)
+    lots = star.order_lots(spark, folder)
     out = portal.portal_results(
-        tenders,
+        lots,
         source,
         _fetch_log(spark, folder, found),
         TEMPLATE,
@@ -239,13 +243,13 @@ def portal_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scoring_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Readable files, and the tenders that no path names."""
+    """Readable files, and the lots that no path names."""
     listed = star.files(spark, folder)
-    tenders = listing.one_per_id(star.lots(spark, folder))
-    named = tiers.path_hits(listed, tenders)
+    lots = listing.one_per_id(star.lots(spark, folder))
+    named = tiers.path_hits(listed, lots)
     return (
         tiers.readable_files(tiers.scoreable_files(listed)),
-        tiers.without_explicit(tenders, named),
+        tiers.without_explicit(lots, named),
     )
 
 
@@ -270,8 +274,8 @@ def match_band(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def match_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    listed, tenders = star.filed(spark, folder), star.lots(spark, folder)
-    found = review.files_of_tenders(listed, tenders, max_files=None)
+    listed, lots = star.filed(spark, folder), star.lots(spark, folder)
+    found = review.files_of_lots(listed, lots, max_files=None)
     return found.select("tender_id", "path", "tier")
 
 
@@ -284,10 +288,43 @@ def file_priority(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def match_prompts(spark: SparkSession, folder: str) -> DataFrame:
-    listed, tenders = _scoring_inputs(spark, folder)
-    ranked = matching.rank_candidates(matching.score_pairs(listed, tenders))
+    listed, lots = _scoring_inputs(spark, folder)
+    ranked = matching.rank_candidates(matching.score_pairs(listed, lots))
+    return scoring.match_requests(listed, ranked)
+
+
+@query
+def match_options(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidates that prompts offer, and once the list of all lots."""
+    return scoring.match_options(_ranked(spark, folder), star.lots(spark, folder))
+
+
+def first_option() -> scoring.Scorer:
+    """A model that takes the first option, and fails on some files."""
+    import json
+
+    def answer(prompt: str, files: list[str]) -> str:
+        head, _, options = prompt.rpartition(vocab.MATCH_PROMPT_OPTIONS)
+        return json.dumps({"tender_id": options.split('"')[1], "confidence": 90})
+
+    return answer
+
+
+@query
+def match_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Choices of a Python model; files without candidates may name any lot.
+
+    Answers for a third of the files are lost and fall back to the margin test.
+    """
+    listed, lots = _scoring_inputs(spark, folder)
+    ranked = checkpointed(matching.rank_candidates(matching.score_pairs(listed, lots)))
     everyone = star.lots(spark, folder)
-    return scoring.match_requests(listed, ranked, everyone).select("path", "prompt")
+    requests = scoring.match_requests(listed, ranked)
+    options = scoring.match_options(ranked, everyone)
+    answers = scoring.run_match_scorer(requests, options, first_option)
+    lost = F.length("path") % 3 == 0
+    answers = answers.withColumn("error", F.when(lost, F.lit("lost")).otherwise(F.col("error")))
+    return matching.choose_by_response(answers, ranked, everyone)
 
 
 def _match_answers(ranked: DataFrame) -> DataFrame:
@@ -313,9 +350,9 @@ def _match_answers(ranked: DataFrame) -> DataFrame:
 
 @query
 def match_choices(spark: SparkSession, folder: str) -> DataFrame:
-    listed, tenders = _scoring_inputs(spark, folder)
-    ranked = matching.rank_candidates(matching.score_pairs(listed, tenders))
-    return matching.choose_by_response(_match_answers(ranked), ranked, tenders)
+    listed, lots = _scoring_inputs(spark, folder)
+    ranked = matching.rank_candidates(matching.score_pairs(listed, lots))
+    return matching.choose_by_response(_match_answers(ranked), ranked, lots)
 
 
 @query
@@ -333,13 +370,13 @@ def folder_review(spark: SparkSession, folder: str) -> DataFrame:
 
 def _order_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Requests for orders; the documents of an order are its files."""
-    tenders = star.order_tenders(spark, folder)
+    lots = star.order_lots(spark, folder)
     docs = star.files(spark, folder).select(
         F.regexp_extract("name", "([0-9]{7})", 1).cast("int").cast("string").alias("tender_id"),
         "path",
     )
     top = matching.prioritize_files(docs)
-    return scoring.analysis_requests(tenders, top, TEMPLATE)
+    return scoring.analysis_requests(lots, top, TEMPLATE)
 
 
 @query
@@ -379,8 +416,9 @@ def scorer_results(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stub_results(spark: SparkSession, folder: str) -> DataFrame:
     """Classification through the built-in test scorer."""
-    done = scoring.classify_requests(_order_requests(spark, folder), scoring.stub_scorer)
-    out = report.results(star.order_tenders(spark, folder), done)
+    requests = _order_requests(spark, folder)
+    done = scoring.classify_requests(requests, scoring.stub_scorer, skip_empty=False)
+    out = report.results(star.order_lots(spark, folder), done)
     return out.select(
         "tender_id", "title", "customer", "status", "classification_tag",
         "confidence_percent", "classification_comment", "analysis_markdown",
@@ -444,7 +482,7 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
         .when(order == "5-LOW", "")
         .otherwise("Не изучено")
     )
-    return star.order_tenders(spark, folder).select(
+    return star.order_lots(spark, folder).select(
         "row_number", "tender_id", "title", "url", "deadline_at",
         tag.alias("classification_tag"),
         (F.col("row_number") % 101).alias("confidence_percent"),
@@ -465,17 +503,15 @@ def tag_summary(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def report_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Results of orders by customer, replaced by later ones of the events."""
-    old = star.order_tenders(spark, folder).select(
+    old = star.order_lots(spark, folder).select(
         F.col("customer_inn").alias("tender_id"),
-        F.concat(F.date_format("deadline_at", "yyyy-MM-dd HH:mm"), F.lit(" "), F.lpad("tender_id", 9, "0"))
-        .alias("version"),
+        F.col("tender_id").cast("long").alias("version"),
         "title",
         "deadline_at",
-    ).filter(F.col("version").isNotNull())
+    )
     new = star.table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("tender_id"),
-        F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" "), F.lpad(F.col("event_id").cast("string"), 9, "0"))
-        .alias("version"),
+        F.col("event_id").alias("version"),
         F.col("event_type").alias("title"),
         F.col("ts").alias("deadline_at"),
     )
@@ -495,7 +531,7 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def order_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return report.manifest(star.order_tenders(spark, folder))
+    return report.manifest(star.order_lots(spark, folder))
 
 
 @query
@@ -508,8 +544,9 @@ def folder_names(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def unique_names(spark: SparkSession, folder: str) -> DataFrame:
     """Repeated titles get a running suffix."""
-    tenders = star.order_tenders(spark, folder).select("row_number", "title")
-    return ordering.unique_names(tenders, "title", [F.col("row_number").asc()])
+    suffix = F.when(F.col("row_number") % 97 == 0, " (2)").when(F.col("row_number") % 89 == 0, " (3)").otherwise("")
+    lots = star.order_lots(spark, folder).select("row_number", F.concat("title", suffix).alias("title"))
+    return ordering.unique_names(lots, "title", [F.col("row_number").asc()])
 
 
 # --- archives and text -----------------------------------------------------------
@@ -527,3 +564,141 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
 def text_samples(spark: SparkSession, folder: str) -> DataFrame:
     return inventory.text_samples(star.raw_files(spark, folder))
 
+
+
+# --- whole runs, sinks read back ---------------------------------------------------
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{checkpoint_folder(spark)}/{name}-{spark._jvm.java.util.UUID.randomUUID()}"
+
+
+@query
+def listing_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A listing exported to CSV, with line breaks in its titles, and read again."""
+    target = _scratch(spark, "listing")
+    orders = star.order_lots(spark, folder)
+    orders.select(
+        "row_number",
+        F.concat(F.lit("N"), "tender_id").alias("c0"),
+        F.concat(F.col("title"), F.lit('\nline "two"')).alias("c1"),
+        "url",
+        F.date_format("deadline_at", "dd.MM.yyyy H:mm").alias("c3"),
+        "customer",
+        "customer_inn",
+    ).write.option("escape", '"').csv(target)
+    headers = ["row", *star.HEADERS]
+    found = listing.read_listing(spark, target, headers, title_column="Наименование лота")
+    return found.select("row_number", "tender_id", "title", "url", "deadline_at", "customer", "customer_inn")
+
+
+@query
+def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Folders and kinds of files found by an inventory of written texts."""
+    target = _scratch(spark, "inbox")
+    docs = star.table(spark, folder, "documents").select("source", F.hex(F.encode("text", "UTF-8")).alias("text"))
+    docs.write.partitionBy("source").text(target)
+    found = inventory.inventory(spark, target.removeprefix("file://").removeprefix("file:"))
+    known = found.filter(F.col("suffix") == ".txt")
+    return known.groupBy("top_dir", "suffix").agg(F.sum("length").alias("bytes"))
+
+
+@query
+def manifest_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest as its file says it."""
+    target = _scratch(spark, "manifest")
+    report.write_manifest(report.manifest(star.order_lots(spark, folder)), target)
+    back = spark.read.option("header", True).option("escape", '"').csv(target)
+    return back.select(
+        F.col("order").cast("int").alias("order"), "tender_id", "title", "folder_name",
+        F.coalesce("deadline_at", F.lit("")).alias("deadline_at"), "url",
+    )
+
+
+@query
+def report_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """A report written, updated twice and read back; lots change and leave months.
+
+    First every seventh lot moves on by forty days, then all lots of 1992 lose their
+    deadline, so that the sheets of that year go.
+    """
+    target = _scratch(spark, "report")
+    first = _graded(spark, folder).withColumn("version", F.lit(1).cast("long"))
+    report.update_report(target, first)
+    late = F.col("deadline_at") + F.expr("INTERVAL 40 DAYS")
+    moved = first.filter(F.col("row_number") % 7 == 0).withColumn("deadline_at", late)
+    report.update_report(target, moved.withColumn("version", F.lit(2).cast("long")))
+    gone = first.filter(F.year("deadline_at") == 1992)
+    undated = gone.withColumn("deadline_at", F.lit(None).cast("timestamp_ntz"))
+    report.update_report(target, undated.withColumn("version", F.lit(3).cast("long")))
+    back = spark.read.parquet(target)
+    return back.select("sheet", "number", "tender_id", "tag", "title", "deadline", "version")
+
+
+@query
+def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """Portal run in working order, with skip and limit, into a stored report."""
+    source = star.table(spark, folder, "pages")
+    found = links.distinct_links(links.followable(pages.anchors(source)))
+    paged = star.order_lots(spark, folder).join(
+        source.select(F.col("page_id").cast("int").alias("row_number")), "row_number", "left_semi"
+    )
+    target = _scratch(spark, "portal")
+    portal.portal_report(
+        target, paged, source, _fetch_log(spark, folder, found), TEMPLATE, 1, skip=5, limit=5000,
+        document_keywords=LINK_KEYWORDS, source_keywords=SOURCE_WORDS,
+    )
+    back = spark.read.parquet(target)
+    return back.select("sheet", "number", "tender_id", "tag", "confidence_percent", "comment", "deadline")
+
+
+@query
+def review_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Folder review from raw files and archives, with skip and limit, to report rows."""
+    binary = star.raw_files(spark, folder).unionByName(star.archives(spark, folder))
+    done = review.review_folder(binary, "/inbox", star.lots(spark, folder), TEMPLATE, skip=3, limit=30)
+    return done.select("sheet", "number", "title", "tag", "confidence_percent", "comment", "deadline")
+
+
+@query
+def retargeted(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots that go by the source page found on their own page."""
+    anchors = pages.anchors(star.table(spark, folder, "pages"))
+    found = links.source_links(anchors, keywords=SOURCE_WORDS)
+    found = found.select(F.col("page_id").cast("string").alias("tender_id"), "source_url")
+    lots = star.order_lots(spark, folder)
+    return listing.retarget(lots, found).select("tender_id", "title", "url")
+
+
+@query
+def target_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots due the day before a given one, and how many each customer has."""
+    day = cells.target_date("yesterday", today=datetime.date(1998, 10, 4))
+    lots = listing.due_on(star.order_lots(spark, folder), day)
+    return lots.groupBy("customer").agg(F.count("*").alias("n"))
+
+
+@query
+def files_by_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Files numbered in path order."""
+    listed = star.filed(spark, folder).select("path")
+    return _numbered(matching.order_by_path(listed))
+
+
+@query
+def matched_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Matched files numbered in the order they are shown."""
+    return _numbered(matching.order_matched(match_assign(spark, folder)))
+
+
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """Running numbers of sorted rows; sorted partitions follow each other."""
+    kept = checkpointed(ordered).withColumn("_part", F.spark_partition_id())
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition meets in one task here.
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = kept.withColumn("_at", at).join(starts, "_part")
+    return placed.withColumn("n", F.col("_before") + F.col("_at") + 1).select(*ordered.columns, "n")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procura import vocab
-from procura.operators import links, report, scoring
+from procura.operators import links, ordering, report, scoring
 from procura.operators.joins import checkpointed
 from procura.sources import listing, pages as html
 
@@ -39,7 +39,7 @@ def downloads(
 
 
 def portal_results(
-    tenders: DataFrame,
+    lots: DataFrame,
     pages: DataFrame,
     fetch_log: DataFrame,
     template: str,
@@ -47,17 +47,43 @@ def portal_results(
     scorer: Callable[[DataFrame], DataFrame] = scoring.stub_scorer,
     **keywords: Sequence[str],
 ) -> DataFrame:
-    """One result row per tender; ``pages.page_id`` is the tender's ``row_number``."""
+    """One result row per lot id; ``pages.page_id`` is the lot's ``row_number``.
+
+    Of rows that repeat an id the first counts. A lot whose files come from its source
+    page is listed with the address of that page.
+    """
+    lots = listing.one_per_id(lots)
     outcomes, files = downloads(pages, fetch_log, source_pages, **keywords)
     outcomes, files = checkpointed(outcomes), checkpointed(files)
-    ids = listing.one_per_id(tenders).select(
-        "tender_id", F.col("row_number").cast("long").alias("page_id")
-    )
+    ids = lots.select("tender_id", F.col("row_number").cast("long").alias("page_id"))
     by_tender = outcomes.join(ids, "page_id")
-    ok = tenders.join(by_tender.filter(F.col("status") == "ok").select("tender_id"), "tender_id", "left_semi")
+    if source_pages is not None:
+        moved = by_tender.filter("n_links = 0 AND n_files > 0 AND source_url IS NOT NULL")
+        moved = moved.select("tender_id", "source_url")
+        stay = lots.join(moved, "tender_id", "left_anti")
+        lots = stay.unionByName(listing.retarget(lots, moved))
+    ok = lots.join(by_tender.filter(F.col("status") == "ok").select("tender_id"), "tender_id", "left_semi")
     listed = files.join(ids, "page_id").select(
         "tender_id", F.col("filename").alias("path"), F.col("pos").alias("priority")
     )
     requests = scoring.analysis_requests(ok, listed, template)
     good = report.results(ok, scoring.classify_requests(requests, scorer))
-    return good.unionByName(report.failed_results(tenders, by_tender))
+    return good.unionByName(report.failed_results(lots, by_tender))
+
+
+def portal_report(
+    path: str,
+    lots: DataFrame,
+    pages: DataFrame,
+    fetch_log: DataFrame,
+    template: str,
+    version: int,
+    skip: int = 0,
+    limit: int | None = None,
+    **options: object,
+) -> None:
+    """A whole run: lots in working order, their results, the stored report updated."""
+    chosen = ordering.queue(listing.one_per_id(lots), skip, limit)
+    done = portal_results(chosen, pages, fetch_log, template, **options)
+    numbered = done.join(chosen.select("tender_id", "row_number"), "tender_id")
+    report.update_report(path, numbered.withColumn("version", F.lit(version).cast("long")))

@@ -1,4 +1,4 @@
-"""Folder review: from tenders and files to classified results."""
+"""Folder review: from lots and files to classified results."""
 
 from __future__ import annotations
 
@@ -8,23 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procura import vocab
-from procura.operators import matching, report, scoring, tiers
+from procura.operators import matching, ordering, report, scoring, tiers
 from procura.operators.joins import BROADCAST_BYTES, checkpointed
-from procura.sources import listing
+from procura.sources import inventory, listing
 
 
-def match_files(
-    files: DataFrame, tenders: DataFrame, limit: int = BROADCAST_BYTES, **score_options: object
-) -> DataFrame:
-    """``path, tender_id, score`` by score and margin, for tenders nothing names."""
-    candidates = tiers.readable_files(tiers.scoreable_files(files))
-    pairs = matching.score_pairs(candidates, tenders, limit=limit, **score_options)
-    return matching.choose_by_margin(matching.rank_candidates(pairs))
-
-
-def files_of_tenders(
+def files_of_lots(
     files: DataFrame,
-    tenders: DataFrame,
+    lots: DataFrame,
     max_files: int | None = vocab.FILES_PER_TENDER,
     folders: DataFrame | None = None,
     matcher: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
@@ -33,12 +24,12 @@ def files_of_tenders(
 ) -> DataFrame:
     """``tender_id, path, tier, priority`` of the files each tender is judged by.
 
-    ``files`` has ``path, top_dir, text_sample``. ``matcher(files, ranked, tenders)``
+    ``files`` has ``path, top_dir, text_sample``. ``matcher(files, ranked, lots)``
     replaces the margin test by another choice among the ranked candidates.
     """
-    tenders = listing.one_per_id(tenders)
-    named, hits = tiers.assign_tiers(files, tenders, folders, limit)
-    scoreable = tiers.without_explicit(tenders, named, limit)
+    lots = listing.one_per_id(lots)
+    named, hits = tiers.assign_tiers(files, lots, folders, limit)
+    scoreable = tiers.without_explicit(lots, named)
     candidates = tiers.readable_files(tiers.scoreable_files(files))
     pairs = matching.score_pairs(candidates, scoreable, limit=limit, **score_options)
     # The match reads every text; what follows works on its few rows per file.
@@ -46,34 +37,72 @@ def files_of_tenders(
     if matcher is None:
         chosen = matching.choose_by_margin(ranked)
     else:
-        chosen = matcher(candidates, ranked, tenders)
+        chosen = matcher(candidates, ranked, lots)
     scored = matching.band_files(chosen, limit=limit)
     found = tiers.tender_files(files, named, hits, scored, max_files, limit)
     return matching.prioritize_files(found, max_files)
 
 
 def model_matcher(
-    scorer: Callable[[DataFrame], DataFrame],
+    make_scorer: Callable[[], scoring.Scorer],
 ) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
-    """A matcher that asks a model; ``scorer`` maps requests keyed by ``path``."""
+    """A matcher that asks a model; see ``scoring.run_match_scorer``."""
 
-    def choose(files: DataFrame, ranked: DataFrame, tenders: DataFrame) -> DataFrame:
-        answers = scorer(scoring.match_requests(files, ranked, tenders))
-        return matching.choose_by_response(answers, ranked, tenders)
+    def choose(files: DataFrame, ranked: DataFrame, lots: DataFrame) -> DataFrame:
+        requests = scoring.match_requests(files, ranked)
+        options = scoring.match_options(ranked, lots)
+        answers = scoring.run_match_scorer(requests, options, make_scorer)
+        return matching.choose_by_response(answers, ranked, lots)
 
     return choose
 
 
 def review(
     files: DataFrame,
-    tenders: DataFrame,
+    lots: DataFrame,
     template: str,
     scorer: Callable[[DataFrame], DataFrame] = scoring.stub_scorer,
     max_files: int = vocab.FILES_PER_TENDER,
     **options: object,
 ) -> DataFrame:
-    """Result rows of the tenders that have files; the others give no row."""
-    chosen = checkpointed(files_of_tenders(files, tenders, max_files, **options))
-    unique = listing.one_per_id(tenders)
+    """Result rows of the lots that have files; the others give no row."""
+    chosen = checkpointed(files_of_lots(files, lots, max_files, **options))
+    unique = listing.one_per_id(lots)
     requests = scoring.analysis_requests(unique, chosen, template).filter(F.col("n_files") > 0)
     return report.results(unique, scoring.classify_requests(requests, scorer))
+
+
+def folder_files(binary: DataFrame, root: str) -> DataFrame:
+    """Files of a folder and members of its archives: ``path, top_dir, text_sample``.
+
+    ``binary`` has ``path, content``. Archives are opened once; the texts of files and
+    members are written, as matching reads them more than once.
+    """
+    rows = binary.select("path", "content")
+    members = inventory.expand_archives(rows).select("path", "content")
+    plain = rows.filter(~inventory.is_archive(F.col("path")))
+    texts = inventory.text_samples(plain.unionByName(members))
+    return checkpointed(inventory.describe(texts, root).select("path", "top_dir", "text_sample"))
+
+
+def review_folder(
+    binary: DataFrame,
+    root: str,
+    lots: DataFrame,
+    template: str,
+    day: object | None = None,
+    skip: int = 0,
+    limit: int | None = None,
+    **options: object,
+) -> DataFrame:
+    """A whole run from raw files and a listing to report rows.
+
+    Archives are expanded; lots are those due on ``day`` (all without one), in working
+    order, past ``skip`` and up to ``limit``; their results make the monthly sheets.
+    """
+    chosen = listing.one_per_id(lots)
+    if day is not None:
+        chosen = listing.due_on(chosen, day)
+    chosen = checkpointed(ordering.queue(chosen, skip, limit))
+    done = review(folder_files(binary, root), chosen, template, **options)
+    return report.monthly(done.join(chosen.select("tender_id", "row_number"), "tender_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from procura import vocab
 from procura.functions import cells
 
-TENDER_COLUMNS = (
+LOT_COLUMNS = (
     "row_number",
     "tender_id",
     "title",
@@ -61,7 +61,7 @@ def _cell_datetime(name: str, dtype: str, date1904: bool) -> Column:
     return cells.serial_datetime(c, date1904)
 
 
-def tenders_from_rows(
+def lots_from_rows(
     rows: DataFrame,
     headers: Sequence[str | None],
     cell_columns: Sequence[str],
@@ -73,7 +73,7 @@ def tenders_from_rows(
     url_link: str | None = None,
     date1904: bool = False,
 ) -> DataFrame:
-    """Tenders from headerless rows.
+    """Lots from headerless rows.
 
     ``cell_columns[i]`` holds the cells under ``headers[i]``. Binding happens on
     the header list alone, so it costs no pass over the data. ``hyperlinks`` names
@@ -139,47 +139,57 @@ def read_listing(
     path: str,
     headers: Sequence[str],
     row_number_column: int = 0,
+    multi_line: bool = True,
+    strict: bool = True,
     **options: object,
 ) -> DataFrame:
-    """Tenders from headerless CSV exports.
+    """Lots from headerless CSV exports.
 
     A file split has no stable line number, so the export carries the sheet row
     number itself, in column ``row_number_column``; ``headers`` names all columns.
+    Quoted cells may hold line breaks, so a file is one task; ``multi_line=False`` lets
+    large files without such cells be split. A row without a number stops the job, as
+    nothing may be lost in silence; with ``strict=False`` it stays, unnumbered.
     """
     names = [f"_c{i}" for i in range(len(headers))]
     schema = ", ".join(f"{n} STRING" for n in names)
-    rows = spark.read.schema(schema).option("multiLine", False).csv(path)
-    rows = rows.withColumn("_row", F.col(names[row_number_column]).cast("int"))
+    reader = spark.read.schema(schema).option("multiLine", multi_line).option("escape", '"')
+    number = F.trim(F.col(names[row_number_column])).try_cast("int")
+    if strict:
+        shown = F.concat_ws(" | ", *names)
+        problem = F.raise_error(F.concat(F.lit("listing row without a number: "), shown))
+        number = F.coalesce(number, problem.cast("int"))
+    rows = reader.csv(path).withColumn("_row", number)
     bound = [None if i == row_number_column else h for i, h in enumerate(headers)]
-    return tenders_from_rows(
-        rows.filter(F.col("_row").isNotNull()), bound, names, row_number="_row", **options
+    return lots_from_rows(
+        rows, bound, names, row_number="_row", **options
     )
 
 
-def due_on(tenders: DataFrame, day: object) -> DataFrame:
-    """Tenders whose deadline lies on ``day``; a range, so partitions are pruned."""
+def due_on(lots: DataFrame, day: object) -> DataFrame:
+    """Lots whose deadline lies on ``day``; a range, so partitions are pruned."""
     start = F.lit(day).cast("date").cast("timestamp_ntz")
     end = F.date_add(F.lit(day).cast("date"), 1).cast("timestamp_ntz")
-    return tenders.filter((F.col("deadline_at") >= start) & (F.col("deadline_at") < end))
+    return lots.filter((F.col("deadline_at") >= start) & (F.col("deadline_at") < end))
 
 
-def retarget(tenders: DataFrame, sources: DataFrame) -> DataFrame:
-    """Same tenders with ``url`` replaced by the source page found for them.
+def retarget(lots: DataFrame, sources: DataFrame) -> DataFrame:
+    """Same lots with ``url`` replaced by the source page found for them.
 
     ``sources`` has one row per tender: ``tender_id, source_url``.
     """
     return (
-        tenders.join(sources, "tender_id")
+        lots.join(sources, "tender_id")
         .withColumn("url", F.col("source_url"))
-        .select(*tenders.columns)
+        .select(*lots.columns)
     )
 
 
-def one_per_id(tenders: DataFrame) -> DataFrame:
+def one_per_id(lots: DataFrame) -> DataFrame:
     """One row per tender id: the one with the lowest row number."""
     first = Window.partitionBy("tender_id").orderBy("row_number")
     return (
-        tenders.withColumn("_rn", F.row_number().over(first))
+        lots.withColumn("_rn", F.row_number().over(first))
         .filter(F.col("_rn") == 1)
         .drop("_rn")
     )

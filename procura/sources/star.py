@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def lots(spark: SparkSession, folder: str) -> DataFrame:
-    """Tenders for matching: one per benchmark item, its whole text as title."""
+    """Lots for matching: one per benchmark item, its whole text as title."""
     dates = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").alias("deadline_at")
     )
@@ -49,7 +49,10 @@ def lots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _file_columns(docs: DataFrame) -> DataFrame:
-    """``doc_id, name, text_sample``: kinds of names, short texts as archives."""
+    """``doc_id, source, name, text_sample``: kinds of names, whole texts.
+
+    Every fiftieth document has an archive beside it, of which there is no text.
+    """
     number = F.lpad(F.col("doc_id").cast("string"), 7, "0")
     kind = F.col("doc_id") % 9
     start = (
@@ -62,13 +65,13 @@ def _file_columns(docs: DataFrame) -> DataFrame:
         F.array(*[F.lit(x) for x in (".txt", ".docx", ".PDF", ".md")]),
         (F.col("doc_id") % 4 + 1).cast("int"),
     )
-    short = F.col("n_chars") < 60
-    return docs.select(
-        "doc_id",
-        "source",
-        F.concat(start, number, F.when(short, F.lit(".rar")).otherwise(ext)).alias("name"),
-        F.when(short, F.lit("")).otherwise(F.col("text")).alias("text_sample"),
+    own = F.struct(F.concat(start, number, ext).alias("name"), F.col("text").alias("text_sample"))
+    packed = F.struct(
+        F.concat(F.lit("doc "), number, F.lit(".rar")).alias("name"),
+        F.lit("").alias("text_sample"),
     )
+    both = F.when(F.col("doc_id") % 50 == 7, F.array(own, packed)).otherwise(F.array(own))
+    return docs.select("doc_id", "source", F.inline(both))
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +115,7 @@ def sheet_rows(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     key = F.col("o_orderkey").cast("string")
     link = F.concat(
-        F.when(F.col("o_orderkey") % 3 == 0, "https://pro.myseldon.com/ru/tender/").otherwise(
+        F.when(F.col("o_orderkey") % 3 == 0, "https://cards.portal.example.org/ru/tender/").otherwise(
             "https://etp.example.com/lot/"
         ),
         key,
@@ -136,8 +139,8 @@ def sheet_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_tenders(spark: SparkSession, folder: str) -> DataFrame:
-    """Tenders for queues and reports: one per order, with its deadline."""
+def order_lots(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots for queues and reports: one per order, with its deadline."""
     customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
     orders = table(spark, folder, "orders")
     key = F.col("o_orderkey").cast("string")

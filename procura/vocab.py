@@ -39,11 +39,12 @@ CUSTOMER_COLUMNS = ("Заказчик", "Организатор")
 CUSTOMER_INN_COLUMNS = ("ИНН Заказчика", "ИНН Организатора")
 PLACEHOLDER_IDS = ("источник", "source")
 
-# --- portal and links -------------------------------------------------------
-PORTAL_HOST = "pro.myseldon.com"
-PORTAL_TENDER_MARKER = "/tender/"
-PORTAL_HOSTS = ("pro.myseldon.com", "myseldon.com")
-PORTAL_SERVICE_HOST = "basis.myseldon.com"
+# --- portal and links: examples, each replaced by an argument ------------------
+PORTAL_LABEL = "portal"
+PORTAL_HOST = "cards.portal.example.org"
+PORTAL_CARD_MARKER = "/tender/"
+PORTAL_HOSTS = ("cards.portal.example.org", "portal.example.org")
+PORTAL_SERVICE_HOST = "service.portal.example.org"
 IGNORED_HOSTS = ("t.me", "telegram.me", "vk.cc", "youtube.com", "youtu.be")
 DOCUMENT_EXTENSIONS = (
     ".pdf",
@@ -144,7 +145,6 @@ ACCEPT_SCORE = 8
 ACCEPT_MARGIN = 3
 MIN_CONFIDENCE = 60
 FILES_PER_TENDER = 4
-SAMPLE_CHARS = 10_000
 FRAGMENT_CHARS = 5_000
 
 # --- classification and report ---------------------------------------------
@@ -198,11 +198,11 @@ BLOCKED_ERROR = (
     "антибот-защитой площадки."
 )
 NOTHING_FOUND_COMMENT = (
-    "Документы не найдены ни в Seldon, ни по внешней ссылке, "
+    "Документы не найдены ни в {portal}, ни по внешней ссылке, "
     "поэтому содержательная оценка тендера не проводилась."
 )
 NOTHING_FOUND_ERROR = (
-    "Documents were not found in Seldon and no external source link was detected"
+    "Documents were not found in {portal} and no external source link was detected"
 )
 SOURCE_EMPTY_ERROR = "Documents were not found on the external source page"
 PIPELINE_ERROR_COMMENT = "Не удалось обработать тендер из-за ошибки пайплайна."

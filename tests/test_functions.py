@@ -195,8 +195,8 @@ def test_ids_and_urls(spark):
         ],
     )
     rows = [
-        (["mailto:x@y", "https://PRO.myseldon.com/ru/Tender/1"], "https://cell", "t", "https://PRO.myseldon.com/ru/Tender/1"),
-        (["https://pro.myseldon.com/ru/news/1"], " https://cell ", "t", "https://cell"),
+        (["mailto:x@y", "https://CARDS.portal.example.org/ru/Tender/1"], "https://cell", "t", "https://CARDS.portal.example.org/ru/Tender/1"),
+        (["https://cards.portal.example.org/ru/news/1"], " https://cell ", "t", "https://cell"),
         ([], "", " t ", "t"),
         ([], "", None, ""),
     ]
@@ -270,7 +270,7 @@ def test_link_predicates(spark):
     )
     assert all(y == e for y, e in got), got
     check(spark, urls.is_ignored_host, [("https://T.me/x", True), ("https://bit.media.org", True), ("https://h/t.me", False)])
-    check(spark, urls.is_source_host, [("https://pro.myseldon.com/x", False), ("https://a.basis.myseldon.com", False), ("https://h/x", True), ("mailto:x", False)])
+    check(spark, urls.is_source_host, [("https://cards.portal.example.org/x", False), ("https://a.service.portal.example.org", False), ("https://h/x", True), ("mailto:x", False)])
     rows = [("text/HTML; x", "a", True), ("text/html", "a.pdf", False), ("application/pdf", "a", False), (None, "a", False)]
     got = one(
         spark, "c string, f string, e boolean", rows,
@@ -335,3 +335,38 @@ def test_match_answers(spark):
     got = [(r["response"], r["valid"], r["chosen"], r["confidence"]) for r in responses.parse_matches(df.coalesce(1)).collect()]
     assert [g[:2] for g in got] == [r[:2] for r in rows]
     assert [g[2:] for g in got if g[1]] == [r[2:] for r in rows if r[1]]
+
+
+def test_numbers_and_serials_without_limits(spark):
+    from procura.functions import cells
+
+    got = one(
+        spark, "x double", [(4.07028109e19,), (1e30,), (1e300,), (float("inf"),), (float("nan"),), (None,), (1.5e7,), (12345678.5,)],
+        shown=cells.display_number(F.col("x")), day=cells.serial_datetime(F.col("x")), old=cells.serial_datetime(F.col("x"), date1904=True),
+    )
+    assert [r[0] for r in got] == ["40702810900000000000", "1" + "0" * 30, "1.0E300", "Infinity", "NaN", "", "15000000", "12345678.5"]
+    assert all(r[1:] == (None, None) for r in got)
+
+
+def test_repeated_keys_of_an_answer_count_as_unreadable(spark):
+    from procura.functions import responses
+
+    df = spark.createDataFrame([('{"confidence_percent": 1, "confidence_percent": 2}', None)], "response string, error string")
+    assert responses.classify(df).first()["payload"]["classification_comment"] == vocab.NOT_JSON_COMMENT
+
+
+def test_checkpoints_need_a_shared_folder():
+    from procura.operators import joins
+
+    class Context:
+        master, applicationId = "spark://host", "app"
+        _jsc = type("J", (), {"hadoopConfiguration": lambda self: {"fs.defaultFS": "file:///"}})()
+        getCheckpointDir = staticmethod(lambda: None)
+
+    session = type("S", (), {"sparkContext": Context, "conf": {}})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        joins.checkpoint_folder(session)
+    Context.master = "local[2]"
+    assert joins.checkpoint_folder(session) == "file:///tmp/checkpoints/app"
+    session.conf["spark.checkpoint.dir"] = "hdfs://x/y"
+    assert joins.checkpoint_folder(session) == "hdfs://x/y"

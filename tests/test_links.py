@@ -14,8 +14,8 @@ HTML = """<html><!-- <a href="/hidden.pdf">no</a> --><script>var x='<a href="/s.
 <a href="https://t.me/file.pdf">ignored</a><a href="mailto:x@y.z">mail</a>
 <a href=download/7>Скачать
 всё</a>
-<a data-href="/no" href="https://pro.myseldon.com/tender/1">portal</a>
-<a href="https://basis.myseldon.com/tender/1">service</a>
+<a data-href="/no" href="https://cards.portal.example.org/tender/1">portal</a>
+<a href="https://service.portal.example.org/tender/1">service</a>
 <a href="https://etp.example.org/about">other</a>
 <a href="https://etp.example.org/ZAKUP/5">source</a>
 <a href="https://etp2.example.org/trade/6">second</a></html>"""
@@ -76,18 +76,36 @@ def test_outcomes_and_portal_run(spark):
     )
     rows = [(3, "https://etp.org/tender/1", '<a href="/files/f.zip">f</a>'), (4, "https://etp.org/tender/1", '<a href="/files/g">g</a>')]
     sources = spark.createDataFrame(rows, "page_id long, url string, html string")
-    tenders = spark.createDataFrame(
+    lots = spark.createDataFrame(
         [(i, f"T{i}", f"t{i}", "https://h.org/a/b", None, "c", "1") for i in range(5)],
         "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz, customer string, customer_inn string",
     )
-    out = {r["tender_id"]: r for r in portal.portal_results(tenders, shown, log, "шаблон", sources).collect()}
+    out = {r["tender_id"]: r for r in portal.portal_results(lots, shown, log, "шаблон", sources).collect()}
     assert {k: (v["status"], v["confidence_percent"], v["error"]) for k, v in out.items()} == {
         "T0": ("ok", 1, ""),
         "T1": ("blocked", 10, vocab.BLOCKED_ERROR),
-        "T2": ("error", 5, vocab.NOTHING_FOUND_ERROR),
+        "T2": ("error", 5, vocab.NOTHING_FOUND_ERROR.format(portal=vocab.PORTAL_LABEL)),
         "T3": ("ok", 1, ""),
         "T4": ("error", 0, vocab.SOURCE_EMPTY_ERROR),
     }
     assert out["T0"]["downloaded_files"] == ["ТЗ.pdf"] and out["T3"]["downloaded_files"] == ["f.zip"]
-    retargeted = listing.retarget(tenders, sources.select(F.concat(F.lit("T"), "page_id").alias("tender_id"), F.col("url").alias("source_url")))
+    retargeted = listing.retarget(lots, sources.select(F.concat(F.lit("T"), "page_id").alias("tender_id"), F.col("url").alias("source_url")))
     assert {r["tender_id"]: r["url"] for r in retargeted.collect()} == {"T3": "https://etp.org/tender/1", "T4": "https://etp.org/tender/1"}
+
+
+def test_repeated_ids_give_one_result(spark):
+    pages_ = page(spark, '<a href="/a.pdf">a</a><a href="/b.pdf">b</a>')
+    log = [(0, f"https://h.org/{n}.pdf", 200, "application/pdf", f"attachment; filename={n}{k}.pdf", k) for n in "ab" for k in (2, 1)]
+    log = spark.createDataFrame(log, "page_id long, url string, status int, content_type string, content_disposition string, attempt int")
+    lots = spark.createDataFrame(
+        [(0, "T", "first", "u", None, "c", "1"), (0, "T", "second", "u", None, "c", "1")],
+        "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz, customer string, customer_inn string",
+    )
+    out = portal.portal_results(lots, pages_, log, "шаблон").collect()
+    # The last attempt of each link is its file.
+    assert [(r["tender_id"], sorted(r["downloaded_files"])) for r in out] == [("T", ["a2.pdf", "b2.pdf"])]
+
+
+def test_the_portal_has_a_name(spark):
+    row = spark.range(1).select(links.outcome(F.lit(0), F.lit(0), F.lit(False), "Cards").alias("o")).first()
+    assert "Cards" in row["o"]["error"] and "Cards" in row["o"]["classification_comment"]

@@ -12,7 +12,7 @@ from procura.plans import review
 from procura.sources import listing
 
 FILES = "path string, top_dir string, text_sample string"
-TENDERS = "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz, customer string, customer_inn string"
+LOTS = "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz, customer string, customer_inn string"
 
 
 def norm(s: str) -> str:
@@ -43,72 +43,72 @@ def brute_score(path: str, sample: str, tender: tuple) -> int:
     return score
 
 
-def brute_top(files, tenders, top):
+def brute_top(files, lots, top):
     out = []
     for path, _, sample in files:
-        scored = [(brute_score(path, sample, t), t[1]) for t in tenders]
+        scored = [(brute_score(path, sample, t), t[1]) for t in lots]
         kept = sorted((-s, i) for s, i in scored if s >= 4)
         out += [(path, i, -s, rn) for rn, (s, i) in enumerate(kept[:top], 1)]
     return sorted(out)
 
 
-def make(seed: int, n_files: int = 60, n_tenders: int = 40):
-    """Skewed fixture: one title for a third of the tenders, copies of one text."""
+def make(seed: int, n_files: int = 60, n_lots: int = 40):
+    """Skewed fixture: one title for a third of the lots, copies of one text."""
     rng = random.Random(seed)
     stems = ["поставка", "оборудование", "ремонт", "школы", "crm", "портал", "данных", "лаборатория",
              "услуг", "сервер", "сеть", "modernization", "тест", "ёлочный", "юг2024"]
     customers = ["", "ООО Ромашка", "АО «Свет-Юг»", "-", "ип я", "№", "Администрация города"]
-    tenders = []
-    for i in range(n_tenders):
+    lots = []
+    for i in range(n_lots):
         if i % 3 == 0:
             title, customer = "Поставка оборудования для школы поставка", "ООО Ромашка"
         else:
             title = " ".join(rng.choice(stems) for _ in range(rng.randint(1, 6)))
             customer = rng.choice(customers)
         tender_id = rng.choice([f"{700 + i}", f"AB-{i}", f"2024{i:06d}", f"x{i}"])
-        tenders.append((i, f"{tender_id}", title, "https://h/" + tender_id, None, customer, ""))
+        lots.append((i, f"{tender_id}", title, "https://h/" + tender_id, None, customer, ""))
     # One row per id.
-    tenders = list({t[1]: t for t in tenders}.values())
+    lots = list({t[1]: t for t in lots}.values())
     files = []
     for i in range(n_files):
         words = [rng.choice(stems) + rng.choice(["", "м", "ами", "-х"]) for _ in range(rng.randint(0, 12))]
         if i % 3 == 0:
             words = ["Поставкам", "оборудования", "школьных", "школы", "ООО_РОМАШКА"]
         if rng.random() < 0.2:
-            words.append(rng.choice(tenders)[1])
+            words.append(rng.choice(lots)[1])
         if rng.random() < 0.2:
             words.append(norm(rng.choice(customers)))
         name = rng.choice(["смета", "CRM отчет", "Договор", "план", "z"]) + rng.choice([".txt", ".pdf", ".rar"])
         files.append((f"/in/d{i % 7}/{i}_{name}", f"d{i % 7}", " ".join(words)))
-    return files, tenders
+    return files, lots
 
 
 @pytest.fixture(scope="module", params=[1, 2])
 def fixture(request, spark):
-    files, tenders = make(request.param)
-    return files, tenders, spark.createDataFrame(files, FILES), spark.createDataFrame(tenders, TENDERS)
+    files, lots = make(request.param)
+    return files, lots, spark.createDataFrame(files, FILES), spark.createDataFrame(lots, LOTS)
 
 
 @pytest.mark.parametrize("hot_titles", [0, 2, 1000])
 @pytest.mark.parametrize("limit", [0, 1 << 27])
 def test_scores_equal_brute_force(fixture, hot_titles, limit):
-    files, tenders, f, t = fixture
+    files, lots, f, t = fixture
     pairs = matching.score_pairs(f, t, top=5, hot_titles=hot_titles, limit=limit)
     got = sorted(tuple(r) for r in matching.rank_candidates(pairs, 5).select("path", "tender_id", "score", "rn").collect())
-    assert got == brute_top(files, tenders, 5)
+    assert got == brute_top(files, lots, 5)
 
 
 def test_all_pairs_equal_brute_force(fixture):
-    files, tenders, f, t = fixture
+    files, lots, f, t = fixture
     for hot_titles in (0, 1000):
         pairs = matching.score_pairs(f, t, top=None, hot_titles=hot_titles)
         got = sorted(tuple(r) for r in matching.rank_candidates(pairs, None).select("path", "tender_id", "score", "rn").collect())
-        assert got == brute_top(files, tenders, None)
+        assert got == brute_top(files, lots, None)
 
 
 def test_result_does_not_depend_on_partitioning(spark, fixture):
-    files, tenders, f, t = fixture
-    want = brute_top(files, tenders, 5)
+    files, lots, f, t = fixture
+    want = brute_top(files, lots, 5)
     for n in (1, 16):
         spark.conf.set("spark.sql.shuffle.partitions", str(n))
         try:
@@ -154,7 +154,7 @@ def test_choices(spark):
         [("a", "1", 9, 1), ("a", "2", 8, 2), ("b", "1", 9, 1), ("e", "1", 9, 1), ("f", "1", 9, 1), ("f", "2", 7, 2)],
         "path string, tender_id string, score int, rn int",
     )
-    tenders = spark.createDataFrame([("1",), ("2",), ("3",)], "tender_id string")
+    lots = spark.createDataFrame([("1",), ("2",), ("3",)], "tender_id string")
     answer = '{"tender_id": "%s", "confidence": %s}'
     rows = [
         ("a", answer % ("2", 60), None),  # any candidate may be named
@@ -166,7 +166,7 @@ def test_choices(spark):
         ("g", answer % ("none", 99), None),
     ]
     responses = spark.createDataFrame(rows, "path string, response string, error string")
-    got = sorted(tuple(r) for r in matching.choose_by_response(responses, ranked, tenders).collect())
+    got = sorted(tuple(r) for r in matching.choose_by_response(responses, ranked, lots).collect())
     assert got == [("a", "2", 8), ("c", "3", 8), ("e", "1", 9)]
 
 
@@ -202,11 +202,11 @@ def test_tier_cascade(spark, limit):
         ("/in/Ремонт школы 7/d.txt", "Ремонт школы 7", ""),
         ("/in/e.txt", None, ""),
     ]
-    tenders = [
+    lots = [
         tender(1, "T-1", "Ремонт школы"), tender(2, "T-2", "Ремонт школы"), tender(3, "T-3", "Ремонт школы"),
         tender(4, "T-4", "Прочее"), tender(5, "T-5", ""), tender(6, "T-6", "Прочее"),
     ]
-    f, t = spark.createDataFrame(files, FILES), spark.createDataFrame(tenders, TENDERS)
+    f, t = spark.createDataFrame(files, FILES), spark.createDataFrame(lots, LOTS)
     empty = spark.createDataFrame([("T-6",)], "top_dir string")
     named, hits = tiers.assign_tiers(f, t, empty, limit)
     scored = spark.createDataFrame([("T-4", "/in/e.txt"), ("T-3", "/in/e.txt"), ("T-6", "/in/e.txt")], "tender_id string, path string")
@@ -225,7 +225,7 @@ def test_tier_cascade(spark, limit):
 def test_quirks(spark):
     files = [("/in/a b/z.txt", "a b", "AB-1 поставка серверов"), ("/in/.DS_Store", None, "ab 1"), ("/in/x.RAR", None, "")]
     f = spark.createDataFrame(files, FILES)
-    t = spark.createDataFrame([tender(1, "AB-1", "прочее", "-")], TENDERS)
+    t = spark.createDataFrame([tender(1, "AB-1", "прочее", "-")], LOTS)
     # Ids are looked up as written, in normalised text: this one is not found ...
     assert matching.score_pairs(f, t).count() == 0
     # ... unless ids are normalised too; a customer of punctuation adds nothing.
@@ -233,7 +233,7 @@ def test_quirks(spark):
     assert sorted(r["score"] for r in found) == [100, 100]
     kept = tiers.readable_files(tiers.scoreable_files(f)).collect()
     assert [r["path"] for r in kept] == ["/in/a b/z.txt"]
-    twice = spark.createDataFrame([tender(2, "A", "second"), tender(1, "A", "first")], TENDERS)
+    twice = spark.createDataFrame([tender(2, "A", "second"), tender(1, "A", "first")], LOTS)
     assert [r["title"] for r in listing.one_per_id(twice).collect()] == ["first"]
 
 
@@ -243,20 +243,22 @@ def test_review_with_stub_and_model(spark):
         ("/in/s1.txt", None, "поставка серверов хранилище данных"),
         ("/in/s2.txt", None, "разное"),
     ]
-    tenders = [
+    lots = [
         tender(1, "7001", "Первый"), tender(2, "7002", "Поставка серверов хранилище"), tender(3, "7003", "Иное"),
     ]
-    f, t = spark.createDataFrame(files, FILES), spark.createDataFrame(tenders, TENDERS)
+    f, t = spark.createDataFrame(files, FILES), spark.createDataFrame(lots, LOTS)
     # By score: поставка(8)=2, серверов(8)=2, хранилище(9)=2: 6 points are too few.
     out = review.review(f, t, "шаблон").orderBy("tender_id").collect()
     assert [(r["tender_id"], r["status"]) for r in out] == [("7001", "ok")]
     assert out[0]["classification_comment"] == vocab.STUB_COMMENT.format(files="тз.docx")
     assert out[0]["downloaded_files"] == ["/in/7001/тз.docx"]
 
-    def model(requests):
-        known = F.contains("prompt", F.lit("Имя файла: s1.txt"))
-        answer = F.when(known, '{"tender_id": "7002", "confidence": 90}').otherwise('{"tender_id": "NONE"}')
-        return requests.select("path", answer.alias("response"), F.lit(None).cast("string").alias("error"))
+    def model():
+        def scorer(prompt, files):
+            known = "Имя файла: s1.txt" in prompt and '"7002": Поставка' in prompt
+            return '{"tender_id": "7002", "confidence": 90}' if known else '{"tender_id": "NONE"}'
+
+        return scorer
 
     out = review.review(f, t, "шаблон", matcher=review.model_matcher(model)).collect()
     # Six points pass the choice, but not the band of eight.

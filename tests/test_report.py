@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import csv
 import glob
+import os
 import json
 import random
 from datetime import datetime
@@ -102,7 +103,7 @@ def test_columns():
 def test_numeric_cells(spark):
     df = spark.createDataFrame([(2, 1813130021.0, 45323.5, "https://h/1", "t")], "row_number int, a double, b double, c string, d string")
     heads = ["Номер", "Окончание подачи", "URL", "Название"]
-    row = listing.tenders_from_rows(df, heads, ["a", "b", "c", "d"]).first()
+    row = listing.lots_from_rows(df, heads, ["a", "b", "c", "d"]).first()
     assert (row["tender_id"], row["deadline_at"]) == ("1813130021", datetime(2024, 2, 1, 12))
 
 
@@ -138,13 +139,50 @@ def test_upsert_months_and_summary(spark, tmp_path):
     assert sorted(r["title"] for r in back.collect()) == ["t1", "t2", "t3"]
 
 
+def test_a_stored_report_follows_its_lots(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    may, june = datetime(2024, 5, 2), datetime(2024, 6, 1, 12, 30)
+    rows = lambda *r: spark.createDataFrame(list(r), RESULT)
+    shown = lambda: sorted((r["sheet"], r["number"], r["tender_id"]) for r in spark.read.parquet(path).collect())
+    report.update_report(path, rows(result("1", may, "Подано", 1, 1), result("2", june, "", 1, 2), result("3", None, "", 1, 3)))
+    assert shown() == [("Без даты", 1, "3"), ("Июнь 2024", 1, "2"), ("Май 2024", 1, "1")]
+    # The only lot of May moves to June; May goes. An older write changes nothing.
+    report.update_report(path, rows(result("1", june, "Подано", 2, 1), result("3", may, "", 0, 3)))
+    assert shown() == [("Без даты", 1, "3"), ("Июнь 2024", 1, "1"), ("Июнь 2024", 2, "2")]
+    assert not [p for p in os.listdir(path) if "Май" in p]
+    report.update_report(path, rows(result("3", june, "", 5, 3), result("3", may, "", 4, 3)))
+    assert shown() == [("Июнь 2024", 1, "1"), ("Июнь 2024", 2, "2"), ("Июнь 2024", 3, "3")]
+
+
+@pytest.mark.parametrize("titles", [["x", "x (2)", "x"], ["x", "x", "x (2)", "x (3)", "x", "x (2)", "x (5)", "x"], ["x (2)", "x (2)", "x", "x (2) (2)"], ["", "", " (2)"]])
+def test_unique_names_differ(spark, titles):
+    df = spark.createDataFrame(list(enumerate(titles)), "row_number int, title string")
+    named = {r["row_number"]: r["title"] for r in ordering.unique_names(df, "title", [F.col("row_number").asc()]).collect()}
+    assert len(set(named.values())) == len(titles)
+    assert all(named[titles.index(t)] == t for t in titles)
+
+
+def test_listing_with_line_breaks(spark, tmp_path):
+    rows = [[2, "A", "x", "line one\nline \"two\"", "1", "https://h/1", "", ""], [3, "A", "x", "\n", "2", "https://h/2", "", ""]]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerows(rows)
+    df = listing.read_listing(spark, str(tmp_path), HEADERS, title_column="Предмет")
+    assert sorted(tuple(r) for r in df.select("row_number", "title").collect()) == [(2, 'line one\nline "two"'), (3, "")]
+    with open(tmp_path / "b.csv", "w", newline="", encoding="utf-8") as fh:
+        csv.writer(fh).writerow(["sum", "A", "x", "t", "1", "https://h/3", "", ""])
+    with pytest.raises(Exception, match="without a number"):
+        listing.read_listing(spark, str(tmp_path), HEADERS, title_column="Предмет").collect()
+    df = listing.read_listing(spark, str(tmp_path), HEADERS, title_column="Предмет", strict=False)
+    assert df.count() == 3
+
+
 def test_unique_names_and_manifest(spark, tmp_path):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "x")], "row_number int, title string")
     named = ordering.unique_names(df, "title", [F.col("row_number").asc()])
     assert {r["row_number"]: r["title"] for r in named.collect()} == {1: "x", 2: "y", 3: "x (2)", 4: "x (3)"}
     rows = [(2, "b", "Б/в.", "u", None), (1, "a", "", "u", datetime(2024, 5, 1, 9)), (3, "c", "А", "u", datetime(2024, 5, 1, 9))]
-    tenders = spark.createDataFrame(rows, "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz")
-    out = report.manifest(tenders)
+    lots = spark.createDataFrame(rows, "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz")
+    out = report.manifest(lots)
     report.write_manifest(out, str(tmp_path / "m"))
     lines = [line for f in sorted(glob.glob(str(tmp_path / "m" / "*.csv"))) for line in csv.reader(open(f, encoding="utf-8"))]
     assert [line for line in lines if line[0] != "order"] == [
@@ -155,9 +193,9 @@ def test_unique_names_and_manifest(spark, tmp_path):
 
 
 def test_scorers(spark):
-    tenders = spark.createDataFrame([("1", "u1"), ("2", "u2"), ("3", "u3")], "tender_id string, url string")
+    lots = spark.createDataFrame([("1", "u1"), ("2", "u2"), ("3", "u3")], "tender_id string, url string")
     files = spark.createDataFrame([("1", "/x/b.pdf", 2), ("1", "/x/a.pdf", 1), ("2", "/x/c.pdf", 1)], "tender_id string, path string, priority int")
-    requests = scoring.analysis_requests(tenders, files, "шаблон {x}")
+    requests = scoring.analysis_requests(lots, files, "шаблон {x}")
     prompts = {r["tender_id"]: (r["prompt"], r["files"]) for r in requests.collect()}
     assert prompts["1"][1] == ["/x/a.pdf", "/x/b.pdf"] and prompts["3"][1] == []
     assert prompts["1"][0].startswith("Ссылка на тендер: u1\n\nшаблон {x}\n\n")
@@ -184,16 +222,32 @@ def test_scorers(spark):
     assert comments["3"] == vocab.STUB_COMMENT.format(files="без файлов")
 
 
-def test_match_prompt_options(spark):
-    files = spark.createDataFrame([("/in/a.txt", "q" * 6000), ("/in/b.pdf", "")], "path string, text_sample string")
+def test_match_prompts_and_options(spark):
+    files = spark.createDataFrame([("/in/a.txt", "q" * 6000), ("/in/b.pdf", ""), ("/in/c.pdf", None)], "path string, text_sample string")
     ranked = spark.createDataFrame([("/in/a.txt", "2", 9, 1), ("/in/a.txt", "1", 8, 2)], "path string, tender_id string, score int, rn int")
-    tenders = spark.createDataFrame(
-        [("1", "Один", "", None), ("2", "Два", "Завод", datetime(2024, 5, 1, 9, 5)), ("3", "Три", "", None)],
+    many = [(str(k), "Три" * 20, "", None) for k in range(3, 5000)]
+    lots = spark.createDataFrame(
+        [("1", "Один", "", None), ("2", "Два", "Завод", datetime(2024, 5, 1, 9, 5)), *many],
         "tender_id string, title string, customer string, deadline_at timestamp_ntz",
     )
-    got = {r["path"]: r["prompt"] for r in scoring.match_requests(files, ranked, tenders).collect()}
-    assert got["/in/a.txt"].endswith('Кандидаты:\n- "2": Два | заказчик: Завод | дедлайн: 01.05.2024 09:05\n- "1": Один | заказчик: - | дедлайн: ')
-    assert got["/in/a.txt"].count("q") == 5000 and vocab.MATCH_NO_TEXT in got["/in/b.pdf"]
-    assert got["/in/b.pdf"].count("\n- ") == 3
-    with pytest.raises(ValueError):
-        scoring.match_requests(files, ranked, tenders, max_option_bytes=10)
+    requests = scoring.match_requests(files, ranked)
+    got = {r["path"]: r for r in requests.collect()}
+    assert got["/in/a.txt"]["prompt"].count("q") == 5000 and vocab.MATCH_NO_TEXT in got["/in/c.pdf"]["prompt"]
+    # The long list is written once and no prompt holds it.
+    assert {r["option_set"] for r in got.values()} == {"/in/a.txt", scoring.EVERYONE}
+    assert max(len(r["prompt"]) for r in got.values()) < 6000
+    options = scoring.match_options(ranked, lots)
+    assert options.count() == 2 + 4999
+
+    def make():
+        def scorer(prompt, files):
+            if "c.pdf" in prompt:
+                raise RuntimeError("no")
+            return prompt.rpartition("Кандидаты:\n")[2]
+
+        return scorer
+
+    answers = {r["path"]: r for r in scoring.run_match_scorer(requests, options, make).collect()}
+    assert answers["/in/a.txt"]["response"] == '- "2": Два | заказчик: Завод | дедлайн: 01.05.2024 09:05\n- "1": Один | заказчик: - | дедлайн: '
+    assert answers["/in/b.pdf"]["response"].count("\n") == 4998
+    assert (answers["/in/c.pdf"]["response"], answers["/in/c.pdf"]["error"]) == (None, "no")
