@@ -218,7 +218,7 @@ def test_tier_cascade(spark, limit):
             ("T-3", "/in/Ремонт школы 7/d.txt", 3),  # smallest folder name
             ("T-4", "/in/e.txt", 4),  # T-6 has an empty folder, hence no files
         ]
-    left = sorted(r["tender_id"] for r in tiers.without_explicit(t, named, limit).collect())
+    left = sorted(r["tender_id"] for r in tiers.without_explicit(t, named).collect())
     assert left == ["T-4", "T-5"]
 
 
