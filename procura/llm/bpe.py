@@ -21,8 +21,8 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 # Pieces never cross from other characters to white space, so neither do these chunks.
 _CHUNK = rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-# Encoded chunks that a worker keeps; longer ones than this are not kept.
-KEPT, KEPT_CHARS = 400_000, 64
+# Encoded chunks, and as many pieces, that a worker keeps; longer ones are not kept.
+KEPT, KEPT_CHARS = 500_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,6 +42,7 @@ class Vocabulary:
     strings: dict[int, bytes]
     added: dict[str, int]
     kept: dict[str, bytes] = field(default_factory=dict)
+    pieces: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
     def read(cls, text: str) -> Vocabulary:
@@ -107,6 +108,17 @@ class Vocabulary:
                     push(queue, (rank << 32) + previous)
         return [s for s in symbols if s >= 0]
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one piece; chunks that differ in their signs share their words."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array("I", self.merged(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(piece) <= KEPT_CHARS:
+                if len(self.pieces) >= KEPT:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, each as four little-endian bytes; added tokens are matched first."""
         kept, chunks, out = self.kept, _chunks().findall, []
@@ -118,10 +130,7 @@ class Vocabulary:
             for chunk in chunks(part):
                 ids = kept.get(chunk)
                 if ids is None:
-                    symbols = array("I")
-                    for piece in _pieces().findall(chunk):
-                        symbols.extend(self.merged(piece.encode("utf-8", "surrogatepass")))
-                    ids = symbols.tobytes()
+                    ids = b"".join(map(self._piece, _pieces().findall(chunk)))
                     if len(chunk) <= KEPT_CHARS:
                         if len(kept) >= KEPT:
                             kept.clear()
