@@ -20,6 +20,8 @@ from procura.operators.joins import checkpointed
 
 # Vectors of a block; a tile compares two blocks.
 BLOCK = 4096
+# Tasks that tiles are dealt to at most; each then takes several.
+MOST_TASKS = 100_000
 # Rows of a tile multiplied at once.
 STRIP = 256
 # More than all rounding of doubles and of single-precision scales together.
@@ -151,7 +153,10 @@ def near_duplicates(
         names = part["_class"].to_numpy()
         return pd.DataFrame({"_class": names[at], "_links": linked[at], "_to": names[label[at]]})
 
-    found = checkpointed(tiles.groupBy("_size", "_p", "_q").applyInPandas(links, "_class string, _links long, _to string"))
+    # A tile is little data and much work, so tiles are dealt out by their number.
+    n_tiles = sizes.agg(F.sum(F.col("_blocks") * (F.col("_blocks") + 1) / 2)).first()[0] or 1
+    dealt = tiles.repartition(int(min(n_tiles, MOST_TASKS)), "_size", "_p", "_q")
+    found = checkpointed(dealt.groupBy("_size", "_p", "_q").applyInPandas(links, "_class string, _links long, _to string"))
     counts = found.groupBy("_class").agg(F.sum("_links").alias("_links"))
     joined = components(found, "_class", "_to").withColumnRenamed("node", "_class")
     named = classes.select("_class", "_least", "_weight").join(counts, "_class", "left").join(joined, "_class", "left")
