@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.llm import bpe, langid, minhash, mixing, secrets
-from procura.llm.common import fold, table
+from procura.llm.common import bucket, buckets, fold, table
 from procura.llm.queries import tokenizer
-from procura.operators.joins import checkpoint_folder
+from procura.operators.joins import checkpoint_folder, checkpointed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # A document stays when its language is recognised with at least this probability.
@@ -36,9 +36,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
     found = minhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL")
     # An id stays unless one of its rows is a copy of a smaller id.
     ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("kept").alias("_kept"))
-    odd = ids.where("NOT _kept OR _n > 1")
-    rest = docs.join(odd.select("doc_id"), "doc_id", "left_anti")  # nulls stay
-    again = docs.join(odd.where("_kept").select("doc_id"), "doc_id")
+    odd = checkpointed(ids.where("NOT _kept OR _n > 1"))
+    # Documents in no bucket of these ids stay, without a shuffle of their texts.
+    marked, held = docs.withColumn("_bucket", bucket("doc_id")), buckets(odd, "doc_id")
+    clear = marked.join(held, "_bucket", "left_anti").select(*docs.columns)
+    near = marked.join(held, "_bucket", "left_semi").select(*docs.columns)
+    rest = clear.unionByName(near.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))  # nulls stay
+    again = near.join(odd.where("_kept").select("doc_id"), "doc_id")
     order = F.struct(*[F.col(c) for c in ("text", *[c for c in docs.columns if c != "text"])])
     one = again.groupBy("doc_id").agg(F.min(order).alias("_row")).select(*[F.col(f"_row.{c}") for c in docs.columns])
     return rest.select(*docs.columns).unionByName(one)

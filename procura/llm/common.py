@@ -19,6 +19,23 @@ def fold(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(folds))
 
 
+# Buckets of ids: a table of them has so many rows at most, whatever it was made from.
+BUCKETS = 1 << 20
+
+
+def bucket(id_column: str) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(BUCKETS)).cast("int")
+
+
+def buckets(ids: DataFrame, id_column: str) -> DataFrame:
+    """The distinct ``_bucket`` of some ids, to be broadcast.
+
+    Rows outside these buckets are surely not among the ids, so they need not be shuffled
+    to find that out; rows inside may be and are then joined by id.
+    """
+    return F.broadcast(ids.select(bucket(id_column).alias("_bucket")).distinct())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of 64-bit hashes."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

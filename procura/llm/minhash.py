@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from procura.llm.common import mix, shingles
+from procura.llm.common import bucket, buckets, mix, shingles
 from procura.llm.components import components
 from procura.operators.joins import checkpointed
 
@@ -204,7 +204,9 @@ def _sets(texts: DataFrame, classes: DataFrame, named: DataFrame, width: int) ->
                     })
 
     wanted = named.join(classes.select("_rep", "_h1", "_h2"), "_rep")
-    made = texts.join(wanted, "_rep").mapInPandas(run, "_rep long, _set array<long>, _wide binary")
+    # Most texts are in no bucket of the wanted ones and stay where they are.
+    near = texts.withColumn("_bucket", bucket("_rep")).join(buckets(named, "_rep"), "_bucket", "left_semi")
+    made = near.drop("_bucket").join(wanted, "_rep").mapInPandas(run, "_rep long, _set array<long>, _wide binary")
     return checkpointed(made)
 
 
