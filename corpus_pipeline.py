@@ -65,9 +65,9 @@ def sample_to_targets(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Adds token ids, their number, and the digest of what they decode to."""
     sent = bpe.vocabulary(spark, tokenizer())
-    out = docs.withColumn("token_ids", bpe.encoded(F.col("text"), sent))
-    out = out.withColumn("n_tokens", F.size("token_ids").cast("long"))
-    return out.withColumn("decoded_sha256", F.sha2(bpe.decoded(F.col("token_ids"), sent), 256))
+    found = docs.withColumn("_tokens", bpe.tokens(F.col("text"), sent))
+    names = ("token_ids", "n_tokens", "decoded_sha256")
+    return found.withColumns({n: F.col(f"_tokens.{n}") for n in names}).drop("_tokens")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, SparkSession
@@ -22,7 +23,7 @@ _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{
 # Pieces never cross from other characters to white space, so neither do these chunks.
 _CHUNK = rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 # Encoded chunks, and as many pieces, that a worker keeps; longer ones are not kept.
-KEPT, KEPT_CHARS = 500_000, 64
+KEPT, KEPT_CHARS = 200_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -175,7 +176,11 @@ _read: dict[int, Vocabulary] = {}
 
 
 def _vocabulary(text: str) -> Vocabulary:
-    """The parsed vocabulary with its kept chunks, one per worker."""
+    """The parsed vocabulary with its kept pieces, for one task.
+
+    Functions travel by value, so their globals end with the task; pieces kept for as
+    long as the worker would hold memory through stages that do not tokenize.
+    """
     key = hash(text)
     if key not in _read:
         _read.clear()
@@ -189,7 +194,7 @@ def encoded(text: Column, sent) -> Column:
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         v = _vocabulary(sent.value)
-        return pd.Series([list(array("I", v.encode(t if isinstance(t, str) else ""))) for t in texts], dtype=object)
+        return pd.Series([np.frombuffer(v.encode(t if isinstance(t, str) else ""), np.int32) for t in texts], dtype=object)
 
     return ids(text)
 
@@ -200,7 +205,7 @@ def decoded(ids: Column, sent) -> Column:
     @F.pandas_udf("string")
     def texts(column: pd.Series) -> pd.Series:
         v = _vocabulary(sent.value)
-        return pd.Series([None if x is None else v.decode(array("I", map(int, x)).tobytes()) for x in column], dtype=object)
+        return pd.Series([None if x is None else v.decode(np.asarray(x, np.uint32).tobytes()) for x in column], dtype=object)
 
     return texts(ids)
 
@@ -225,3 +230,19 @@ def digests(text: Column, sent) -> Column:
             yield pd.DataFrame({"n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(b, dtype=object)})
 
     return run(text)
+
+
+def tokens(text: Column, sent) -> Column:
+    """Struct of ``token_ids, n_tokens, decoded_sha256``; null texts count as empty."""
+
+    @F.pandas_udf("token_ids array<int>, n_tokens long, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        v, rows, back = _vocabulary(sent.value), [], []
+        for t in texts:
+            ids = v.encode(t if isinstance(t, str) else "")
+            rows.append(np.frombuffer(ids, np.int32))
+            back.append(hashlib.sha256(v.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+        ids = pd.Series(rows, dtype=object)
+        return pd.DataFrame({"token_ids": ids, "n_tokens": [len(i) for i in rows], "decoded_sha256": pd.Series(back, dtype=object)})
+
+    return run(text)
