@@ -102,7 +102,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(
     docs: DataFrame, learn: Column, id_column: str = "doc_id", text: str = "text", lang: str = "lang",
-    buckets: int = 1 << 15, longest: int = 3, sample: int = 4000, epochs: int = 4,
+    buckets: int = 1 << 15, longest: int = 3, sample: int = 2000, epochs: int = 4,
 ) -> Model:
     """Learn from the rows where ``learn`` holds and neither id, text nor language is null.
 
