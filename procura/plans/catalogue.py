@@ -638,7 +638,7 @@ def report_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
-    """Portal run in working order, with skip and limit, into a stored report."""
+    """Portal run in working order, past a few lots, into a stored report."""
     source = star.table(spark, folder, "pages")
     found = links.distinct_links(links.followable(pages.anchors(source)))
     paged = star.order_lots(spark, folder).join(
@@ -646,7 +646,7 @@ def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
     )
     target = _scratch(spark, "portal")
     portal.portal_report(
-        target, paged, source, _fetch_log(spark, folder, found), TEMPLATE, 1, skip=5, limit=5000,
+        target, paged, source, _fetch_log(spark, folder, found), TEMPLATE, 1, skip=5,
         document_keywords=LINK_KEYWORDS, source_keywords=SOURCE_WORDS,
     )
     back = spark.read.parquet(target)
@@ -655,9 +655,19 @@ def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def review_run(spark: SparkSession, folder: str) -> DataFrame:
-    """Folder review from raw files and archives, with skip and limit, to report rows."""
+    """Folder review from raw files and archives, a page of lots only, to report rows."""
+    return _reviewed(spark, folder, skip=3, limit=30)
+
+
+@query
+def review_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Folder review of all lots, from raw files and archives to report rows."""
+    return _reviewed(spark, folder)
+
+
+def _reviewed(spark: SparkSession, folder: str, **page: int) -> DataFrame:
     binary = star.raw_files(spark, folder).unionByName(star.archives(spark, folder))
-    done = review.review_folder(binary, "/inbox", star.lots(spark, folder), TEMPLATE, skip=3, limit=30)
+    done = review.review_folder(binary, "/inbox", star.lots(spark, folder), TEMPLATE, **page)
     return done.select("sheet", "number", "title", "tag", "confidence_percent", "comment", "deadline")
 
 

@@ -50,3 +50,38 @@ def test_query(spark, sql, folder, name):
     want = sql.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_whole_runs_have_no_cap(spark, folder, monkeypatch):
+    """Skip and limit are for the page only; whole runs hand on all lots."""
+    from procura.plans import catalogue, portal, review
+
+    seen = {}
+
+    def noted(name, whole):
+        def run(*args, skip=0, limit=None, **more):
+            seen[name] = limit
+            return whole(*args, skip=skip, limit=limit, **more)
+
+        return run
+
+    monkeypatch.setattr(portal, "portal_report", noted("portal", portal.portal_report))
+    monkeypatch.setattr(review, "review_folder", noted("review", review.review_folder))
+    catalogue.QUERIES["portal_cycle"](spark, folder)
+    catalogue.QUERIES["review_all"](spark, folder)
+    assert seen == {"portal": None, "review": None}
+
+
+def test_skip_and_limit_of_a_review(spark):
+    from datetime import datetime
+
+    from procura.plans import review
+
+    lots = [(i, f"70000{i}", f"lot {i}", f"u{i}", datetime(2024, 5, 1 + i), "c", "1") for i in range(6)]
+    schema = "row_number int, tender_id string, title string, url string, deadline_at timestamp_ntz, customer string, customer_inn string"
+    lots = spark.createDataFrame(lots, schema)
+    files = spark.createDataFrame([(f"/in/70000{i}/a.txt", bytearray(b"text")) for i in range(6)], "path string, content binary")
+    ids = lambda **page: sorted(r["title"] for r in review.review_folder(files, "/in", lots, "t {x}", **page).collect())
+    assert ids() == [f"lot {i}" for i in range(6)]
+    assert ids(skip=2) == [f"lot {i}" for i in range(2, 6)]
+    assert ids(skip=1, limit=3) == ["lot 1", "lot 2", "lot 3"]
