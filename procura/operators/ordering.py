@@ -100,22 +100,24 @@ def unique_names(df: DataFrame, name: str, order: Sequence[Column]) -> DataFrame
     """
     numbered = ordinal(df, order, "_use", group=name)
     # Names such as "x (2)" take a number of "x". The i-th of them, t, lies behind
-    # t - 1 - i free numbers, and is skipped by all uses past those.
+    # t - 1 - i free numbers, and is skipped by all uses from t + 1 - i on. Put among
+    # the uses as rows of their own, the taken numbers shift each use to its number.
     part = r"(?s)^(.*) \(([1-9][0-9]{0,8})\)$"
     number = F.regexp_extract(name, part, 2).try_cast("long")
     taken = (
         df.select(F.regexp_extract(name, part, 1).alias("_base"), number.alias("_t"))
         .filter(F.col("_t") >= 2)
         .distinct()
-        .groupBy("_base")
-        .agg(F.sort_array(F.collect_list("_t")).alias("_taken"))
     )
-    free = F.transform(F.col("_taken"), lambda t, i: t - 2 - i)
-    taken = taken.select(F.col("_base").alias(name), free.alias("_free"))
-    found = numbered.join(taken, name, "left")
-    skipped = F.size(F.filter("_free", lambda c: c < F.col("_use") - 1))
-    use = F.col("_use") + F.when(F.col("_free").isNotNull(), skipped).otherwise(0)
+    taken = ordinal(taken, [F.col("_t").asc()], "_i", group="_base")
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != name]
+    marks = taken.select(
+        F.col("_base").alias(name), *blank, (F.col("_t") + 1 - F.col("_i")).alias("_use"), "_t"
+    )
+    uses = numbered.withColumn("_t", F.lit(None).cast("long"))
+    line = [F.col("_use").asc(), F.col("_t").asc_nulls_last()]
+    placed = ordinal(uses.unionByName(marks), line, "_number", group=name).filter("_t IS NULL")
     suffixed = F.when(
-        F.col("_use") > 1, F.concat(F.col(name), F.lit(" ("), use.cast("string"), F.lit(")"))
+        F.col("_use") > 1, F.concat(F.col(name), F.lit(" ("), F.col("_number").cast("string"), F.lit(")"))
     ).otherwise(F.col(name))
-    return found.withColumn("_name", suffixed).withColumn(name, F.col("_name")).select(*df.columns)
+    return placed.withColumn("_name", suffixed).withColumn(name, F.col("_name")).select(*df.columns)

@@ -162,6 +162,23 @@ def test_unique_names_differ(spark, titles):
     assert all(named[titles.index(t)] == t for t in titles)
 
 
+def test_unique_names_with_many_taken_numbers(spark):
+    rng = random.Random(4)
+    taken = rng.sample(range(2, 3000), 1500) + [5_000_000]
+    titles = ["x"] * 1500 + [f"x ({k})" for k in taken] + ["y", "y", "x (7)", "x (7)"]
+    rng.shuffle(titles)
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(titles)], "row_number int, title string, more double")
+    found = ordering.unique_names(df, "title", [F.col("row_number").asc()])
+    # No list of all numbers of a name is made.
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    own, used, want = set(titles), {}, {}
+    for i, t in enumerate(titles):
+        if t not in used:
+            used[t] = iter([t, *(n for n in (f"{t} ({k})" for k in range(2, 5000)) if n not in own)])
+        want[i] = next(used[t])
+    assert {r["row_number"]: r["title"] for r in found.collect()} == want
+
+
 def test_listing_with_line_breaks(spark, tmp_path):
     rows = [[2, "A", "x", "line one\nline \"two\"", "1", "https://h/1", "", ""], [3, "A", "x", "\n", "2", "https://h/2", "", ""]]
     with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as fh:
