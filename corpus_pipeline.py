@@ -30,22 +30,30 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near duplicates.
 
-    Rows that repeat an id stand for one document: where such an id is kept, one of its
-    rows stays, the one with the smallest text. Rows with a null id are in no group.
+    A document is an id and a text: rows that repeat an id are judged each by its own
+    text, and of rows that repeat both one stays. Rows with a null id, and such without
+    a word, are in no group. Documents go by a 64-bit hash of id and text.
     """
-    found = minhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id IS NOT NULL")
-    # An id stays unless one of its rows is a copy of a smaller id.
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min("kept").alias("_kept"))
-    odd = checkpointed(ids.where("NOT _kept OR _n > 1"))
-    # Documents in no bucket of these ids stay, without a shuffle of their texts.
-    marked, held = docs.withColumn("_bucket", bucket("doc_id")), buckets(odd, "doc_id")
-    clear = marked.join(held, "_bucket", "left_anti").select(*docs.columns)
-    near = marked.join(held, "_bucket", "left_semi").select(*docs.columns)
-    rest = clear.unionByName(near.join(odd.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))  # nulls stay
-    again = near.join(odd.where("_kept").select("doc_id"), "doc_id")
-    order = F.struct(*[F.col(c) for c in ("text", *[c for c in docs.columns if c != "text"])])
-    one = again.groupBy("doc_id").agg(F.min(order).alias("_row")).select(*[F.col(f"_row.{c}") for c in docs.columns])
-    return rest.select(*docs.columns).unionByName(one)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("_key", key)
+    found = minhash.near_duplicates(docs.select("_key", "text"), id_column="_key").where("_key IS NOT NULL AND n_shingles > 0")
+    found = found.groupBy("_key").agg(F.count("*").alias("_n"), F.min("component_id").alias("_component"))
+    ids = docs.where("_key IS NOT NULL").groupBy("_key").agg(F.min("doc_id").alias("_id"))
+    found = checkpointed(found.join(ids, "_key"))
+    # One document of every group stays; a document without near copies is its own group.
+    first = found.groupBy("_component").agg(F.min(F.struct("_id", "_key")).alias("_first"))
+    first = first.select(F.col("_first._key").alias("_key"), F.lit(True).alias("_kept"))
+    odd = checkpointed(found.join(first, "_key", "left").where("_kept IS NULL OR _n > 1").select("_key", "_kept"))
+    # Documents in no bucket of these keys stay, without a shuffle of their texts.
+    columns = [c for c in docs.columns if c != "_key"]
+    marked, held = docs.withColumn("_bucket", bucket("_key")), buckets(odd, "_key")
+    clear = marked.join(held, "_bucket", "left_anti").select(*columns)
+    near = marked.join(held, "_bucket", "left_semi")
+    rest = clear.unionByName(near.join(odd.select("_key"), "_key", "left_anti").select(*columns))  # nulls stay
+    again = near.join(odd.where("_kept").select("_key"), "_key")
+    order = F.struct(*[F.col(c) for c in ("text", *[c for c in columns if c != "text"])])
+    one = again.groupBy("_key").agg(F.min(order).alias("_row")).select(*[F.col(f"_row.{c}") for c in columns])
+    return rest.unionByName(one)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from array import array
 
 import corpus_pipeline
@@ -59,6 +60,23 @@ def test_one_of_each_group_stays(stages):
     assert [r.text for r in after if r.doc_id is None] == [r.text for r in before if r.doc_id is None]
 
 
+def test_an_id_with_different_texts(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40))
+    t, u, near_u, own = text(), text(), None, [text() for _ in range(30)]
+    near_u = u + " tail"
+    docs = [(1, t), (2, t), (2, u), (3, near_u), (0, near_u + " more"), (4, None), (4, ""), (None, u)]
+    docs += [(7, x) for x in own] + [(7, own[0])] * 5 + [(6, own[3])]
+    df = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    # (2, u) is a copy of document 0, (2, t) of document 1; both belong to other groups.
+    want = [(1, t), (0, near_u + " more"), (4, None), (4, ""), (None, u), (6, own[3])] + [(7, x) for k, x in enumerate(own) if k != 3]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+    got = corpus_pipeline.drop_near_duplicates(spark, df.where("doc_id IN (1, 2)"), "")
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, t), (2, u)]
+
+
 def test_secrets_are_masked(stages):
     before, after = stages["secrets"]
     want = sorted((str(r.doc_id), secrets.redacted(r.text)) for r in before)
