@@ -8,6 +8,7 @@ ordinary words are left alone.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -119,8 +120,9 @@ def find(text: str | None) -> list[tuple[int, int, int, int]]:
     """Spans as (start, kind, end, start of the value), in order; places are code points.
 
     ``kind`` counts in ``KINDS``. Base patterns are matched leftmost and without overlap,
-    each for itself. Other values in a credential context join where they meet no base
-    span and cost ``GUESSES`` or more.
+    each for itself. Other values in a credential context join where they cost ``GUESSES``
+    or more and no base span covers them. They end before the next assignment of the base
+    patterns; one that meets a base span ends with its quote, too.
     """
     if not text:
         return []
@@ -137,17 +139,31 @@ def find(text: str | None) -> list[tuple[int, int, int, int]]:
         at = m.start()
         out.append((place, 2, place + len(m[0]), place))
     if any(h in low for h in _CONTEXT_HINTS):
-        taken = sorted((s, e) for s, _, e, _ in out)
-        for m in _CONTEXT.finditer(text):
-            value = m[1].rstrip("\"'`,;.)]}>")
-            start, end = m.start(1), m.start(1) + len(value)
-            if len(value) >= 6 and not any(s < end and start < e for s, e in taken) and guess_cost(value) >= GUESSES:
+        taken = sorted((value, e) for _, _, e, value in out)
+        heads = sorted(s for s, kind, _, _ in out if kind == 0)
+        m = _CONTEXT.search(text)
+        while m:
+            start, stop = m.start(1), m.end(1)
+            after = bisect.bisect_right(heads, start)
+            cut = after < len(heads) and heads[after] < stop
+            stop = heads[after] if cut else stop
+            value = text[start:stop]
+            # An assignment that follows is joined by one of these signs.
+            value = value.rstrip("\"'`,;.)]}>" + "&?|" * cut)
+            end = start + len(value)
+            met = [(s, e) for s, e in taken if s < end and start < e]
+            if met and (quote := text[start - 1]) in "\"'`" and quote in value:
+                end = text.index(quote, start)
+                value = text[start:end]
+            covered = any(s <= start and end <= e for s, e in met)
+            if len(value) >= 6 and not covered and guess_cost(value) >= GUESSES:
                 out.append((start, 3, end, start))
+            m = _CONTEXT.search(text, stop)
     return sorted(out)
 
 
 def redacted(text: str | None) -> str | None:
-    """The text with every found value replaced by ``MASK``; others are as they were."""
+    """The text with every found value replaced by ``MASK``, the union where values meet."""
     out, at = [], 0
     for start, end in sorted((value, end) for _, _, end, value in find(text)):
         if end > at:

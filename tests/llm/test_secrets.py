@@ -51,6 +51,25 @@ def test_spans_of_the_method():
     assert secrets.redacted("plain") == "plain" and secrets.redacted(None) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "found", "clean"),
+    [
+        ('password = "Tr0ub4dor&3xyz!Q"', ["Tr0ub4dor", "Tr0ub4dor&3xyz!Q"], 'password = "[secret]"'),
+        ("pwd=Zq8#kL2!vR9x&token=abcdefgh12", ["Zq8#kL2!vR9x", "abcdefgh12"], "pwd=[secret]&token=[secret]"),
+        ("token=abcdefgh12&pwd=Zq8#kL2!vR9x", ["abcdefgh12", "abcdefgh12&pwd=Zq8#kL2!vR9x"], "token=[secret]"),
+        ("pwd=Zq8#kL2!vR9x;token=abcdefgh12,auth=Zt7$wwP0qL ok", ["Zq8#kL2!vR9x", "abcdefgh12", "abcdefgh12,auth=Zt7$wwP0qL"], "pwd=[secret];token=[secret] ok"),
+        ('{"token":"abcdefgh1234","user":"bob"}', ["abcdefgh1234"], '{"token":"[secret]","user":"bob"}'),
+        ("auth: Tr#9!" + "0f" * 16 + "!x$Q7", ["Tr#9!" + "0f" * 16 + "!x$Q7", "0f" * 16], "auth: [secret]"),
+        ("é password: abcdefgh1234.", ["abcdefgh1234."], "é password: [secret]"),
+    ],
+)
+def test_values_that_meet_base_spans(text, found, clean):
+    spans = secrets.find(text)
+    assert [text[v:e] for _, _, e, v in sorted(spans, key=lambda x: (x[3], x[2]))] == found
+    assert secrets._written([s for s in spans if s[1] < 3]) == base(text)[-1]
+    assert secrets.redacted(text) == clean
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(HARD)] + [(None, "token=12345678", 1), (3, "", 2), (3, "", 2)], "doc_id long, text string, spans int")
     for r in df.select("doc_id", "text", secrets.scan(F.col("text")).alias("d")).collect():
