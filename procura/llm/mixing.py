@@ -26,6 +26,9 @@ TOPICS = {
 }
 GENERAL = "general"
 
+# A source with less than this share of all tokens is not weighted for itself.
+LEAST = 0.005
+
 # An example mix: fixed shares; ``*`` is every other value, null too.
 DEFAULT: Targets = {
     "source": {"src0": 0.15, OTHER: 0.85},
@@ -131,6 +134,30 @@ def grouped(docs: DataFrame, targets: Targets, text: str = "text") -> DataFrame:
     return docs.withColumn("_mix", F.struct(*groups, n_tokens(F.col(text)).alias("n_tokens")))
 
 
+def balanced(docs: DataFrame, power: float = 0.5, share: float = 0.5, targets: Targets = DEFAULT, text: str = "text") -> Targets:
+    """``targets`` with one for every source of ``docs``: in proportion to its tokens to a power.
+
+    Sources with less than ``LEAST`` of all tokens, and null, stay together in ``*`` and keep
+    the share of tokens that they have; so at most ``1 / LEAST`` sources are named. No source
+    is to give more than it holds when ``share`` of all tokens is taken.
+    """
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(n_tokens(F.col(text))).alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    named = sizes.where((F.col("source") != OTHER) & (F.col("n") >= LEAST * total) & (F.col("n") > 0)).collect()
+    held = {r["source"]: r["n"] / total for r in sorted(named, key=lambda r: r["source"])}
+    rest = max(0.0, 1.0 - sum(held.values()))
+    wanted, open_ones, left = {}, set(held), 1.0 - rest
+    while open_ones:
+        unit = left / sum(held[n] ** power for n in open_ones)
+        full = [n for n in held if n in open_ones and unit * held[n] ** power * share > held[n]]
+        # Such a source gives all it holds, and the others share the rest.
+        for n in full or list(open_ones):
+            wanted[n] = held[n] / share if full else unit * held[n] ** power
+        left -= sum(wanted[n] for n in full)
+        open_ones -= set(full or open_ones)
+    return {**targets, "source": {**{n: wanted[n] for n in held}, OTHER: rest if held else 1.0}}
+
+
 def draw(id_column: str, text: str, seed: int) -> Column:
     """A number in [0, 1) from the id, or from the text where the id is null."""
     key = F.coalesce(F.col(id_column).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))

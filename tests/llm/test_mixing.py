@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -78,6 +79,32 @@ def test_hard_rows_against_brute_force(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", ["zeta", "src0", "it's\\ ünï"])
+def test_every_source_meets_its_target(spark, tmp_path, hot):
+    rng = random.Random(6)
+    langs, topics = ["en"] * 50 + ["de"] * 20 + ["fr"] * 18 + ["es"] * 10 + ["xx"] * 2, [" license"] * 5 + [" | "] * 10 + [" @"] * 10 + [""] * 75
+    source = lambda i: hot if i % 3 == 0 else rng.choice(["a", "b", "b", "c", "d"]) if i % 100 != 1 else rng.choice(["rare1", "rare2", "rare3", None])
+    rows = [(i, "w " * rng.randint(10, 50) + rng.choice(topics), rng.choice(langs), source(i)) for i in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    targets = mixing.balanced(docs)["source"]
+    assert set(targets) == {hot, "a", "b", "c", "d", "*"} and sum(targets.values()) == pytest.approx(1)
+    size = dict(docs.groupBy("source").agg(F.sum(mixing.n_tokens(F.col("text")))).collect())
+    assert targets[hot] / targets["b"] == pytest.approx((size[hot] / size["b"]) ** 0.5)
+    got = queries.op2_mixing(spark, str(tmp_path)).groupBy("source").agg(F.sum(F.col("probability") * F.col("n_tokens"))).collect()
+    taken = sum(n for _, n in got)
+    assert taken == pytest.approx(0.5 * sum(size.values()), rel=0.01)
+    assert {s: n / taken for s, n in got} == pytest.approx(targets, abs=0.005)
+
+
+def test_balanced_without_room(spark):
+    rows = [("big", "w " * 900), ("small", "w " * 100), ("none", "")]
+    df = spark.createDataFrame(rows, "source string, text string")
+    # The small source would owe 125 of 500 words and has 100.
+    assert mixing.balanced(df)["source"] == pytest.approx({"big": 0.8, "small": 0.2, "*": 0.0})
+    assert mixing.balanced(df.limit(0))["source"] == {"*": 1.0}
+
+
 def test_whole_table(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
