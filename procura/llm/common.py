@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procura.operators.joins import checkpoint_folder
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -19,6 +25,23 @@ def fold(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(folds))
 
 
+@contextmanager
+def shared_table(df: DataFrame) -> Iterator[DataFrame]:
+    """``df``, written once as Parquet to the shared folder and gone after the block.
+
+    For large tables that are read several times: smaller on disk than a checkpoint, and
+    read by column. What is made from the table must be written inside the block.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{spark.sparkContext.applicationId}-{uuid.uuid4()}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # Buckets of ids: a table of them has so many rows at most, whatever it was made from.
 BUCKETS = 1 << 20
 

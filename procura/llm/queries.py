@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procura.llm import bpe, chat, embedding_dedup, langid, minhash, mixing, quality, secrets, topk, urls
+from procura.llm import bpe, chat, collocations, embedding_dedup, langid, lexical, minhash, mixing, packing, quality, secrets, topk, urls
 from procura.llm.common import fold, table
 
 
@@ -72,6 +72,25 @@ def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, folder: str, path: str | None = None) -> DataFrame:
+    sent = bpe.vocabulary(spark, path or word_tokenizer())
+    return packing.pack_documents(table(spark, folder, "documents"), sent)
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_langid": op5_langid,
@@ -83,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_topk": op10_topk,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
 
 _TOPK = """
@@ -143,4 +165,69 @@ FROM v JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY 1) USING (vec_id)
 LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id)
 """
 
-ORACLE: dict[str, str] = {"op3_minhash": _NEAR, "op4_embedding_dedup": _COSINE, "op10_topk": _TOPK}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _LOWER.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_RANKED = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS t FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0
+), q AS (
+  SELECT item_id, term, count(*) AS q
+  FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY 1, 2
+), f AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY 1), s
+), m AS (
+  SELECT k, doc_id, 25 + ((75 * len(t) * docs) // words) AS m FROM d, s WHERE len(t) > 0
+), p AS (
+  SELECT item_id, k, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (k) GROUP BY 1, 2
+), r AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn
+  FROM p JOIN m USING (k) WHERE score > 0
+)
+SELECT item_id, CAST(rn AS INTEGER) AS rank, doc_id, score FROM r WHERE rn <= 10
+"""
+
+_PHRASES = f"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
+), t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:k], ' ') AS y
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r,
+    CAST((2000000 * CAST(a AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (2000000 * CAST(a AS HUGEINT)) // (x.f + y.f), j) AS place
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.y
+), longer AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, w, m, a, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k) GROUP BY 1, 2
+), kept AS (
+  SELECT s.lang, s.phrase, s.a, l, r, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+  WHERE place = 1 AND (o.a IS NULL OR 100 * o.a < 80 * s.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM kept JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_minhash": _NEAR,
+    "op4_embedding_dedup": _COSINE,
+    "op10_topk": _TOPK,
+    "op11_ranked_search": _RANKED,
+    "op13_collocations": _PHRASES,
+}
