@@ -1,22 +1,35 @@
-"""Exact "text contains needle" join as an equi-join.
+"""Exact "text contains needle" join.
 
-A run of word characters inside a needle can only occur inside a run of word
-characters of the text. So every needle gets one of its runs as *anchor*; texts
-are cut into the distinct windows that start at each position of their runs, and
-a window head equal to an anchor is a hit. Needles of several runs are then checked
-against the text itself. Nothing is lost and nothing is compared pair by pair.
+Needles that fit a few automata are sent to the tasks, which run over every text once per
+automaton, in time linear in the text and its hits (Aho-Corasick). Nothing is shuffled and
+no text is copied.
 
-With the needles broadcast this is map-only, and the text travels along inside
-the fused stage; no shuffle carries it.
+Beyond that the join is an equi-join. A run of word characters inside a needle can only
+occur inside a run of word characters of the text. So every needle gets one of its runs
+as *anchor*; texts are cut into the distinct windows that start at each position of
+their runs, and a window head equal to an anchor is a hit. Needles of several runs are
+then checked against the text itself.
+
+Nothing is lost and nothing is compared pair by pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from procura.operators.joins import BROADCAST_BYTES, lookup_join
 
+# UTF-8 bytes of the needles of one automaton (some 60 times that in a task's memory), and
+# how many automata, each a pass over the texts, are used before windows are shuffled.
+AUTOMATON_BYTES, AUTOMATA = 4 * 1024 * 1024, 8
+
 _RUN = "[a-zа-я0-9]"
 _LONG = 4  # a run this long is preferred as a key
 _MAX = 64  # longest window; longer anchors are keyed on their head, then checked
@@ -146,6 +159,47 @@ def _keys(windows: DataFrame, keep: list[str], table: DataFrame, short: list[int
     )
 
 
+def split_needles(needles: Sequence[str], most: int) -> list[list[str]]:
+    """Sorted needles in groups of at most ``most`` bytes (a longer needle is alone).
+
+    Neighbours share their first characters, and so the nodes of an automaton.
+    """
+    groups: list[list[str]] = []
+    size = 0
+    for needle in sorted(needles):
+        own = len(needle.encode("utf-8", "surrogatepass"))
+        if not groups or size + own > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(needle)
+        size += own
+    return groups
+
+
+def scan(texts: DataFrame, needles: Sequence[str], carry: list[str]) -> DataFrame:
+    """``*carry, needle``, once for each text and needle in it: one automaton, one pass."""
+    sent = texts.sparkSession.sparkContext.broadcast(list(needles))
+    kept = texts.select(*carry, "hay")
+    schema = StructType([kept.schema[c] for c in carry]).add("needle", "string", False)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for needle in sent.value:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for row, hay in enumerate(batch.column("hay").to_pylist()):
+                found = {needle for _, needle in automaton.iter(hay)} if hay else ()
+                rows += [row] * len(found)
+                hits += found
+            taken = batch.select(carry).take(pa.array(rows, pa.int64()))
+            columns = [*taken.columns, pa.array(hits, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "needle"])
+
+    return kept.mapInArrow(find, schema)
+
+
 def find_needles(
     texts: DataFrame,
     needles: DataFrame,
@@ -155,10 +209,16 @@ def find_needles(
     """``*carry, needle`` for each text that contains a needle; may repeat rows.
 
     ``texts`` has ``hay`` and the columns of ``carry``, which identify a text.
-    ``needles`` has one column ``needle``. One aggregate over the needles measures
-    them: their size decides between a broadcast and a salted shuffle.
+    ``needles`` has one column ``needle``. Aggregates over the needles measure them: their
+    size decides between automata, windows against a broadcast, and a salted shuffle.
     """
     needles = needles.filter(F.col("needle") != "").distinct()
+    size = needles.agg(F.coalesce(F.sum(F.octet_length("needle")), F.lit(0))).first()[0]
+    if size <= min(limit, AUTOMATA * AUTOMATON_BYTES):
+        groups = split_needles([r["needle"] for r in needles.collect()], AUTOMATON_BYTES)
+        if not groups:
+            return texts.select(*carry, F.lit("").alias("needle")).filter(F.lit(False))
+        return reduce(DataFrame.unionByName, [scan(texts, g, carry) for g in groups])
     facts = (
         needles.select("needle", F.explode_outer(_runs(F.col("needle"))).alias("run"))
         .agg(

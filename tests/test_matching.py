@@ -118,10 +118,14 @@ def test_result_does_not_depend_on_partitioning(spark, fixture):
             spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 27])
-@pytest.mark.parametrize("part", [3, 70, 100_000])
-def test_needles_equal_contains(spark, monkeypatch, limit, part):
+@pytest.mark.parametrize(
+    "limit, automaton, part",
+    [(1 << 27, 1 << 22, 70), (1 << 27, 400, 70)]  # one automaton, several
+    + [(limit, 20, part) for limit in (0, 1 << 27) for part in (3, 70, 100_000)],  # windows
+)
+def test_needles_equal_contains(spark, monkeypatch, limit, automaton, part):
     monkeypatch.setattr(needles, "_PART", part)
+    monkeypatch.setattr(needles, "AUTOMATON_BYTES", automaton)
     rng = random.Random(7)
     alphabet = "abcя1  .№é"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(80)]
@@ -134,6 +138,24 @@ def test_needles_equal_contains(spark, monkeypatch, limit, part):
     assert got == {(i, w) for i, x in enumerate(texts) for w in words if w and w in x}
 
 
+def test_needles_are_not_windows(spark):
+    """Needles that fit automata: one map over the texts, no windows, no shuffle of texts."""
+    t = spark.createDataFrame([(1, "a b"), (2, None), (2, "")], "id int, hay string")
+    n = spark.createDataFrame([("a",), ("b",)], "needle string")
+    found = needles.find_needles(t, n, ["id"])
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan and "Exchange" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a"), (1, "b")]
+    assert needles.find_needles(t, n.filter("needle = ''"), ["id"]).collect() == []
+
+
+def test_needle_groups():
+    words = ["b", "aa", "a" * 50, "c", "ё" * 3]
+    groups = needles.split_needles(words, 8)
+    assert sorted(w for g in groups for w in g) == sorted(words)
+    assert all(len(g) == 1 or sum(len(w.encode()) for w in g) <= 8 for g in groups)
+
+
 def test_lookup_join_with_maps(spark):
     big = spark.createDataFrame([(i % 2, {"a": str(i)}) for i in range(20)], "k int, raw map<string,string>")
     small = spark.createDataFrame([(0, "x")], "k int, v string")
