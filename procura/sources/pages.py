@@ -2,56 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from procura.functions import text, urls
+from procura.functions import markup, text, urls
 from procura.operators.joins import once
 
-# Parts of a page that hold no links a reader could follow.
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-# An anchor reaches to its end tag, to the next anchor or to the end of the page; so
-# pages are split, and an open tag never makes a search run through the page again.
-_NEXT = r"(?i)<a(?=\s)"
-_HREF = r"""(?is)^(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_LABEL = r"(?is)^[^>]*>(.*?)(?:</a\s*>|$)"
-
-
-def unescape(c: Column) -> Column:
-    """The five character references of markup; ``&amp;`` last."""
-    for code, char in (
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&amp;", "&"),
-    ):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return c
+# Anchors that a task hands on at once; a page may have any number of them.
+_ROWS = 10_000
 
 
-def _href(anchor: Column) -> Column:
-    return unescape(
-        F.concat(*[F.regexp_extract(anchor, _HREF, i) for i in range(1, 4)])
-    )
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = batch.select(["page_id", "page_url"])
+        rows: list[tuple[int, int, str, str]] = []
+        for n, page in enumerate(batch.column("html").to_pylist()):
+            rows += [(n, *anchor) for anchor in markup.anchors(page or "")]
+            while len(rows) >= _ROWS:
+                yield _table(pages, rows[:_ROWS])
+                rows = rows[_ROWS:]
+        yield _table(pages, rows)
 
 
-def _label(anchor: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_extract(anchor, _LABEL, 1), r"<[^>]*>", "")
-    return text.strip(F.regexp_replace(unescape(inner), r"[ \t\n\r]+", " "))
+def _table(pages: pa.RecordBatch, rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+    n, number, href, label = zip(*rows, strict=True) if rows else ((), (), (), ())
+    taken = pages.take(pa.array(n, pa.int64()))
+    columns = [*taken.columns, pa.array(number, pa.int32()), pa.array(href, pa.string()), pa.array(label, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["page_id", "page_url", "pos", "href", "label"])
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """``page_id, page_url, pos, href, abs_url, text`` of each anchor with an href."""
-    parts = F.split(F.regexp_replace("html", _HIDDEN, ""), _NEXT)
-    found = (
-        pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(parts))
-        .filter(F.col("pos") > 0)
-        .select("page_id", "page_url", (F.col("pos") - 1).alias("pos"), F.col("col").alias("anchor"))
-    )
-    with_href = once(found, href=_href(F.col("anchor"))).filter(F.col("href") != "")
+    """``page_id, page_url, pos, href, abs_url, text`` of each anchor with an href.
+
+    Pages are read by ``markup.anchors`` where they lie; only anchors leave the task. A
+    null page has none.
+    """
+    rows = pages.select("page_id", F.col("url").alias("page_url"), "html")
+    schema = StructType([rows.schema["page_id"], rows.schema["page_url"]])
+    schema = schema.add("pos", "integer").add("href", "string").add("label", "string")
+    found = rows.mapInArrow(_read, schema).filter(F.col("href") != "")
     return once(
-        with_href,
+        found,
         abs_url=urls.resolve(F.col("page_url"), F.col("href")),
-        text=_label(F.col("anchor")),
-    ).drop("anchor")
+        text=text.strip(F.regexp_replace("label", r"[ \t\n\r]+", " ")),
+    ).drop("label")
