@@ -599,7 +599,7 @@ def folder_scan(spark: SparkSession, folder: str) -> DataFrame:
     target = _scratch(spark, "inbox")
     docs = star.table(spark, folder, "documents").select("source", F.hex(F.encode("text", "UTF-8")).alias("text"))
     docs.write.partitionBy("source").text(target)
-    found = inventory.inventory(spark, target.removeprefix("file://").removeprefix("file:"))
+    found = inventory.inventory(spark, target)
     known = found.filter(F.col("suffix") == ".txt")
     return known.groupBy("top_dir", "suffix").agg(F.sum("length").alias("bytes"))
 

@@ -6,6 +6,7 @@ File bytes never enter a shuffle: each job below is a map over ``binaryFile``.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -24,17 +25,27 @@ ARCHIVES = "*.[zZ][iI][pP]"
 MEMBER_SCHEMA = "archive string, member string, path string, size long, content binary"
 
 
+# Scheme and host in front of a path.
+_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?")
+
+
 def local_path(c: Column) -> Column:
     """``file:/a`` and ``hdfs://host/a`` to ``/a``, percent signs kept as they are."""
-    return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?", "")
+    return F.regexp_replace(c, _SCHEME.pattern, "")
+
+
+def store(c: Column) -> Column:
+    """Scheme and host of a path, '' where it has none: ``s3a://bucket`` of ``s3a://bucket/a``."""
+    return F.regexp_extract(c, _SCHEME.pattern, 0)
 
 
 def describe(files: DataFrame, root: str) -> DataFrame:
     """Add ``rel_path, top_dir, name, suffix`` to a table with ``path``.
 
-    ``top_dir`` is the folder directly below ``root``, NULL for files in ``root``.
+    ``top_dir`` is the folder directly below ``root``, NULL for files in ``root``. The root
+    may be a path or a URI; ``path`` has no scheme and no host, as of ``local_path``.
     """
-    base = root.rstrip("/") + "/"
+    base = _SCHEME.sub("", root).rstrip("/") + "/"
     rel = F.when(
         F.startswith(F.col("path"), F.lit(base)),
         F.substr(F.col("path"), F.lit(len(base) + 1)),
@@ -63,9 +74,13 @@ def binary_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """All files under ``root``; the scan lists paths and reads no content."""
+    """All files under ``root``, a path or a URI; the scan lists paths and reads no content.
+
+    ``path`` begins with the folder; ``store`` is the scheme and host in front of it, which
+    tell equal paths of two stores apart.
+    """
     listed = binary_files(spark, root).select(
-        local_path(F.col("path")).alias("path"), "length"
+        local_path(F.col("path")).alias("path"), "length", store(F.col("path")).alias("store")
     )
     return describe(listed, root)
 

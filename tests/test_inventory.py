@@ -82,3 +82,25 @@ def test_arrivals_are_expanded_once(spark, tmp_path):
     (root / "b.zip").write_bytes(pack(two_dot_txt="2"))
     assert run() == ["one.txt", "two.txt"]
     assert run() == ["one.txt", "two.txt"]
+
+
+def test_roots_of_every_form(spark, tmp_path):
+    for name in ("A1/x.txt", "B 2/sub/%41.txt", "top.txt"):
+        target = tmp_path / "in" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("t")
+    want = [("A1", "A1/x.txt"), ("B 2", "B 2/sub/%41.txt"), (None, "top.txt")]
+    for root in (f"{tmp_path}/in", f"{tmp_path}/in/", f"file:{tmp_path}/in", f"file://{tmp_path}/in/"):
+        rows = inventory.inventory(spark, root).collect()
+        assert sorted(((r["top_dir"], r["rel_path"]) for r in rows), key=str) == sorted(want, key=str), root
+        assert {r["store"] for r in rows} == {"file:"}
+        assert all(r["path"] == f"{tmp_path}/in/{r['rel_path']}" for r in rows)
+
+
+def test_roots_in_a_store(spark):
+    paths = ["s3a://bucket/in/A/x.txt", "hdfs://host:8020/in/B/y.txt", "file:/in/C/z.txt"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = files.select(inventory.local_path("path").alias("path"), inventory.store("path").alias("store"))
+    for root in ("s3a://bucket/in", "hdfs://host:8020/in/", "/in", "file:///in"):
+        got = [(r["store"], r["top_dir"], r["rel_path"]) for r in inventory.describe(rows, root).collect()]
+        assert got == [("s3a://bucket", "A", "A/x.txt"), ("hdfs://host:8020", "B", "B/y.txt"), ("file:", "C", "C/z.txt")]
