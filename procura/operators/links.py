@@ -98,8 +98,12 @@ def fetched_files(links: DataFrame, fetch_log: DataFrame) -> DataFrame:
     retries: of a link fetched more than once, the file of the largest ``attempt`` (a
     column of the log, if it has one) counts.
     """
-    fetched = fetch_log.filter(F.col("status").between(200, 299)).withColumnRenamed(
-        "url", "abs_url"
+    attempt = F.col("attempt") if "attempt" in fetch_log.columns else F.lit(0)
+    # Equal attempts of a link are one; what a name is made from does not tell them apart.
+    fetched = (
+        fetch_log.filter(F.col("status").between(200, 299))
+        .groupBy("page_id", F.col("url").alias("abs_url"), "content_type", "content_disposition")
+        .agg(F.max(attempt).alias("_attempt"))
     )
     named = links.join(fetched, ["page_id", "abs_url"]).withColumn(
         "filename",
@@ -108,10 +112,9 @@ def fetched_files(links: DataFrame, fetch_log: DataFrame) -> DataFrame:
             text.detect_filename(F.col("abs_url"), F.col("text")),
         ),
     )
-    attempt = F.col("attempt") if "attempt" in fetch_log.columns else F.lit(0)
     good = named.filter(~urls.is_html_response(F.col("content_type"), F.col("filename")))
     return good.groupBy("page_id", "abs_url", "pos").agg(
-        F.max_by("filename", F.struct(attempt, "filename")).alias("filename")
+        F.max_by("filename", F.struct("_attempt", "filename")).alias("filename")
     )
 
 

@@ -203,8 +203,8 @@ def _fetch_log(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
 def _outcomes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     source = star.table(spark, folder, "pages")
     anchors = checkpointed(links.followable(pages.anchors(source)))
-    found = links.document_links(anchors, keywords=LINK_KEYWORDS)
-    fetched = links.fetched_files(found, _fetch_log(spark, folder, found))
+    found = checkpointed(links.document_links(anchors, keywords=LINK_KEYWORDS))
+    fetched = checkpointed(links.fetched_files(found, _fetch_log(spark, folder, found)))
     sources = links.source_links(anchors, keywords=SOURCE_WORDS)
     return links.page_outcomes(source, found, fetched, sources), fetched
 

@@ -28,7 +28,7 @@ def downloads(
     """
     # Pages are parsed once; links are a small part of them.
     anchors = checkpointed(links.followable(html.anchors(pages)))
-    documents = links.document_links(anchors, keywords=document_keywords)
+    documents = checkpointed(links.document_links(anchors, keywords=document_keywords))
     sources = links.source_links(anchors, keywords=source_keywords)
     files = links.fetched_files(documents, fetch_log)
     if source_pages is not None:
