@@ -480,6 +480,15 @@ ORACLE: dict[str, str] = {
            WHEN contains(names, 'CRM') THEN 'no access to ' || names
            ELSE {_q(vocab.STUB_ANALYSIS)} END AS analysis_markdown,
       CAST(n_files AS INTEGER) AS n_files FROM listed""",
+    "scorer_stored": f"""WITH {ORDER_FILES} SELECT tender_id, {_q(vocab.DEFAULT_TAG)} AS classification_tag,
+      CAST(CASE WHEN n_files = 0 OR contains(names, 'CRM') THEN 0 ELSE 1 END AS INTEGER) AS confidence_percent,
+      CASE WHEN n_files = 0 THEN {_q(vocab.NO_FILES_COMMENT)}
+           WHEN contains(names, 'CRM') THEN {_q(vocab.PROVIDER_ERROR_PREFIX)} || 'no access to ' || names
+           ELSE {_stub_comment('names')} END AS classification_comment,
+      CASE WHEN n_files = 0 THEN {_q(vocab.NO_FILES_ANALYSIS)}
+           WHEN contains(names, 'CRM') THEN 'no access to ' || names
+           ELSE {_q(vocab.STUB_ANALYSIS)} END AS analysis_markdown,
+      CAST(n_files AS INTEGER) AS n_files FROM listed""",
     "stub_results": f"""WITH {ORDER_FILES} SELECT tender_id, title, customer, 'ok' AS status,
       {_q(vocab.DEFAULT_TAG)} AS classification_tag,
       CAST(1 AS INTEGER) AS confidence_percent, {_stub_comment('names')} AS classification_comment,

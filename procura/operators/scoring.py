@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import prompts, responses, text
+from procura.operators.answers import Calls, Scorer, answered
 from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join
 
 # What files without candidates are offered: all lots, as one set.
@@ -17,40 +18,41 @@ EVERYONE = "*"
 # Files that one copy of a set of options serves.
 _FILES_PER_COPY = 1000
 
-Scorer = Callable[[str, list[str]], str]
-
 
 def run_scorer(
-    requests: DataFrame, make_scorer: Callable[[], Scorer], key: str = "tender_id"
+    requests: DataFrame,
+    make_scorer: Callable[[], Scorer],
+    key: str = "tender_id",
+    calls: Calls = Calls(),
+    store: str | None = None,
+    version: str = "",
 ) -> DataFrame:
-    """``key, files, response, error``: one call of the scorer per row.
+    """``key, files, response, error``: the answer of the scorer to every row.
 
     ``requests`` has ``key, prompt, files`` (array of paths). ``make_scorer`` runs once
     per task and returns ``scorer(prompt, files) -> text``. A failed call becomes the
-    ``error`` of its row and never fails the task. The answers are written at once, so
-    that using them twice does not ask the model twice.
+    ``error`` of its row and never fails the task; ``calls`` has attempts, timeout and
+    concurrency. The answers are written at once, so that using them twice does not ask
+    the model twice. With ``store`` they are kept for later runs as well, by a digest of
+    prompt, files and the scorer's ``version`` (see ``answers.answered``).
     """
+    rows = requests.select(key, "prompt", "files")
+    if store is not None:
+        return checkpointed(answered(rows, make_scorer, store, calls, version).drop("prompt"))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
-            answers, errors = [], []
-            for prompt, files in zip(batch["prompt"], batch["files"]):
-                try:
-                    answers.append(scorer(prompt, list(files) if files is not None else []))
-                    errors.append(None)
-                except Exception as problem:
-                    answers.append(None)
-                    errors.append(str(problem))
+            asked = [(p, list(f) if f is not None else []) for p, f in zip(batch["prompt"], batch["files"])]
+            replies = calls.ask_all(scorer, asked)
+            answers, errors = [a for a, _ in replies], [e for _, e in replies]
             yield pd.DataFrame(
                 {key: batch[key], "files": batch["files"], "response": answers, "error": errors}
             )
 
     kind = dict(requests.dtypes)[key]
     return checkpointed(
-        requests.select(key, "prompt", "files").mapInPandas(
-            call, f"`{key}` {kind}, files array<string>, response string, error string"
-        )
+        rows.mapInPandas(call, f"`{key}` {kind}, files array<string>, response string, error string")
     )
 
 

@@ -413,6 +413,41 @@ def scorer_results(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("tender_id", "payload.*", F.size("files").alias("n_files"))
 
 
+def unsteady() -> scoring.Scorer:
+    """``stub``, whose first call for each prompt in a task fails."""
+    steady, seen = stub(), set()
+
+    def answer(prompt: str, files: list[str]) -> str:
+        if prompt not in seen:
+            seen.add(prompt)
+            raise ConnectionError("try again")
+        return steady(prompt, files)
+
+    return answer
+
+
+def silent() -> scoring.Scorer:
+    """A scorer that has no answer to anything."""
+
+    def answer(prompt: str, files: list[str]) -> str:
+        raise PermissionError("no access to " + ", ".join(f.rsplit("/", 1)[-1] for f in files))
+
+    return answer
+
+
+@query
+def scorer_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Classification by an unsteady scorer with retries, then again from stored answers.
+
+    The second run meets a scorer without answers; what it returns was kept by the first.
+    """
+    requests, store = _order_requests(spark, folder), _scratch(spark, "answers")
+    calls = scoring.Calls(attempts=2, pause=0.0, concurrency=4)
+    scoring.run_scorer(requests.filter("n_files > 0"), unsteady, calls=calls, store=store)
+    done = scoring.classify_requests(requests, lambda r: scoring.run_scorer(r, silent, store=store))
+    return done.select("tender_id", "payload.*", F.size("files").alias("n_files"))
+
+
 @query
 def stub_results(spark: SparkSession, folder: str) -> DataFrame:
     """Classification through the built-in test scorer."""
