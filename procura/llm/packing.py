@@ -216,9 +216,43 @@ def word_encoder(tokenizer_json: str):
     library.no_padding()
     known = _known_words(zlib.crc32(tokenizer_json.encode()))
 
-    def ask(words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, library.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+    ends = np.zeros(max(library.get_vocab().values()) + 1, bool)
+    ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
+    marks = {m: library.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
+    marks = {m: np.array(ids, "<u4").tobytes() for m, ids in marks.items() if ends.any()}
+
+    def one_by_one(words: list[str]) -> list[bytes]:
+        found = library.encode_batch_fast(words, add_special_tokens=False) if words else ()
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def in_a_row(words: list[str]) -> list[bytes]:
+        """Words of letters only, asked as one text: each ends at the one token that ends a word."""
+        if not words:
+            return []
+        ids = np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cuts) != len(words):
+            return one_by_one(words)
+        ids = ids.tobytes()
+        return [ids[x:y] for x, y in zip([0, *cuts], cuts)]
+
+    def ask(words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; such that differ in a mark behind them or in A-Z share their stem."""
+        texts = {w: w.decode("utf-8", "surrogatepass") for w in words}
+        stems: dict[bytes, tuple[str, str]] = {}
+        for w, text in texts.items():
+            mark = text[-1] if text[-1] in marks else ""
+            stem = text[:-1] if mark else text
+            if marks and stem.isalpha():
+                stems[w] = (stem.lower() if stem.isascii() else stem, mark)
+        new = list({stem for stem, _ in stems.values() if stem.encode() not in known})
+        odd = [w for w in words if w not in stems]
+        found = dict(zip((s.encode() for s in new), in_a_row(new), strict=True))
+        found |= zip(odd, one_by_one([texts[w] for w in odd]), strict=True)
+        for w, (stem, mark) in stems.items():
+            key = stem.encode()
+            found[w] = (found.get(key) or known[key]) + (marks[mark] if mark else b"")
+        return found
 
     def encode(text: str | None) -> bytes:
         out, words = [], text.encode("utf-8", "surrogatepass").split() if isinstance(text, str) else []
@@ -226,7 +260,7 @@ def word_encoder(tokenizer_json: str):
             run = words[start : start + RUN]
             ids = list(map(known.get, run))
             if None in ids:
-                new = ask(list({w for w, i in zip(run, ids, strict=True) if i is None}))
+                new = ask({w for w, i in zip(run, ids, strict=True) if i is None})
                 ids = [new[w] if i is None else i for w, i in zip(run, ids, strict=True)]
                 known.update((w, i) for w, i in new.items() if len(w) <= KEPT_WORD)
                 if len(known) * _ENTRY_BYTES > KEPT_BYTES:  # the older half goes
