@@ -10,11 +10,14 @@ passage that a thousand documents share is looked at once.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from procura.operators.joins import checkpointed, lookup_join
 LONGEST, LEAST, CONTAINED, TOP = 4, 30, 80, 2000
 # One word in so many starts a chunk; bytes of chunks that a task gathers before it hands
 # them on; words that are counted at once.
-SPACING, GATHERED, WORDS = 16, 32 * 1024 * 1024, 1_000_000
+SPACING, GATHERED, WORDS = 16, 32 * 1024 * 1024, 2_000_000
 # Bits of the filter of frequent phrases, 16 MB: its size does not depend on the data.
 BITS = 1 << 27
 SALTS = 64
@@ -35,64 +38,64 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b | 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of every piece of a text; pieces without a word are left out."""
+def pieces(text: str | None) -> list[bytes]:
+    """The words of every piece of a text, with a blank after each; pieces without a word are left out."""
     if not isinstance(text, str):
         return []
     found = (p.split() for p in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n"))
-    return [words for words in found if words]
+    return [b" ".join(words) + b" " for words in found if words]
 
 
-def chunks(words: list[bytes], longest: int = LONGEST, spacing: int = SPACING) -> Iterator[tuple[int, bytes]]:
+def chunks(piece: bytes, longest: int = LONGEST, spacing: int = SPACING) -> Iterator[tuple[int, bytes]]:
     """``own, words``: the chunks of a piece, each with the number of words that are its own.
 
-    A chunk begins at the start of the piece and at each trigger, a word whose hash is a
-    multiple of ``spacing``. It reaches ``longest - 1`` words into what follows.
+    A chunk begins at the start of the piece and at each trigger, a word whose checksum is
+    a multiple of ``spacing``. It reaches ``longest - 1`` words into what follows.
     """
-    start = 0
-    if len(words) > 1:
-        digest = xxhash.xxh3_64_intdigest
-        for at in range(1, len(words)):
-            if digest(words[at]) % spacing == 0:
-                yield at - start, b" ".join(words[start : at + longest - 1])
-                start = at
-    yield len(words) - start, b" ".join(words[start:])
+    words = piece.split()
+    starts = [0, *(k for k, w in enumerate(words) if k and zlib.crc32(w) % spacing == 0), len(words)]
+    for start, end in zip(starts, starts[1:]):
+        yield end - start, b" ".join(words[start : end + longest - 1]) + b" "
 
 
 def parse(docs: DataFrame, text_column: str, lang_column: str, longest: int = LONGEST, spacing: int = SPACING) -> DataFrame:
     """``lang, own, words, n``: the dictionary of distinct chunks and how often each occurs.
 
-    Tasks count their chunks before the shuffle, so that a passage on a third of all rows
-    sends one row from each.
+    Pieces of fewer than ``spacing`` words are a chunk each (``own`` is 0 for all of its
+    words), longer ones are cut. Tasks count their chunks before the shuffle, so that a
+    passage on a third of all rows sends one row from each.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[str, Counter] = {}
+        parts: dict[str, Counter] = {}
         held = 0
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["_text"], strict=True):
-                for words in pieces(text):
-                    for own, chunk in chunks(words, longest, spacing):
-                        found[lang, own, chunk] += 1
-                held += len(text) if isinstance(text, str) else 0
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = pieces(text)
+                long = [p for p in found if len(p) > 2 * spacing and p.count(b" ") > spacing]
+                if long:
+                    parts.setdefault(lang, Counter()).update(c for p in long for c in chunks(p, longest, spacing))
+                    found = [p for p in found if p.count(b" ") <= spacing]
+                whole.setdefault(lang, Counter()).update(found)
+                held += len(text) if text else 0
                 if held > GATHERED:
-                    yield table(found)
-                    found, held = Counter(), 0
-        yield table(found)
-
-    def table(found: Counter) -> pd.DataFrame:
-        lang, own, words = zip(*found, strict=True) if found else ((), (), ())
-        return pd.DataFrame(
-            {
-                "lang": pd.Series(lang, dtype=object),
-                "own": np.array(own, np.int64),
-                "words": pd.Series([w.decode("utf-8", "surrogatepass") for w in words], dtype=object),
-                "n": np.array(list(found.values()), np.int64),
-            }
-        )
+                    yield from tables(whole, parts)
+                    whole, parts, held = {}, {}, 0
+        yield from tables(whole, parts)
+
+    def tables(whole: dict[str, Counter], parts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in whole.items():
+            yield table(lang, [0] * len(found), found, found.values())
+        for lang, found in parts.items():
+            yield table(lang, [own for own, _ in found], [words for _, words in found], found.values())
+
+    def table(lang: str, own: Sequence[int], words, n) -> pa.RecordBatch:
+        columns = [pa.repeat(pa.scalar(lang), len(own)), pa.array(own, pa.int64()), pa.array(list(words), pa.binary()).cast(pa.string()), pa.array(list(n), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "own", "words", "n"])
 
     lang = F.coalesce(F.col(lang_column), F.lit("und")).alias("lang")
-    chunked = docs.select(lang, F.col(text_column).alias("_text")).mapInPandas(cut, "lang string, own long, words string, n long")
+    chunked = docs.select(lang, F.col(text_column).alias("_text")).mapInArrow(cut, "lang string, own long, words string, n long")
     return chunked.groupBy("lang", "own", "words").agg(F.sum("n").alias("n"))
 
 
@@ -131,62 +134,79 @@ def phrase_filter(frequent: DataFrame) -> bytes:
     return bytes(whole)
 
 
-def count_phrases(dictionary: DataFrame, n: int, sent, least: int) -> DataFrame:
-    """``lang, phrase, f``: phrases of ``n`` words that occur ``least`` times or more.
+def count_phrases(dictionary: DataFrame, sizes: Sequence[int], sent, base: int, least: int) -> DataFrame:
+    """``lang, phrase, f``: phrases of ``sizes`` words that occur ``least`` times or more.
 
-    ``sent``: the broadcast filter of frequent phrases of ``n - 1`` words (none for words).
-    A phrase whose first or last ``n - 1`` words the filter does not hold cannot be
-    frequent and is left out; the filter may hold too much, never too little, and counts
-    are by the phrases themselves. Tasks count within some ``WORDS`` words before rows are
-    formed, and Spark before the shuffle.
+    ``sent``: the broadcast filter of frequent phrases of ``base`` words, or None. A phrase
+    that holds ``base`` words in a row which the filter does not know cannot be frequent
+    and is left out; the filter may know too much, never too little, and counts are by the
+    phrases themselves. Tasks count within some ``WORDS`` words before rows are formed, and
+    Spark before the shuffle.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, np.uint8) if sent else None
         held, size = [], 0
         for batch in batches:
             held.append(batch)
-            size += batch["words"].str.len().sum()
-            if size > 6 * WORDS:
-                yield from counted(pd.concat(held), bits)
+            size += batch.column("words").nbytes
+            if size > 8 * WORDS:
+                yield from counted(pa.Table.from_batches(held).combine_chunks(), bits)
                 held, size = [], 0
         if held:
-            yield from counted(pd.concat(held), bits)
-
-    def counted(rows: pd.DataFrame, bits: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        for lang, some in rows.groupby("lang", sort=False):
-            words = " ".join(some["words"]).split(" ")
+            yield from counted(pa.Table.from_batches(held).combine_chunks(), bits)
+
+    def counted(rows: pa.Table, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for lang in pc.unique(rows["lang"]).to_pylist():
+            some = rows.filter(pc.equal(rows["lang"], lang)).combine_chunks()
+            column = some["words"].chunk(0).cast(pa.large_string())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            text = memoryview(column.buffers()[2])[offsets[0] : offsets[-1]]
+            # Every word has a blank behind it, so the column's bytes are one list of words.
+            lengths = np.diff(np.searchsorted(np.flatnonzero(np.frombuffer(text, np.uint8) == 32), offsets - offsets[0]))
+            words = text.tobytes().split(b" ")
+            words.pop()
             vocabulary = {w: k for k, w in enumerate(dict.fromkeys(words))}
             ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
-            lengths = np.array([w.count(" ") + 1 for w in some["words"]])
-            starts = np.cumsum(lengths) - lengths
-            place = np.arange(len(ids)) - np.repeat(starts, lengths)
-            kept = (place < np.repeat(some["own"].to_numpy(), lengths)) & (place + n <= np.repeat(lengths, lengths))
+            del words
+            own = some["own"].to_numpy()
+            place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            left = np.repeat(lengths, lengths) - place  # words from here to the chunk's end
+            starts = place < np.repeat(np.where(own == 0, lengths, own), lengths)
+            weights = np.repeat(some["n"].to_numpy(), lengths)
+            names = np.array(list(vocabulary), object)
             if bits is not None:
                 hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))[ids]
-                *_, part = _hashes(hashed, n - 1, _seed(lang))
+                *_, part = _hashes(hashed, base, _seed(lang))
                 slot = part % np.uint64(BITS)
                 there = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                there = np.append(there, np.zeros(len(ids) + 1 - len(there), bool))
-                kept &= there[:-1] & there[1:]
-            at = np.flatnonzero(kept)
-            if not len(at):
-                continue
-            key = ids[at]
-            for j in range(1, n):
-                if int(key.max()) + 1 > (2**62) // len(vocabulary):
-                    key = np.unique(key, return_inverse=True)[1]
-                key = key * len(vocabulary) + ids[at + j]
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-            f = np.add.reduceat(np.repeat(some["n"].to_numpy(), lengths)[at][order], first)
-            one, names = at[order[first]], np.array(list(vocabulary), object)
-            phrase = names[ids[one]]
-            for j in range(1, n):
-                phrase = phrase + " " + names[ids[one + j]]
-            yield pd.DataFrame({"lang": lang, "phrase": phrase, "f": f})
-
-    counts = dictionary.select("lang", "own", "words", "n").mapInPandas(count, "lang string, phrase string, f long")
+                there = np.append(there, np.zeros(len(ids) - len(there), bool))
+            for n in sizes:
+                kept = starts & (left >= n)
+                if bits is not None:
+                    for j in range(n - base + 1):
+                        kept[: len(ids) - j] &= there[j:]
+                at = np.flatnonzero(kept)
+                if len(at):
+                    yield grouped(lang, n, at, ids, weights[at], names)
+
+    def grouped(lang: str, n: int, at: np.ndarray, ids: np.ndarray, weights: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+        key = ids[at]
+        for j in range(1, n):
+            if int(key.max()) + 1 > (2**62) // len(names):
+                key = np.unique(key, return_inverse=True)[1]
+            key = key * len(names) + ids[at + j]
+        order = np.argsort(key)
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        f = np.add.reduceat(weights[order], first)
+        one = at[order[first]]
+        phrase = names[ids[one]]
+        for j in range(1, n):
+            phrase = phrase + b" " + names[ids[one + j]]
+        columns = [pa.repeat(pa.scalar(lang), len(f)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
+
+    counts = dictionary.select("lang", "own", "words", "n").mapInArrow(count, "lang string, phrase string, f long")
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
@@ -217,8 +237,8 @@ def collocations(
     longer one with ``contained`` percent of their occurrences or more are dropped, and
     the ``top`` first of each language returned. ``n`` counts the words of the language.
 
-    Counting goes by length: a phrase can only be frequent if its first and its last words
-    are, which a filter of fixed size tells. Parts of candidates are found in the table of
+    Counting goes by length: a phrase can only be frequent if all phrases inside it are,
+    which a filter of fixed size tells; two lengths share a pass over the dictionary. Parts of candidates are found in the table of
     frequent phrases, as they occur at least as often.
 
     Null and empty texts hold nothing; a null language is ``und``, together with texts that
@@ -226,16 +246,16 @@ def collocations(
     do not matter, whatever their names.
     """
     with shared_table(parse(docs, text_column, lang_column, longest)) as dictionary:
-        totals = checkpointed(dictionary.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n")))
-        levels, sent = [], None
-        for n in range(1, longest + 1):
-            levels.append(checkpointed(count_phrases(dictionary, n, sent, least)))
-            if sent:
-                sent.destroy()
-            sent = dictionary.sparkSession.sparkContext.broadcast(phrase_filter(levels[-1])) if n < longest else None
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+        blanks = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+        words = F.sum(F.when(F.col("own") == 0, blanks).otherwise(F.col("own")) * F.col("n"))
+        totals = checkpointed(dictionary.groupBy("lang").agg(words.alias("n")))
+        found = checkpointed(count_phrases(dictionary, [1, 2], None, 0, least))
+        for n in range(3, longest + 1, 2):
+            base = found.where(F.size(F.split("phrase", " ")) == n - 1)
+            sent = docs.sparkSession.sparkContext.broadcast(phrase_filter(base))
+            sizes = range(n, min(n + 1, longest) + 1)
+            found = found.unionByName(checkpointed(count_phrases(dictionary, sizes, sent, n - 1, least)))
+            sent.destroy()
     split = F.split("phrase", " ")
     candidates = found.withColumn("_words", split).where(F.size("_words") > 1)
     size = F.size("_words")

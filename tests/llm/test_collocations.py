@@ -56,7 +56,7 @@ def found(spark, docs, **more):
 @given(st.text(alphabet="aB é\t.\n\x0b\x1c,?中", max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_pieces(text):
-    assert [[w.decode() for w in p] for p in collocations.pieces(text)] == plain_pieces(text)
+    assert [p.decode().split(" ")[:-1] for p in collocations.pieces(text)] == plain_pieces(text)
 
 
 @given(st.lists(st.sampled_from([b"a", b"b", b"c", b"dd", b"e", b"f"]), min_size=1, max_size=40), st.integers(1, 5))
@@ -64,8 +64,8 @@ def test_pieces(text):
 def test_every_phrase_is_in_one_chunk(words, spacing):
     want = Counter(tuple(words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
     got = Counter()
-    for own, chunk in collocations.chunks(words, 4, spacing):
-        held = chunk.split(b" ")
+    for own, chunk in collocations.chunks(b" ".join(words) + b" ", 4, spacing):
+        held = chunk.split()
         got.update(tuple(held[i : i + k]) for k in range(1, 5) for i in range(own) if i + k <= len(held))
     assert got == want
 
@@ -74,7 +74,7 @@ def test_equal_passages_are_cut_alike():
     rng = random.Random(4)
     words = [f"w{i}".encode() for i in range(200)]
     passage = rng.choices(words, k=300)
-    a, b = (set(collocations.chunks(rng.choices(words, k=n) + passage, 4, 16)) for n in (50, 77))
+    a, b = (set(collocations.chunks(b" ".join(rng.choices(words, k=n) + passage) + b" ", 4, 16)) for n in (50, 77))
     assert len(a & b) >= 0.8 * 300 / 16
 
 
