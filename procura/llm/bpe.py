@@ -6,9 +6,13 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+import types
+import zlib
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,14 +20,18 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from procura.llm.common import release_memory
+
 # What the vocabulary's pre-tokenizer cuts a text at. White space is the
 # Unicode property, which differs from Python's own.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 # Pieces never cross from other characters to white space, so neither do these chunks.
 _CHUNK = rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
-# Encoded chunks, and as many pieces, that a worker keeps; longer ones are not kept.
-KEPT, KEPT_CHARS = 200_000, 64
+# Encoded chunks and pieces that a worker keeps (some 200 bytes each); longer ones are not
+# kept. Chunks of a text that are encoded at once, and bytes of text and ids that a task
+# hands on at once.
+KEPT, KEPT_CHARS, RUN, SLICE = 400_000, 64, 100_000, 4 * 1024 * 1024
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,8 +50,17 @@ class Vocabulary:
     of_byte: list[int]
     strings: dict[int, bytes]
     added: dict[str, int]
-    kept: dict[str, bytes] = field(default_factory=dict)
-    pieces: dict[str, bytes] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
+
+    def __post_init__(self):
+        """Ranks of all pairs of bytes, -1 for such that never merge."""
+        first, self.of_bytes = np.full((256, 256), -1, np.int64), np.array(self.of_byte, np.int64)
+        of = {symbol: byte for byte, symbol in enumerate(self.of_byte)}
+        for pair, rank in self.pairs.items():
+            left, right = of.get(pair >> 32), of.get(pair & 0xFFFFFFFF)
+            if left is not None and right is not None:
+                first[left, right] = rank
+        self.first = first
 
     @classmethod
     def read(cls, text: str) -> Vocabulary:
@@ -64,79 +81,83 @@ class Vocabulary:
             of_byte[byte] = ids[letter]
         return cls(pairs, unions, of_byte, strings, added)
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The symbols of one piece.
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of some pieces, none of them empty, each as four little-endian bytes.
 
-        The queue holds rank * 2**32 + place of the left symbol for neighbours that
-        merge. An entry is stale, and skipped, when its place no longer starts a pair of
-        that rank: a merge changes pairs only where it pushes new entries.
+        All pieces are one linked list of symbols without links between pieces. The queue
+        holds rank * 2**32 + place of the left symbol for neighbours that merge. An entry
+        is stale, and skipped, when the pair at its place no longer has that rank.
         """
-        of_byte = self.of_byte
-        symbols = [of_byte[b] for b in piece]
-        n = len(symbols)
-        if n == 1:
-            return symbols
-        ranks, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
-        queue, left = [], symbols[0]
-        for k in range(1, n):
-            right = symbols[k]
-            rank = ranks((left << 32) + right)
-            if rank is not None:
-                queue.append((rank << 32) + k - 1)
-            left = right
-        if not queue:
-            return symbols
-        heapq.heapify(queue)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, starts = len(data), np.cumsum([0, *map(len, pieces)])
+        places = np.arange(-1, n + 1)
+        before, after, symbols = places[:-2].copy(), places[2:].copy(), self.of_bytes[data].tolist()
+        before[starts[:-1]], after[starts[1:] - 1] = -1, n
+        rank_at = np.append(self.first[data[:-1], data[1:]], -1)
+        rank_at[starts[1:] - 1] = -1
+        at = np.flatnonzero(rank_at >= 0)
+        queue = np.sort((rank_at[at] << 32) + at).tolist()  # a sorted list is a heap
+        before, after, rank_at = before.tolist(), after.tolist(), rank_at.tolist()
+        ranks, unions, push, pop = self.pairs.get, self.unions, heapq.heappush, heapq.heappop
         while queue:
             entry = pop(queue)
-            k = entry & 0xFFFFFFFF
-            left, next_ = symbols[k], after[k]
-            if left < 0 or next_ == n or ranks((left << 32) + symbols[next_]) != entry >> 32:
+            k, rank = entry & 0xFFFFFFFF, entry >> 32
+            if rank_at[k] != rank:
                 continue
-            symbols[k] = union = self.unions[entry >> 32]
-            symbols[next_] = -1
+            next_ = after[k]
+            symbols[k] = union = unions[rank]
+            symbols[next_] = rank_at[next_] = -1
             following = after[k] = after[next_]
             if following < n:
                 before[following] = k
-                rank = ranks((union << 32) + symbols[following])
-                if rank is not None:
+                rank_at[k] = rank = ranks((union << 32) + symbols[following], -1)
+                if rank >= 0:
                     push(queue, (rank << 32) + k)
+            else:
+                rank_at[k] = -1
             previous = before[k]
             if previous >= 0:
-                rank = ranks((symbols[previous] << 32) + union)
-                if rank is not None:
+                rank_at[previous] = rank = ranks((symbols[previous] << 32) + union, -1)
+                if rank >= 0:
                     push(queue, (rank << 32) + previous)
-        return [s for s in symbols if s >= 0]
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of one piece; chunks that differ in their signs share their words."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = array("I", self.merged(piece.encode("utf-8", "surrogatepass"))).tobytes()
-            if len(piece) <= KEPT_CHARS:
-                if len(self.pieces) >= KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+        symbols = np.array(symbols, np.int64)
+        left = symbols >= 0
+        cuts = np.append(0, 4 * np.cumsum(np.add.reduceat(left, starts[:-1], dtype=np.int64))).tolist()
+        ids = symbols[left].astype("<u4").tobytes()
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of new chunks; chunks that differ in their signs share their pieces."""
+        cut = {chunk: _pieces().findall(chunk) for chunk in chunks}
+        new = list({p for found in cut.values() for p in found if p not in self.known})
+        pieces = [p.encode("utf-8", "surrogatepass") for p in new]
+        found = dict(zip(new, self.merged(pieces), strict=True)) if new else {}
+        get = lambda p: found.get(p) or self.known[p]
+        return found | {chunk: b"".join(map(get, some)) for chunk, some in cut.items()}
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, each as four little-endian bytes; added tokens are matched first."""
-        kept, chunks, out = self.kept, _chunks().findall, []
+        """The ids of a text, each as four little-endian bytes; added tokens are matched first.
+
+        Encoded chunks and pieces are kept in one store; when it is full, the older half goes.
+        """
+        known, out = self.known, []
         parts = _split(tuple(self.added))(text) if self.added else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
-            for chunk in chunks(part):
-                ids = kept.get(chunk)
-                if ids is None:
-                    ids = b"".join(map(self._piece, _pieces().findall(chunk)))
-                    if len(chunk) <= KEPT_CHARS:
-                        if len(kept) >= KEPT:
-                            kept.clear()
-                        kept[chunk] = ids
-                out.append(ids)
+            chunks = _chunks().findall(part)
+            for start in range(0, len(chunks), RUN):
+                run = chunks[start : start + RUN]
+                ids = list(map(known.get, run))
+                if None in ids:
+                    new = self._learn({c for c, i in zip(run, ids, strict=True) if i is None})
+                    ids = [new[c] if i is None else i for c, i in zip(run, ids, strict=True)]
+                    known.update((c, i) for c, i in new.items() if len(c) <= KEPT_CHARS)
+                    if len(known) > KEPT:
+                        for c in list(islice(known, len(known) // 2)):
+                            del known[c]
+                out += ids
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -172,20 +193,19 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-_read: dict[int, Vocabulary] = {}
-
-
 def _vocabulary(text: str) -> Vocabulary:
-    """The parsed vocabulary with its kept pieces, for one task.
+    """The parsed vocabulary with what it encoded before, for the life of a Python worker.
 
-    Functions travel by value, so their globals end with the task; pieces kept for as
-    long as the worker would hold memory through stages that do not tokenize.
+    Functions travel by value, so their globals end with the task; this lives in a module
+    of the worker. One vocabulary is kept at a time.
     """
-    key = hash(text)
-    if key not in _read:
-        _read.clear()
-        _read[key] = Vocabulary.read(text)
-    return _read[key]
+    home = sys.modules.setdefault("_procura_vocabulary", types.ModuleType("_procura_vocabulary"))
+    key = zlib.crc32(text.encode())
+    if getattr(home, "key", None) != key:
+        own = Vocabulary.read(text)
+        # Plain values: a class that travelled with a function is another one in each task.
+        home.key, home.values = key, {f.name: getattr(own, f.name) for f in fields(own)}
+    return Vocabulary(**home.values)
 
 
 def encoded(text: Column, sent) -> Column:
@@ -210,6 +230,21 @@ def decoded(ids: Column, sent) -> Column:
     return texts(ids)
 
 
+def _slices(batches: Iterator[pd.Series], sent) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Ids and digests of what they decode to, some ``SLICE`` bytes at once."""
+    release_memory()
+    v, ids, back, held = _vocabulary(sent.value), [], [], 0
+    for texts in batches:
+        for t in texts:
+            ids.append(v.encode(t if isinstance(t, str) else ""))
+            back.append(hashlib.sha256(v.decode(ids[-1]).encode("utf-8", "surrogatepass")).hexdigest())
+            held += len(ids[-1])
+            if held > SLICE:
+                yield ids, back
+                ids, back, held = [], [], 0
+    yield ids, back
+
+
 def digests(text: Column, sent) -> Column:
     """Struct of ``n_tokens, ids_sha256, decoded_sha256``, without the ids leaving the task.
 
@@ -219,15 +254,9 @@ def digests(text: Column, sent) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v = _vocabulary(sent.value)
-        for texts in batches:
-            rows = []
-            for t in texts:
-                ids = v.encode(t if isinstance(t, str) else "")
-                back = v.decode(ids).encode("utf-8", "surrogatepass")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(a, dtype=object), "decoded_sha256": pd.Series(b, dtype=object)})
+        for ids, back in _slices(batches, sent):
+            n, digest = [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids]
+            yield pd.DataFrame({"n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(digest, dtype=object), "decoded_sha256": pd.Series(back, dtype=object)})
 
     return run(text)
 
@@ -236,13 +265,10 @@ def tokens(text: Column, sent) -> Column:
     """Struct of ``token_ids, n_tokens, decoded_sha256``; null texts count as empty."""
 
     @F.pandas_udf("token_ids array<int>, n_tokens long, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        v, rows, back = _vocabulary(sent.value), [], []
-        for t in texts:
-            ids = v.encode(t if isinstance(t, str) else "")
-            rows.append(np.frombuffer(ids, np.int32))
-            back.append(hashlib.sha256(v.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-        ids = pd.Series(rows, dtype=object)
-        return pd.DataFrame({"token_ids": ids, "n_tokens": [len(i) for i in rows], "decoded_sha256": pd.Series(back, dtype=object)})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for ids, back in _slices(batches, sent):
+            rows = pd.Series([np.frombuffer(i, np.int32) for i in ids], dtype=object)
+            n = pd.Series([len(i) // 4 for i in ids], dtype="int64")
+            yield pd.DataFrame({"token_ids": rows, "n_tokens": n, "decoded_sha256": pd.Series(back, dtype=object)})
 
     return run(text)

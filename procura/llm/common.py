@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,14 @@ def fold(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(folds))
 
 
+def release_memory() -> None:
+    """Give memory that earlier tasks of this Python worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def shared_table(df: DataFrame) -> Iterator[DataFrame]:
     """``df``, written once as Parquet to the shared folder and gone after the block.
