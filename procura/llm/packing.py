@@ -32,7 +32,7 @@ NODES, WIDTH, STEPS, EVERY = 3000, 6, 300, 8
 # Pieces that are few enough to be packed at each node.
 SMALL = 64
 # Bytes of encoded words that a worker keeps, the longest word kept, words encoded at once.
-KEPT_BYTES, KEPT_WORD, RUN = 96 * 1024 * 1024, 64, 100_000
+KEPT_BYTES, KEPT_WORD, RUN = 160 * 1024 * 1024, 64, 100_000
 _ENTRY_BYTES = 200
 
 Pattern = tuple[int, tuple[int, ...]]
@@ -218,8 +218,8 @@ def word_encoder(tokenizer_json: str):
 
     ends = np.zeros(max(library.get_vocab().values()) + 1, bool)
     ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
-    marks = {m: library.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
-    marks = {m: np.array(ids, "<u4").tobytes() for m, ids in marks.items() if ends.any()}
+    plain = ends.any()  # the vocabulary marks the ends of words
+    marks = {m.encode(): np.array(library.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
 
     def one_by_one(words: list[str]) -> list[bytes]:
         found = library.encode_batch_fast(words, add_special_tokens=False) if words else ()
@@ -229,7 +229,7 @@ def word_encoder(tokenizer_json: str):
         """Words of letters only, asked as one text: each ends at the one token that ends a word."""
         if not words:
             return []
-        ids = np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
         if len(cuts) != len(words):
             return one_by_one(words)
@@ -238,20 +238,24 @@ def word_encoder(tokenizer_json: str):
 
     def ask(words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; such that differ in a mark behind them or in A-Z share their stem."""
-        texts = {w: w.decode("utf-8", "surrogatepass") for w in words}
-        stems: dict[bytes, tuple[str, str]] = {}
-        for w, text in texts.items():
-            mark = text[-1] if text[-1] in marks else ""
-            stem = text[:-1] if mark else text
-            if marks and stem.isalpha():
-                stems[w] = (stem.lower() if stem.isascii() else stem, mark)
-        new = list({stem for stem, _ in stems.values() if stem.encode() not in known})
-        odd = [w for w in words if w not in stems]
-        found = dict(zip((s.encode() for s in new), in_a_row(new), strict=True))
-        found |= zip(odd, one_by_one([texts[w] for w in odd]), strict=True)
+        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        odd: dict[bytes, str] = {}
+        for w in words:
+            if plain and w.isalpha():  # bytes: ASCII letters
+                stems[w] = w.lower(), b""
+            elif plain and w[:-1].isalpha() and w[-1:] in marks:
+                stems[w] = w[:-1].lower(), marks[w[-1:]]
+            else:
+                text, mark = w.decode("utf-8", "surrogatepass"), w[-1:] if w[-1:] in marks else b""
+                if plain and (text[:-1] if mark else text).isalpha():
+                    stems[w] = w[:-1] if mark else w, marks[mark] if mark else b""
+                else:
+                    odd[w] = text
+        new = list({stem for stem, _ in stems.values() if stem not in known})
+        found = dict(zip(new, in_a_row([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
+        found |= zip(odd, one_by_one(list(odd.values())), strict=True)
         for w, (stem, mark) in stems.items():
-            key = stem.encode()
-            found[w] = (found.get(key) or known[key]) + (marks[mark] if mark else b"")
+            found[w] = (found.get(stem) or known[stem]) + mark
         return found
 
     def encode(text: str | None) -> bytes:
