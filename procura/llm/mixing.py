@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procura.operators.joins import checkpointed
+
 OTHER = "*"
 Targets = Mapping[str, Mapping[str, float]]
 
@@ -142,6 +144,10 @@ def balanced(docs: DataFrame, power: float = 0.5, share: float = 0.5, targets: T
     is to give more than it holds when ``share`` of all tokens is taken.
     """
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(n_tokens(F.col(text))).alias("n"))
+    return _balanced(sizes, power, share, targets)
+
+
+def _balanced(sizes: DataFrame, power: float, share: float, targets: Targets) -> Targets:
     total = sizes.agg(F.sum("n")).first()[0] or 0
     named = sizes.where((F.col("source") != OTHER) & (F.col("n") >= LEAST * total) & (F.col("n") > 0)).collect()
     held = {r["source"]: r["n"] / total for r in sorted(named, key=lambda r: r["source"])}
@@ -173,8 +179,29 @@ def mix(docs: DataFrame, targets: Targets = DEFAULT, share: float = 0.5, seed: i
     the totals and once for the rows, and never shuffled.
     """
     rows = grouped(docs, targets, text)
-    plan = calibrate(rows.select("_mix.*"), targets, share)
-    groups = [F.col(f"_mix.{n}") for n in targets]
+    return _drawn(rows, calibrate(rows.select("_mix.*"), targets, share), seed, id_column, text)
+
+
+def mix_balanced(
+    docs: DataFrame, power: float = 0.5, share: float = 0.5, targets: Targets = DEFAULT, seed: int = 1, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``mix`` with the targets of ``balanced``, in the same two passes over the texts.
+
+    The totals are kept by source as it is and by the groups of the other targets, a table
+    without texts; the named sources, and then the cells, are taken from it.
+    """
+    others = {n: v for n, v in targets.items() if n != "source"}
+    source = F.col("source").cast("string").alias("source")
+    cells = grouped(docs, others, text).select(source, "_mix.*").groupBy("source", *others).agg(F.sum("n_tokens").alias("n_tokens"))
+    cells = checkpointed(cells)
+    chosen = _balanced(cells.groupBy("source").agg(F.sum("n_tokens").alias("n")), power, share, targets)
+    named = group_of(F.coalesce("source", F.lit(OTHER)), chosen["source"])
+    plan = calibrate(cells.withColumn("source", named), chosen, share)
+    return _drawn(grouped(docs, chosen, text), plan, seed, id_column, text)
+
+
+def _drawn(rows: DataFrame, plan: Mix, seed: int, id_column: str, text: str) -> DataFrame:
+    groups = [F.col(f"_mix.{n}") for n in plan.targets]
     probability, weight = plan._value(plan.probability, groups), plan._value(plan.weight, groups)
     extra = F.struct(
         *groups, F.col("_mix.n_tokens"), weight.alias("weight"), probability.alias("probability"),

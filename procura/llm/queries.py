@@ -28,7 +28,7 @@ def op5_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, mixing.balanced(docs)).select("doc_id", "_mix.*")
+    return mixing.mix_balanced(docs).select("doc_id", "_mix.*")
 
 
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:

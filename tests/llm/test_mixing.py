@@ -112,3 +112,12 @@ def test_whole_table(spark, folder):
     found = queries.op2_mixing(spark, folder)
     assert found.count() == len(rows)
     assert found.agg(F.min("probability"), F.max("probability")).first()[1] <= 1
+
+
+def test_balanced_in_two_passes(spark, folder):
+    """Totals by source serve both the targets and the cells."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5).withColumn("source", F.lit(None).cast("string")))
+    docs = docs.unionByName(docs.limit(3).withColumn("source", F.lit("rare")).withColumn("text", F.lit("a b")))
+    pick = lambda d: sorted(map(str, d.select("doc_id", "_mix.*").collect()))
+    assert pick(mixing.mix_balanced(docs)) == pick(mixing.mix(docs, mixing.balanced(docs)))

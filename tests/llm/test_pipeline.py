@@ -84,9 +84,10 @@ def test_secrets_are_masked(stages):
     assert all(r.n_chars == len(r.text) for r in after if "[secret]" in r.text)
 
 
-def test_mix(stages):
+def test_mix(spark, stages):
     before, after = stages["mixing"]
-    kept = [r[0] for r in mixed([(r.doc_id, r.text, r.lang, r.source) for r in before], mixing.DEFAULT, 0.5, 1) if r[-1]]
+    targets = mixing.balanced(spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long" if len(before[0]) == 5 else SCHEMA))
+    kept = [r[0] for r in mixed([(r.doc_id, r.text, r.lang, r.source) for r in before], targets, 0.5, 1) if r[-1]]
     assert sorted(str(r.doc_id) for r in after) == kept
 
 
