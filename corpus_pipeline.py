@@ -66,8 +66,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Keeps documents with the calibrated probability of their source, language and topic."""
-    return mixing.mix(docs).where("_mix.kept").select(*docs.columns)
+    """Keeps documents with the calibrated probability of their source, language and topic.
+
+    Every source has a target, in proportion to the square root of its tokens.
+    """
+    return mixing.mix_balanced(docs).where("_mix.kept").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
