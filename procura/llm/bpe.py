@@ -230,8 +230,21 @@ def decoded(ids: Column, sent) -> Column:
     return texts(ids)
 
 
-def _slices(batches: Iterator[pd.Series], sent) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Ids and digests of what they decode to, some ``SLICE`` bytes at once."""
+def _slices(batches: Iterator[pd.Series], sent, keep: bool = True) -> Iterator[tuple[list[bytes], list[str]]]:
+    """Ids and digests of what they decode to, some ``SLICE`` bytes at once.
+
+    Without ``keep`` the store ends with the task, for jobs whose next stages need the
+    worker's memory for something else.
+    """
+    try:
+        yield from _encoded_slices(batches, sent)
+    finally:
+        if not keep:
+            sys.modules.pop("_procura_vocabulary", None)
+        release_memory()
+
+
+def _encoded_slices(batches: Iterator[pd.Series], sent) -> Iterator[tuple[list[bytes], list[str]]]:
     release_memory()
     v, ids, back, held = _vocabulary(sent.value), [], [], 0
     for texts in batches:
@@ -262,11 +275,14 @@ def digests(text: Column, sent) -> Column:
 
 
 def tokens(text: Column, sent) -> Column:
-    """Struct of ``token_ids, n_tokens, decoded_sha256``; null texts count as empty."""
+    """Struct of ``token_ids, n_tokens, decoded_sha256``; null texts count as empty.
+
+    What was encoded is kept for one task only.
+    """
 
     @F.pandas_udf("token_ids array<int>, n_tokens long, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for ids, back in _slices(batches, sent):
+        for ids, back in _slices(batches, sent, keep=False):
             rows = pd.Series([np.frombuffer(i, np.int32) for i in ids], dtype=object)
             n = pd.Series([len(i) // 4 for i in ids], dtype="int64")
             yield pd.DataFrame({"token_ids": rows, "n_tokens": n, "decoded_sha256": pd.Series(back, dtype=object)})
