@@ -29,7 +29,7 @@ ROLES = ("system", "user", "assistant")
 # Words before a colon that name a speaker.
 _NAMES = {"system": ("system", "instructions", "context"), "user": ("user", "human", "customer", "question", "q", "me"), "assistant": ("assistant", "ai", "bot", "agent", "model", "answer", "a")}
 _MARKER = re.compile(
-    r"\s*(?:[*_#>\[(<|]{0,4})\s*(?:" + "|".join(f"(?P<{r}>{'|'.join(n)})" for r, n in _NAMES.items()) + r")\s*[\])>|*_]{0,4}\s*[:：]\s*[*_]{0,2}\s*", re.I | re.A
+    r"\s*+(?:[*_#>\[(<|]{0,4}+)\s*+(?:" + "|".join(f"(?P<{r}>{'|'.join(n)})" for r, n in _NAMES.items()) + r")\s*+[\])>|*_]{0,4}+\s*+[:：]\s*+[*_]{0,2}\s*", re.I | re.A
 )
 _SIZES = (0, 30, 80, 200, 500, 1500)
 # Weight of the belief that a marker names its speaker, against counted lines.
@@ -50,7 +50,7 @@ class Model:
 
 def marker(line: str) -> tuple[str, int]:
     """The role that a line's marker names ('' without one), and where its text begins."""
-    found = _MARKER.match(line[:200])
+    found = _MARKER.match(line)
     return (found.lastgroup, found.end()) if found else ("", 0)
 
 

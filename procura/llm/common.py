@@ -35,6 +35,21 @@ def release_memory() -> None:
         trim(0)
 
 
+# Bytes of texts in an Arrow batch, where the session does not say.
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, unless it has a bound of its own.
+
+    By default a batch may hold 64 MB; the executor, the pipe and the Python worker each
+    hold copies of it. A text longer than the bound is a batch by itself.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 @contextmanager
 def shared_table(df: DataFrame) -> Iterator[DataFrame]:
     """``df``, written once as Parquet to the shared folder and gone after the block.

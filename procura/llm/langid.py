@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from procura.llm.common import mix
+from procura.llm.common import mix, release_memory
 
 UNKNOWN = "und"
 # Characters worked off at once, so that memory does not follow the longest text.
 SLICE = 200_000
+# Parts in which the ids of one language are ranked before its first ones meet.
+PARTS = 64
 
 
 @dataclass
@@ -108,7 +110,8 @@ def fit(
 
     Document frequencies count every such row. Weights are fitted to at most ``sample``
     of them, as many of each language as there are, chosen by a hash of the id; a tenth
-    sets the temperature. Without any such row the model knows no language.
+    sets the temperature. Of rows that repeat an id and a language the smallest text
+    counts. Without any such row the model knows no language.
     """
     rows = docs.where(learn & F.col(id_column).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows.select(F.col(id_column).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
@@ -121,6 +124,7 @@ def fit(
                 total += 1
         at = np.flatnonzero(found)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(found[at], total)})
+        release_memory()
 
     counted = rows.select("_text").mapInPandas(frequencies, "bucket long, n long")
     df = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # a row per bucket at most
@@ -135,7 +139,10 @@ def fit(
     # Ids first: texts are read for the chosen only. ``sample`` ids fit any executor.
     order = F.xxhash64("_id")
     ids = rows.groupBy("_id").agg(F.min("_lang").alias("_lang"))
-    ranked = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_id")))
+    # One language may hold most ids: its first ones are found in parts, then meet.
+    early = Window.partitionBy("_lang", F.pmod(order, F.lit(PARTS))).orderBy(order, "_id")
+    few = ids.withColumn("_rank", F.row_number().over(early)).where(F.col("_rank") <= sample)
+    ranked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(order, "_id")))
     chosen = ranked.where(F.col("_rank") <= sample).orderBy("_rank", order, "_lang").limit(sample).select("_id", "_lang")
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,8 +151,10 @@ def fit(
                 at, value = features(t, idf, longest)
                 yield pd.DataFrame({"_id": [i], "_lang": [name], "_at": [at.astype(np.int32)], "_value": [value.astype(np.float32)]})
 
-    kept = rows.join(F.broadcast(chosen), ["_id", "_lang"]).mapInPandas(sparse, "_id long, _lang string, _at array<int>, _value array<float>")
-    data = kept.limit(sample).toPandas().sort_values("_id")
+    # Copies of a chosen id are one example, so that they cannot push out others.
+    texts = rows.join(F.broadcast(chosen), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+    kept = texts.mapInPandas(sparse, "_id long, _lang string, _at array<int>, _value array<float>")
+    data = kept.toPandas().sort_values("_id")
     languages = sorted(set(data["_lang"]))
     examples = [
         (np.append(np.asarray(at, np.int64), buckets), np.append(value, 1.0).astype(np.float64), languages.index(name))
@@ -178,6 +187,7 @@ def predict(model: Model, text: Column) -> Column:
             p = _softmax((value @ m.weights[at] + m.weights[-1]) / m.temperature)
             names.append(m.languages[int(p.argmax())])
             scores.append(min(1.0, float(p.max())))
+        release_memory()
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     return judged(text)

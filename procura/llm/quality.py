@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _shapes(text: str, known: dict[bytes, int]) -> np.ndarray:
             known.clear()
         for k, code in enumerate(out):
             if code is None:
-                out[k] = known[words[k]] = int.from_bytes(_RUN.sub(rb"\1", words[k])[:48], "little") % (2**61 - 1)
+                out[k] = known[words[k]] = xxhash.xxh3_64_intdigest(_RUN.sub(rb"\1", words[k]))
     return np.array(out, np.uint64)
 
 
@@ -111,8 +112,9 @@ def fit(
 
     At most ``sample`` of them are read, chosen by a hash of the id, so that no text is
     shuffled: their ids are broadcast. Class counts cover the sample; the margin is fitted
-    to at most ``fitted`` of it, and a fifth of those sets the probability. An id with
-    several labels has the one that at least half of them say; null labels and texts of
+    to at most ``fitted`` ids of it, and a fifth of those sets the probability. Of rows that
+    repeat an id the margin is fitted to the smallest text. An id with several labels has
+    the one that at least half of them say; null labels and texts of
     unlabelled ids are not read. With labels of one class only, or none, every score is
     the share of label 1, or one half.
     """
@@ -154,8 +156,9 @@ def fit(
                 at = features(t if isinstance(t, str) else None, buckets, known)
                 yield pd.DataFrame({"_id": [i], "_good": [y], "_at": [at.astype(np.int32)]})
 
-    kept = rows.join(F.broadcast(chosen.where(F.col("_place") <= fitted)), "_id")
-    data = kept.mapInPandas(sparse, "_id long, _good boolean, _at array<int>").limit(fitted).toPandas()
+    # Copies of a chosen id are one example, so that they cannot push out others.
+    kept = rows.join(F.broadcast(chosen.where(F.col("_place") <= fitted)), "_id").groupBy("_id", "_good").agg(F.min("_text").alias("_text"))
+    data = kept.mapInPandas(sparse, "_id long, _good boolean, _at array<int>").toPandas()
     data = data.sort_values("_id", kind="stable")
     examples, positive = [np.asarray(a, np.int64) for a in data["_at"]], data["_good"].to_numpy(bool)
     if positive.all() or not positive.any():

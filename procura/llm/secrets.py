@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from procura.llm.common import release_memory
+
 KINDS = ("assign", "access", "hex", "guess")
 MASK = "[secret]"
 # Guesses (a power of ten) from which a value in a credential context is a secret.
@@ -202,6 +204,8 @@ def redact(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t if isinstance(t, str) else None) for t in texts], dtype=object)
+        clean = [redacted(t if isinstance(t, str) else None) for t in texts]
+        release_memory()
+        return pd.Series(clean, dtype=object)
 
     return run(text)

@@ -81,3 +81,12 @@ def test_held_out_accuracy(spark, folder):
     found = queries.op6_chat(spark, folder).join(truth, ["conv_id", "turn"]).where("held_out")
     right, rows = found.agg(F.sum((F.col("role") == F.col("truth")).cast("int")), F.count("*")).first()
     assert rows and right / rows > 0.9
+
+
+def test_markers_are_seen_on_the_whole_line():
+    for blanks in (0, 10, 210, 300_000):
+        line = " " * blanks + "**User:** hello"
+        assert chat.marker(line) == ("user", len(line) - 5)
+    hard = ["user" + " " * 300_000 + "x", " " * 300_000 + "x", "* " + "\t" * 300_000, "a" * 300_000 + ":", ""]
+    assert [chat.marker(line) for line in hard] == [("", 0)] * 5
+    assert chat.marker("user" + " " * 300_000 + ": x")[0] == "user"

@@ -89,3 +89,54 @@ def test_held_out_accuracy(spark, folder):
     found = queries.op1_quality(spark, folder).join(labels, "doc_id").where("held_out")
     means = dict(found.groupBy("quality").agg(F.avg("score")).collect())
     assert means[1] > means[0] + 0.3
+
+
+def test_shapes_are_of_whole_words():
+    long = "Ab1!" * 12
+    first, second = (quality.features(long + end, 1 << 17, {}) for end in ("x", "9"))
+    assert not set(quality._shapes(long + "x", {})) & set(quality._shapes(long + "9", {})) and len(first) == len(second)
+
+
+def test_copies_of_an_id_push_out_no_example(spark):
+    """Samples are of ids: one id with very many rows is one example, in either model."""
+    known = [(i, ("the house and the cat " if i % 2 else "das haus und die katze ") * 3, "en" if i % 2 else "de") for i in range(100, 140)]
+    docs = spark.createDataFrame(known + [(100, "das haus und die katze", "de")] * 500, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), buckets=512, sample=40)
+    assert model.languages == ["de", "en"]
+    found = langid.identify(docs, model).where("lang <> lang_pred").count()
+    assert found == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 140)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), buckets=512, sample=40, fitted=40)
+    good = docs.select(F.col("doc_id") % 2 == 1, quality.score(model, F.col("text")) >= 0.5).collect()
+    assert all(a == b for a, b in good)
+
+
+def test_language_sample_is_the_first_of_each_language(spark):
+    """The rank in parts changes nothing: ids by hash, as many of each language as there are."""
+    docs = spark.createDataFrame([(i, "the cat" if i % 9 else "die katze", "en" if i % 9 else "de") for i in range(900)], "doc_id long, text string, lang string")
+    want = langid.fit(docs, F.lit(True), buckets=256, sample=60).weights
+    parts, langid.PARTS = langid.PARTS, 1
+    try:
+        assert (langid.fit(docs, F.lit(True), buckets=256, sample=60).weights == want).all()
+    finally:
+        langid.PARTS = parts
+
+
+def test_small_batches_keep_a_bound_of_the_session(spark):
+    from procura.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        common.small_batches(spark)
+        assert spark.conf.get(key) == str(common.BATCH_BYTES)
+        spark.conf.set(key, "1000")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "1000"
+        # Texts longer than the bound come through whole.
+        docs = spark.createDataFrame([(i, "ab" * (5000 * (i % 3))) for i in range(50)], "doc_id long, text string")
+        same = docs.mapInPandas(lambda batches: batches, docs.schema)
+        assert sorted(same.collect()) == sorted(docs.collect())
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
