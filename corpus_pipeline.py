@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from procura.llm import bpe, langid, minhash, mixing, secrets
-from procura.llm.common import bucket, buckets, fold, table
+from procura.llm.common import bucket, buckets, fold, small_batches, table
 from procura.llm.queries import tokenizer
 from procura.operators.joins import checkpoint_folder, checkpointed
 
@@ -20,7 +20,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rejects texts without a letter and such that fit no language well."""
+    """Rejects texts without a letter and such that fit no language well.
+
+    Null and empty texts have no letter, so they go; a text of any length is read whole.
+    Rows that repeat an id are judged each by its own text. Without a row to learn from
+    nothing is recognised and the result is empty.
+    """
+    small_batches(spark)
     model = langid.fit(docs, fold("doc_id", 3) != 1)
     found = langid.predict(model, F.col("text"))
     keep = (F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)
@@ -34,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
     text, and of rows that repeat both one stays. Rows with a null id, and such without
     a word, are in no group. Documents go by a 64-bit hash of id and text.
     """
+    small_batches(spark)
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
     docs = docs.withColumn("_key", key)
     found = minhash.near_duplicates(docs.select("_key", "text"), id_column="_key").where("_key IS NOT NULL AND n_shingles > 0")
@@ -57,7 +64,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Replaces every secret by a mask; ``n_chars`` follows where a text changed."""
+    """Replaces every secret by a mask; ``n_chars`` follows where a text changed.
+
+    Every row stays; null and empty texts stay as they are.
+    """
+    small_batches(spark)
     found = docs.withColumn("_clean", secrets.redact(F.col("text")))
     changed = ~F.col("_clean").eqNullSafe(F.col("text"))
     size = F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
@@ -68,13 +79,19 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def sample_to_targets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keeps documents with the calibrated probability of their source, language and topic.
 
-    Every source has a target, in proportion to the square root of its tokens.
+    Every source has a target, in proportion to the square root of its tokens. Null and
+    empty texts hold no token; rows with a null source or language belong to the rest
+    (``*``). Rows that repeat an id draw the same number.
     """
     return mixing.mix_balanced(docs).where("_mix.kept").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Adds token ids, their number, and the digest of what they decode to."""
+    """Adds ``token_ids``, ``n_tokens`` and ``decoded_sha256``, the digest of what the ids decode to.
+
+    Every row stays; null and empty texts have no ids. Columns of these names are replaced.
+    """
+    small_batches(spark)
     sent = bpe.vocabulary(spark, tokenizer())
     found = docs.withColumn("_tokens", bpe.tokens(F.col("text"), sent))
     names = ("token_ids", "n_tokens", "decoded_sha256")
