@@ -17,6 +17,11 @@ from procura.operators.needles import find_needles
 # needles, not per title.
 HOT_TITLES = 1000
 
+# Needles are left unopened where bounds allow once one is in more titles than this.
+PRUNE_TITLES = 256
+# Titles that a file's rarest needles open before there is a bound.
+OPENED = 256
+
 _CLASS, _SHARED, _ID = 0, 1, 2
 _POSTING_BYTES = 128
 
@@ -66,6 +71,80 @@ def _smallest_ids(df: DataFrame, group: str, unit: str, top: int | None) -> Data
     return ranked.withColumn(unit, F.min("tender_id").over(Window.partitionBy(group)))
 
 
+def _few(mult: Column) -> Column:
+    """What a score loses where few tokens are found."""
+    return F.when(mult == 0, -3).when(mult == 1, -1).otherwise(0)
+
+
+def _score() -> Column:
+    summed = F.col("weight") + _few(F.col("mult")) + F.col("by_name")
+    return F.when(F.col("kind") == _ID, F.lit(vocab.ID_SCORE)).otherwise(summed)
+
+
+def _sum_of(features: Column, name: str) -> Column:
+    """The sum of one field over an array; null for a null array."""
+    return F.aggregate(features, F.lit(0).cast("long"), lambda total, f: total + f[name])
+
+
+def openings(
+    found: DataFrame, postings: DataFrame, kept: int | None, min_score: int, fits: bool
+) -> DataFrame:
+    """``path, by_name, needle, n, open``: the needles of a file whose titles matter.
+
+    ``n`` counts the titles of a needle. A file's needles are ordered from rare to
+    frequent. The rarest are opened; the ``kept``-th best score that their titles reach
+    already is one that a title has to exceed or equal. What a title scores that holds
+    frequent needles only is at most the sum of their weights: the longest tail of
+    needles whose sum stays below stays closed. No title can enter the ``kept`` best
+    through it. Needles of ids and of hot combinations are always opened, and their
+    weights count in every bound.
+    """
+    per_unit = postings.groupBy("needle", "unit", "kind").agg(
+        F.sum("weight").alias("weight"), F.sum("mult").alias("mult")
+    )
+    heavy = F.max(F.when(F.col("kind") != _ID, F.col("weight")))
+    facts = per_unit.groupBy("needle").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(heavy, F.lit(0)).alias("_weight"),
+        F.max("mult").alias("_mult"),
+        F.max(F.col("kind") != _CLASS).alias("_fixed"),
+    )
+    whole = Window.partitionBy("path")
+    by_rank = whole.orderBy(F.col("_fixed").desc(), "n", "needle")
+    before = by_rank.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = by_rank.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rare = lambda c: F.when(~F.col("_fixed"), c).otherwise(0)
+    fixed = lambda c: F.when(F.col("_fixed"), c).otherwise(0)
+    at_most = lambda c: F.sum(rare(F.col(c))).over(after) + F.sum(fixed(F.col(c))).over(whole)
+    first = (F.sum(rare(F.col("n"))).over(before) <= OPENED) | (F.sum(rare(F.lit(1))).over(before) == 1)
+    known = lookup_join(found, facts, ["needle"], fits=fits)
+    # Written once: needles are looked for once, however often this is read below.
+    known = checkpointed(
+        known.select(
+            "path", "by_name", "needle", "n",
+            (F.col("_fixed") | first).alias("_first"),
+            (at_most("_weight") + _few(at_most("_mult")) + F.col("by_name")).alias("_bound"),
+        )
+    )
+    least = F.lit(min_score)
+    if kept is not None:
+        opened = lookup_join(known.filter("_first"), postings, ["needle"], fits=fits)
+        units = opened.groupBy("path", "by_name", "unit", "kind").agg(
+            F.sum("weight").alias("weight"), F.sum("mult").alias("mult")
+        )
+        best = Window.partitionBy("path").orderBy(F.col("_least").desc())
+        reached = (
+            units.select("path", _score().alias("_least"))
+            .withColumn("_rn", F.row_number().over(best))
+            .filter(F.col("_rn") <= kept)
+            .filter(F.col("_rn") == kept)
+            .drop("_rn")
+        )
+        known = known.join(reached, "path", "left")
+        least = F.greatest(F.coalesce("_least", least), least)
+    return known.select("path", "by_name", "needle", "n", (F.col("_first") | (F.col("_bound") >= least)).alias("open"))
+
+
 def score_pairs(
     files: DataFrame,
     lots: DataFrame,
@@ -77,6 +156,7 @@ def score_pairs(
     project_markers: Sequence[str] = vocab.PROJECT_MARKERS,
     normalize_id: bool = False,
     hot_titles: int = HOT_TITLES,
+    prune_titles: int = PRUNE_TITLES,
     limit: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``path, tender_id, score`` of the pairs with at least ``min_score``.
@@ -92,7 +172,9 @@ def score_pairs(
     needle in more than ``hot_titles`` classes is hot. Classes found through no
     other needle score by their hot needles alone and are again grouped by them, so
     a boilerplate word never pairs every file with every title. The work per file
-    is bounded by its rare needles and by the combinations of hot ones.
+    is bounded by its rare needles and by the combinations of hot ones. Where a needle
+    that is not hot is in more than ``prune_titles`` classes, needles that bring no title
+    into the top of their file are not opened (``openings``); the result is the same.
     """
     # The tender side is used several times below; it is written once.
     lots = checkpointed(lots.select("tender_id", "title", "customer"))
@@ -138,6 +220,7 @@ def score_pairs(
             "mult",
         )
         any_hot = False
+        rare_parts = heads.withColumnRenamed("features", "_rare")
     else:
         hot = per_needle.filter(F.col("n") > hot_titles).select("needle", F.lit(True).alias("hot"))
         marked = lookup_join(exploded, hot, ["needle"], "left", fits=fits)
@@ -169,6 +252,7 @@ def score_pairs(
             )
         )
         any_hot = True
+        rare_parts = sides.select("unit", F.col("rare_part").alias("_rare"))
 
     postings = postings.unionByName(ids)
     members = members.unionByName(id_members)
@@ -194,11 +278,25 @@ def score_pairs(
         )
         .select("path", "by_name", "needle")
     )
+    prune = facts["hottest"] > prune_titles
+    if prune:
+        postings = checkpointed(postings)
+        planned = openings(found, postings, None if top is None else 3 * top, min_score, fits)
+        found = planned.filter("open")
     units = (
         lookup_join(found, postings, ["needle"], fits=fits)
         .groupBy("path", "by_name", "shared", "unit", "kind")
         .agg(F.sum("weight").alias("weight"), F.sum("mult").alias("mult"))
     )
+    if prune:
+        # A title found through an open needle scores for its closed ones, too.
+        closed = planned.filter(~F.col("open")).groupBy("path").agg(F.collect_list("needle").alias("_closed"))
+        parts = rare_parts.withColumn("kind", F.lit(_CLASS))
+        units = lookup_join(units.join(closed, "path", "left"), parts, ["unit", "kind"], "left", fits=fits)
+        held = F.filter("_rare", lambda f: F.array_contains("_closed", f["needle"]))
+        for column in ("weight", "mult"):
+            units = units.withColumn(column, F.col(column) + F.coalesce(_sum_of(held, column), F.lit(0)))
+        units = units.drop("_closed", "_rare")
     if any_hot:
         # Hot needles count for a class found by a rare one as well.
         combo = Window.partitionBy("path", "shared")
@@ -211,11 +309,7 @@ def score_pairs(
             units = units.withColumn(
                 column, F.col(column) + F.when(is_class, extra).otherwise(0)
             )
-    few = F.when(F.col("mult") == 0, -3).when(F.col("mult") == 1, -1).otherwise(0)
-    score = F.when(F.col("kind") == _ID, F.lit(vocab.ID_SCORE)).otherwise(
-        F.col("weight") + few + F.col("by_name")
-    )
-    scored = units.select("path", "unit", "kind", score.cast("int").alias("score")).filter(
+    scored = units.select("path", "unit", "kind", _score().cast("int").alias("score")).filter(
         F.col("score") >= min_score
     )
     if top is not None:

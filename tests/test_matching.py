@@ -98,6 +98,43 @@ def test_scores_equal_brute_force(fixture, hot_titles, limit):
     assert got == brute_top(files, lots, 5)
 
 
+@pytest.mark.parametrize("hot_titles, limit, opened", [(2, 1 << 27, 3), (1000, 0, 0)])
+def test_pruned_scores_equal_brute_force(monkeypatch, fixture, hot_titles, limit, opened):
+    monkeypatch.setattr(matching, "OPENED", opened)
+    files, lots, f, t = fixture
+    for top in (5, None):
+        pairs = matching.score_pairs(f, t, top=top, hot_titles=hot_titles, prune_titles=0, limit=limit)
+        got = sorted(tuple(r) for r in matching.rank_candidates(pairs, top).select("path", "tender_id", "score", "rn").collect())
+        assert got == brute_top(files, lots, top)
+
+
+def test_frequent_words_stay_closed(spark, monkeypatch):
+    """A thousand titles share two words; files that hold rarer ones open few titles."""
+    lots = []
+    for i in range(1000):
+        own = f"shared00 common00 group{i % 40:03d} field{i % 40:03d} thing{i % 40:03d} number{i:04d}"
+        lots.append((i, f"id-{i:05d}", own, "u", None, "", ""))
+    files = [(f"/in/{k}.txt", None, f"shared00 common00 group{k:03d} field{k:03d} thing{k:03d}" + (f" number{k:04d}" if k % 2 else "")) for k in range(30)]
+    files += [(f"/in/other{k}.txt", None, "shared00 and nothing else") for k in range(10)]
+    f, t = spark.createDataFrame(files, FILES), spark.createDataFrame(lots, LOTS)
+    seen = []
+    whole = matching.openings
+
+    def noted(*args):
+        seen.append(whole(*args))
+        return seen[0]
+
+    monkeypatch.setattr(matching, "openings", noted)
+    rows = lambda pairs: sorted(tuple(r) for r in matching.rank_candidates(pairs).collect())
+    want = rows(matching.score_pairs(f, t, prune_titles=10_000))
+    assert not seen
+    assert rows(matching.score_pairs(f, t)) == want and len(want) >= 150
+    opened = seen[0].groupBy("path").agg(F.sum(F.when(F.col("open"), F.col("n")).otherwise(0)).alias("open"), F.sum("n").alias("all"))
+    opened = {r["path"]: (r["open"], r["all"]) for r in opened.collect()}
+    for k in range(30):
+        assert opened[f"/in/{k}.txt"][0] <= 76 and opened[f"/in/{k}.txt"][1] >= 2075
+
+
 def test_all_pairs_equal_brute_force(fixture):
     files, lots, f, t = fixture
     for hot_titles in (0, 1000):
