@@ -329,6 +329,13 @@ GRADED = f"""{ORDER_LOTS}, graded AS (
     row_number % 101 AS confidence_percent, 'статус ' || o_orderstatus AS comment,
     {_sheet('deadline_at')} AS sheet FROM lots)"""
 
+THIRD = f"""{GRADED}, third AS (
+        SELECT row_number, tender_id, title, tag,
+          CASE WHEN year(deadline_at) = 1992 THEN NULL
+               WHEN row_number % 7 = 0 THEN deadline_at + INTERVAL 40 DAY ELSE deadline_at END AS deadline_at,
+          CASE WHEN year(deadline_at) = 1992 THEN 3 WHEN row_number % 7 = 0 THEN 2 ELSE 1 END AS version
+        FROM graded)"""
+
 _RAW_DATE = """CASE o_orderkey % 7
   WHEN 0 THEN strftime(o_orderdate, '%d.%m.%Y')
   WHEN 1 THEN strftime(o_orderdate, '%-d.%-m.%Y') || '  ' || (o_orderkey % 30) || ':' || (o_orderkey % 70)
@@ -517,16 +524,20 @@ ORACLE: dict[str, str] = {
     "folder_scan": """SELECT 'source=' || source AS top_dir, '.txt' AS suffix,
       CAST(sum(2 * strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source""",
     "manifest_cycle": f"WITH {ORDER_LOTS} {_manifest('lots')}",
-    "report_cycle": f"""WITH {GRADED}, third AS (
-        SELECT row_number, tender_id, title, tag,
-          CASE WHEN year(deadline_at) = 1992 THEN NULL
-               WHEN row_number % 7 = 0 THEN deadline_at + INTERVAL 40 DAY ELSE deadline_at END AS deadline_at,
-          CASE WHEN year(deadline_at) = 1992 THEN 3 WHEN row_number % 7 = 0 THEN 2 ELSE 1 END AS version
-        FROM graded)
+    "report_cycle": f"""WITH {THIRD}
       SELECT {_sheet('deadline_at')} AS sheet, tender_id, tag, title, {_deadline('deadline_at')} AS deadline,
         CAST(version AS BIGINT) AS version,
         row_number() OVER (PARTITION BY {_sheet('deadline_at')} ORDER BY deadline_at NULLS LAST, row_number) AS number
       FROM third""",
+    "report_counts": f"""WITH {THIRD}, held AS (SELECT {_sheet('deadline_at')} AS sheet, tag FROM third),
+      tags AS (SELECT unnest([{', '.join(_q(t) for t in vocab.TAGS)}]) AS tag,
+        unnest(range(1, {len(vocab.TAGS) + 1})) AS ord),
+      sheets AS (SELECT DISTINCT sheet FROM held)
+      SELECT s.sheet, CAST(t.ord AS INTEGER) AS ord, t.tag,
+        (SELECT count(*) FROM held h WHERE h.sheet = s.sheet AND h.tag = t.tag) AS n
+      FROM sheets s CROSS JOIN tags t""",
+    "due_days": f"""WITH {ORDER_LOTS} SELECT tender_id, title, deadline_at FROM lots
+      WHERE CAST(deadline_at AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_totalprice > 400000)""",
     "portal_cycle": f"""{PORTAL}, names AS (SELECT page_id,
         string_agg(filename, ', ' ORDER BY pos, filename) AS names FROM fetched GROUP BY 1), {ORDER_LOTS},
       queued AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY deadline_at NULLS LAST, row_number) AS n
@@ -583,3 +594,4 @@ ORACLE: dict[str, str] = {
 }
 # The review of all lots is that of a page without the page.
 ORACLE["review_all"] = ORACLE["review_run"].replace("WHERE n > 3 AND n <= 33", "")
+ORACLE["report_stream"] = ORACLE["report_upsert"]

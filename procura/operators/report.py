@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import cells, text
 from procura.operators.joins import checkpointed
 from procura.operators.ordering import by_deadline, by_deadline_and_title, ordinal
+from procura.sources import snapshots
 
 RESULT_COLUMNS = (
     "tender_id",
@@ -112,6 +113,11 @@ def tag_summary(rows: DataFrame, tags: Sequence[str] = vocab.TAGS) -> DataFrame:
     counts = sheets.groupBy("sheet").agg(
         *[F.count_if(F.col("tag") == t).alias(f"n{i}") for i, t in enumerate(tags)]
     )
+    return _unfolded(counts, tags)
+
+
+def _unfolded(counts: DataFrame, tags: Sequence[str]) -> DataFrame:
+    """A row per tag from the counts ``n0, n1, ...`` of a sheet."""
     unfolded = F.array(
         *[
             F.struct(
@@ -142,43 +148,107 @@ def write_monthly(report: DataFrame, path: str, fmt: str = "parquet") -> None:
 STORED = ("tender_id", "version", "deadline_at", "row_number")
 
 
-def update_report(path: str, new: DataFrame) -> None:
-    """Upsert results into the report stored at ``path``; other sheets stay as they are.
+_RESULT = (
+    "title", "url", "deadline_at", "classification_tag", "confidence_percent",
+    "classification_comment", "tender_id", "version", "row_number",
+)
+# Tables of count changes that a report holds before they are summed up into one.
+COUNT_PARTS = 16
+
+
+def update_report(path: str, new: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    """Upsert results into the report stored at ``path``, as one step; its version after it.
 
     ``new`` has result columns with ``tender_id, version, row_number``. A lot that moves
-    to another month leaves its old sheet: all sheets that lose or gain a row are written
-    again, and sheets without rows are removed. The names of touched sheets (one per
-    month) pass the driver.
+    to another month leaves its old sheet: sheets that lose or gain a row are written
+    again, the others stay where they are, and sheets without rows go. Readers
+    (``read_report``) see the report as before or after, also when the update fails. A
+    writer that was overtaken gets ``snapshots.Conflict`` and may run again. ``batch``, a
+    stream and a number, marks an update that is done once, however often it is called.
+    The names of touched sheets (one per month) pass the driver.
     """
     spark = new.sparkSession
-    columns = [
-        "title", "url", "deadline_at", "classification_tag", "confidence_percent",
-        "classification_comment", "tender_id", "version", "row_number",
-    ]
-    new = checkpointed(latest(new.select(*columns), "tender_id", [F.col("version").desc()]))
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows, touched = new, new.select(cells.sheet_name(F.col("deadline_at")).alias("sheet"))
-    if files.exists(target):
-        stored = spark.read.parquet(path).withColumnsRenamed(
-            {"tag": "classification_tag", "comment": "classification_comment"}
-        )
-        left = stored.join(new.select("tender_id"), "tender_id", "left_semi")
-        touched = touched.unionByName(left.select("sheet"))
-        rows = upsert(stored.select(*columns), new)
-    touched = checkpointed(touched.distinct())
-    sheet = cells.sheet_name(F.col("deadline_at"))
-    changed = rows.withColumn("_sheet", sheet).join(
-        touched.withColumnRenamed("sheet", "_sheet"), "_sheet", "left_semi"
+    base = snapshots.head(spark, path)
+    batches = base.notes.get("batches", {})
+    if batch and batches.get(batch[0], -1) >= batch[1]:
+        return base.version
+    new = latest(new.select(*_RESULT), "tender_id", [F.col("version").desc()])
+    new = checkpointed(new.withColumn("_won", F.lit(True)))
+    if base.version:
+        stored = _as_results(snapshots.read(spark, base))
+        before = _matching(stored, new, "left_semi")
+        won = upsert(before.withColumn("_won", F.lit(False)), new)
+        won = checkpointed(won.filter("_won").drop("_won"))
+        lost = _matching(before, won, "left_semi")
+    else:
+        won = new.drop("_won")
+        lost = won.limit(0)
+    changes = checkpointed(
+        _tags(won, 1).unionByName(_tags(lost, -1)).groupBy("sheet", "tag").agg(F.sum("n").alias("n"))
     )
-    # Written before the files it was read from are replaced.
-    fresh = checkpointed(monthly(changed.drop("_sheet"), keep=STORED))
-    write_monthly(fresh, path)
-    emptied = {r["sheet"] for r in touched.exceptAll(fresh.select("sheet").distinct()).collect()}
-    for status in files.listStatus(target):
-        name = unquote(status.getPath().getName())
-        if name.removeprefix("sheet=") in emptied:
-            files.delete(status.getPath(), True)
+    touched = {r["sheet"] for r in changes.select("sheet").distinct().collect()}
+    rows = won
+    if base.version:
+        near = _as_results(snapshots.read(spark, base, touched))
+        rows = _matching(near, won, "left_anti").unionByName(won)
+    report = monthly(rows, keep=STORED)
+    written = snapshots.write(report, path, "sheet") if touched else {}
+    parts = {f: p for f, p in base.parts.items() if snapshots.value_of(f) not in touched} | written
+    notes = base.notes | {"counts": _store_counts(base, changes)}
+    if batch:
+        notes["batches"] = batches | {batch[0]: batch[1]}
+    return snapshots.commit(spark, base, parts, report.schema, notes).version
+
+
+def _matching(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Rows whose id is, or is not, an id of ``others``; a null id equals a null id."""
+    ids = others.select(F.col("tender_id").alias("_id"))
+    return rows.join(ids, F.col("tender_id").eqNullSafe(F.col("_id")), how)
+
+
+def _as_results(stored: DataFrame) -> DataFrame:
+    shown = {"tag": "classification_tag", "comment": "classification_comment"}
+    return stored.withColumnsRenamed(shown).select(*_RESULT)
+
+
+def _tags(rows: DataFrame, n: int) -> DataFrame:
+    sheet = cells.sheet_name(F.col("deadline_at"))
+    return with_tag(rows).select(sheet.alias("sheet"), F.col("classification_tag").alias("tag"), F.lit(n).cast("long").alias("n"))
+
+
+def _store_counts(base: snapshots.Snapshot, changes: DataFrame) -> list[str]:
+    """Write the changes of tag counts beside the report; the tables that now count."""
+    parts = base.notes.get("counts", [])
+    if len(parts) >= COUNT_PARTS:
+        earlier = _counts(changes.sparkSession, base)
+        changes = changes.unionByName(earlier).groupBy("sheet", "tag").agg(F.sum("n").alias("n"))
+        parts = []
+    part = f"p{uuid.uuid4().hex}"
+    changes.filter("n <> 0").write.parquet(f"{base.path}/counts/part={part}")
+    return [*parts, part]
+
+
+def _counts(spark: SparkSession, snapshot: snapshots.Snapshot) -> DataFrame:
+    folders = [f"{snapshot.path}/counts/part={p}" for p in snapshot.notes["counts"]]
+    return spark.read.schema("sheet string, tag string, n long").parquet(*folders)
+
+
+def read_report(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored report as it is now, or as it was at a version that is still kept."""
+    chosen = snapshots.head(spark, path) if version is None else snapshots.at(spark, path, version)
+    return snapshots.read(spark, chosen)
+
+
+def stored_summary(spark: SparkSession, path: str, tags: Sequence[str] = vocab.TAGS) -> DataFrame:
+    """``tag_summary`` of the stored report, from the counts kept with it.
+
+    Every update leaves the changes of its counts, signed; they are summed up here, so
+    the rows of the report are not read.
+    """
+    changes = _counts(spark, snapshots.head(spark, path))
+    n = [F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(tags)]
+    held = changes.groupBy("sheet").agg(F.sum("n").alias("_all"), *n)
+    return _unfolded(held.filter("_all > 0"), tags)
 
 
 def manifest(lots: DataFrame) -> DataFrame:
@@ -210,7 +280,9 @@ __all__ = [
     "latest",
     "manifest",
     "monthly",
+    "read_report",
     "results",
+    "stored_summary",
     "tag_summary",
     "update_report",
     "upsert",

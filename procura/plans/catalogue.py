@@ -13,7 +13,8 @@ from procura.functions import cells, responses, text
 from procura.operators import links, matching, ordering, report, scoring, tiers
 from procura.operators.joins import checkpoint_folder, checkpointed
 from procura.plans import portal, review
-from procura.sources import inventory, listing, pages, star
+from procura.sources import inventory, listing, pages, snapshots, star
+from procura.streaming import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +136,16 @@ def deadline_day(spark: SparkSession, folder: str) -> DataFrame:
     return listing.due_on(lots, "1998-10-03").select("tender_id", "title", "deadline_at")
 
 
+@query
+def due_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Lots of a stored listing that are due on a day of a large order."""
+    target = _scratch(spark, "due")
+    listing.store_by_due(star.order_lots(spark, folder), target)
+    large = star.table(spark, folder, "orders").filter("o_totalprice > 400000")
+    days = large.select(F.col("o_orderdate").alias("day"))
+    return listing.stored_due(spark, target, days).select("tender_id", "title", "deadline_at")
+
+
 @query
 def deadline_queue(spark: SparkSession, folder: str) -> DataFrame:
     """All lots behind the first hundred, numbered in working order."""
@@ -535,9 +546,8 @@ def tag_summary(spark: SparkSession, folder: str) -> DataFrame:
     return report.tag_summary(_graded(spark, folder))
 
 
-@query
-def report_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of orders by customer, replaced by later ones of the events."""
+def _by_customer(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Results of orders by customer, and later ones of the events."""
     old = star.order_lots(spark, folder).select(
         F.col("customer_inn").alias("tender_id"),
         F.col("tender_id").cast("long").alias("version"),
@@ -550,7 +560,13 @@ def report_upsert(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_type").alias("title"),
         F.col("ts").alias("deadline_at"),
     )
-    merged = report.upsert(old, new)
+    return old, new
+
+
+@query
+def report_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of orders by customer, replaced by later ones of the events."""
+    merged = report.upsert(*_by_customer(spark, folder))
     return merged.select(
         "tender_id", "version", "title",
         cells.sheet_name(F.col("deadline_at")).alias("sheet"),
@@ -558,6 +574,28 @@ def report_upsert(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def report_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored report of orders by customer that follows the events as they arrive."""
+    old, new = (
+        rows.select(
+            "tender_id", "version", "title", F.col("deadline_at").cast("timestamp_ntz").alias("deadline_at"),
+            F.lit("").alias("url"), F.lit("").alias("classification_tag"), F.lit("").alias("classification_comment"),
+            F.lit(0).alias("confidence_percent"), F.col("version").alias("row_number"),
+        )
+        for rows in _by_customer(spark, folder)
+    )
+    base = _scratch(spark, "stream")
+    target, arrivals = f"{base}/report", f"{base}/arrivals"
+    report.update_report(target, old)
+    new.repartitionByRange("version").write.parquet(arrivals)
+    files = [n for n in snapshots.names(spark, arrivals) if n.endswith(".parquet")]
+    # In three batches, whatever the number of files.
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", -(-len(files) // 3) or 1)
+    reports.follow_results(stream.parquet(arrivals), target, f"{base}/checkpoint").awaitTermination()
+    return report.read_report(spark, target).select("tender_id", "version", "title", "sheet", "deadline")
+
+
 @query
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Folders for all benchmark lots: long titles are cut at a byte limit."""
@@ -651,9 +689,8 @@ def manifest_cycle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
-def report_cycle(spark: SparkSession, folder: str) -> DataFrame:
-    """A report written, updated twice and read back; lots change and leave months.
+def _cycle(spark: SparkSession, folder: str) -> str:
+    """A report written and updated twice; lots change and leave months.
 
     First every seventh lot moves on by forty days, then all lots of 1992 lose their
     deadline, so that the sheets of that year go.
@@ -667,10 +704,22 @@ def report_cycle(spark: SparkSession, folder: str) -> DataFrame:
     gone = first.filter(F.year("deadline_at") == 1992)
     undated = gone.withColumn("deadline_at", F.lit(None).cast("timestamp_ntz"))
     report.update_report(target, undated.withColumn("version", F.lit(3).cast("long")))
-    back = spark.read.parquet(target)
+    return target
+
+
+@query
+def report_cycle(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored report after two updates, read back."""
+    back = report.read_report(spark, _cycle(spark, folder))
     return back.select("sheet", "number", "tender_id", "tag", "title", "deadline", "version")
 
 
+@query
+def report_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tag counts of a stored report after two updates, from the counts kept with it."""
+    return report.stored_summary(spark, _cycle(spark, folder))
+
+
 @query
 def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
     """Portal run in working order, past a few lots, into a stored report."""
@@ -684,7 +733,7 @@ def portal_cycle(spark: SparkSession, folder: str) -> DataFrame:
         target, paged, source, _fetch_log(spark, folder, found), TEMPLATE, 1, skip=5,
         document_keywords=LINK_KEYWORDS, source_keywords=SOURCE_WORDS,
     )
-    back = spark.read.parquet(target)
+    back = report.read_report(spark, target)
     return back.select("sheet", "number", "tender_id", "tag", "confidence_percent", "comment", "deadline")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import cells
+from procura.operators.joins import lookup_join
 
 LOT_COLUMNS = (
     "row_number",
@@ -173,6 +174,42 @@ def due_on(lots: DataFrame, day: object) -> DataFrame:
     return lots.filter((F.col("deadline_at") >= start) & (F.col("deadline_at") < end))
 
 
+# Days that are listed in a filter; a table of more is joined.
+LISTED_DAYS = 5000
+
+
+def store_by_due(lots: DataFrame, path: str) -> None:
+    """Store a listing by due month, rows by due day within; lots without a deadline last.
+
+    Ranges of day and row number make the files, so a hot day is written by many tasks and
+    the statistics of a file span few days.
+    """
+    day = F.col("deadline_at").cast("date")
+    keys = ["due_month", "due_day", "row_number"]
+    rows = lots.withColumns({"due_day": day, "due_month": F.year(day) * 100 + F.month(day)})
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("due_month").parquet(path)
+
+
+def stored_due(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
+    """Lots of a listing stored by ``store_by_due`` that are due on one of ``days`` (``day``).
+
+    The days are looked up first: only folders of their months are read, and of those only
+    row groups that may hold one of the days.
+    """
+    day = F.col("day").cast("date")
+    wanted = days.select(day.alias("due_day"), (F.year(day) * 100 + F.month(day)).alias("due_month"))
+    wanted = wanted.filter("due_day IS NOT NULL").distinct()
+    stored = spark.read.parquet(path)
+    few = wanted.limit(LISTED_DAYS + 1).collect()
+    if len(few) > LISTED_DAYS:
+        found = lookup_join(stored, wanted, ["due_month", "due_day"])
+    else:
+        months = sorted({r["due_month"] for r in few})
+        listed = sorted({r["due_day"] for r in few})
+        found = stored.filter(F.col("due_month").isin(months) & F.col("due_day").isin(listed))
+    return found.drop("due_month", "due_day")
+
+
 def retarget(lots: DataFrame, sources: DataFrame) -> DataFrame:
     """Same lots with ``url`` replaced by the source page found for them.
 
