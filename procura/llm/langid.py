@@ -22,7 +22,7 @@ UNKNOWN = "und"
 # Characters worked off at once, so that memory does not follow the longest text.
 SLICE = 200_000
 # Parts in which the ids of one language are ranked before its first ones meet.
-PARTS = 64
+PARTS = 1024
 
 
 @dataclass
