@@ -10,9 +10,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,8 +24,9 @@ KINDS = ("assign", "access", "hex", "guess")
 MASK = "[secret]"
 # Guesses (a power of ten) from which a value in a credential context is a secret.
 GUESSES = 10.0
-# Ends of one run that are tried apart from its own end.
-ENDS = 24
+# Letters of a word that is not in the list, at most, and characters of a unit that repeats.
+LETTERS = 14
+UNIT = 8
 
 # The base patterns.
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -48,12 +49,13 @@ your none null true false undefined todo here insert value string xxxx change th
 money love freedom whatever trustno flower cheese cookie pepper ginger soccer hockey tigger charlie
 andrew thomas robert daniel george jessica ashley amanda maggie hunter ranger harley yankees""".split()
 _RANK = {w: k + 1 for k, w in enumerate(_WORDS)}
+_LONGEST = max(map(len, _WORDS))
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _ROWS = ("`1234567890-=", "\tqwertyuiop[]", "\0asdfghjkl;'", "\0zxcvbnm,./")
 _KEYS = {c: (y, x) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
-_YEAR = re.compile(r"(?:19|20)\d\d")
-_SOUND = re.compile(r"(?:[bcdfghjklmnpqrstvwxz]{0,3}[aeiouy]{1,2})+[bcdfghjklmnpqrstvwxz]{0,3}")
+_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", re.A)
+_YEAR = re.compile(r"(?:19|20)\d\d", re.A)
+_LETTERS, _VOWELS, _DIGITS = frozenset("abcdefghijklmnopqrstuvwxyz"), frozenset("aeiouy"), frozenset("0123456789")
 
 
 def _near(a: str, b: str) -> bool:
@@ -66,58 +68,110 @@ def _char_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
+class _Starts:
+    """The cheapest start of a run for every end, where length adds its logarithm.
+
+    A start costs what leads to it; a segment from it adds log10 of its length. As lengths
+    grow, an earlier start loses less by each step: once it is as cheap as a later one, it
+    stays so. Starts wait on a stack, latest on top, until the one below overtakes them.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[float, int, float]] = []  # cost, start, end at which the one below overtakes
+
+    @staticmethod
+    def _overtaken(below: tuple[float, int, float], cost: float, start: int) -> float:
+        ratio = 10.0 ** min(cost - below[0], 300.0)
+        return (ratio * start - below[1]) / (ratio - 1.0) if ratio > 1.0 else math.inf
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and stack[-2][0] + math.log10(end - stack[-2][1]) <= stack[-1][0] + math.log10(end - stack[-1][1]):
+            stack.pop()
+        return stack[-1][0] + math.log10(end - stack[-1][1]) if stack else math.inf
+
+    def add(self, cost: float, start: int, end: int) -> float:
+        """Let a start in, later than those before; the least cost at ``end`` with it."""
+        stack, own = self.stack, cost + math.log10(end - start)
+        before = self.least(end)
+        if before <= own:
+            return before
+        while stack and (at := self._overtaken(stack[-1], cost, start)) >= stack[-1][2]:
+            stack.pop()
+        stack.append((cost, start, at if stack else math.inf))
+        return own
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``; 0 when empty."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET) if len(low) == n else value
-    best = [0.0] + [math.inf] * n
+    """log10 of the guesses for the cheapest segmentation of ``value``; 0 when empty.
+
+    Segments are single characters at their class's cost, and after the choice of a kind:
+    words of the list by rank, also in capitals or with digits for letters; other words
+    (4 to ``LETTERS`` letters that can be spoken: a vowel, at most three consonants in a
+    row), as one of 100,000; dates and years; walks of 3 or more neighbouring keys or
+    characters; repeats of a unit of 1 to ``UNIT`` characters. The minimum is over all
+    segmentations, in time proportional to the value.
+    """
+    n = len(value)
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(_LEET)
     joint = math.log10(2)  # which kind of segment follows
-
-    # Where runs that start at each place end: keyboard walks, and repeats by unit length.
-    walk = [n] * n
-    for k in range(n - 2, -1, -1):
-        walk[k] = walk[k + 1] if _near(low[k], low[k + 1]) else k + 1
-    repeat = {}
-    for unit in range(1, 9):
-        same = [0] * (n + 1)
-        for k in range(n - unit - 1, -1, -1):
-            same[k] = same[k + 1] + 1 if value[k] == value[k + unit] else 0
-        repeat[unit] = same
-
-    def offer(start: int, end: int, cost: float) -> None:
-        best[end] = min(best[end], best[start] + cost + joint)
-
-    def ends(start: int, least: int, most: int) -> Iterator[int]:
-        yield from range(least, min(most, start + ENDS) + 1)
-        if most > start + ENDS:
-            yield most
-
-    for k in range(n):
-        best[k + 1] = min(best[k + 1], best[k] + _char_cost(value[k]))  # brute force
-        for size in range(3, min(14, n - k) + 1):
-            for text, more in ((low, 0.0), (plain, joint)):
-                if text[k : k + size] in _RANK:
-                    upper = joint if value[k : k + size] != low[k : k + size] else 0.0
-                    offer(k, k + size, math.log10(_RANK[text[k : k + size]] + 1) + more + upper)
-            piece = low[k : k + size]
-            if size >= 4 and piece.isascii() and piece.isalpha() and _SOUND.fullmatch(piece):
-                upper = value[k : k + size]
-                steady = upper == piece or upper == piece.upper() or upper == piece.capitalize()
-                offer(k, k + size, 5.0 if steady else 5.0 + size * joint)
-        for pattern, guesses in ((_DATE, 365 * 120), (_YEAR, 120)):
-            found = pattern.match(value, k)
-            if found:
-                offer(k, found.end(), math.log10(guesses))
-        for end in ends(k, k + 3, walk[k]):
-            offer(k, end, math.log10(47 * 8 * (end - k)))
-        for unit, same in repeat.items():
-            if same[k] >= unit and k + unit <= n:
-                base = sum(map(_char_cost, value[k : k + unit]))
-                for end in ends(k, k + 2 * unit, k + unit + same[k]):
-                    offer(k, end, base + math.log10((end - k) / unit))
+    chars = [0.0, *itertools.accumulate(map(_char_cost, value))]
+    best = [0.0] * (n + 1)
+    walks = _Starts()
+    walk_from = 0
+    units = [_Starts() for _ in range(UNIT + 1)]
+    period_from = [0] * (UNIT + 1)
+    for end in range(1, n + 1):
+        last = end - 1
+        cost = math.inf
+        if plain[last] in _LETTERS:
+            cost = _words(value, low, plain, end, best, joint)
+        if value[last] in _DIGITS:
+            if end >= 4 and _YEAR.fullmatch(value, end - 4, end):
+                cost = min(cost, best[end - 4] + math.log10(120))
+            for start in range(max(0, end - 10), end - 5):
+                if value[start] in _DIGITS and _DATE.fullmatch(value, start, end):
+                    cost = min(cost, best[start] + math.log10(365 * 120))
+        if last and _near(low[last - 1], low[last]):
+            if end - 3 >= walk_from:
+                cost = min(cost, walks.add(best[end - 3], end - 3, end) + math.log10(47 * 8))
+        else:
+            walk_from, walks.stack = last, []
+        for unit in range(1, UNIT + 1):
+            if last < unit:
+                break
+            if value[last] != value[last - unit]:
+                period_from[unit] = last - unit + 1
+                if units[unit].stack:
+                    units[unit].stack = []
+            elif (start := end - 2 * unit) >= period_from[unit]:
+                whole = best[start] + chars[start + unit] - chars[start]
+                cost = min(cost, units[unit].add(whole, start, end) - math.log10(unit))
+        best[end] = min(best[last] + chars[end] - chars[last], cost + joint)
     return best[n]
 
 
+def _words(value: str, low: str, plain: str, end: int, best: list[float], joint: float) -> float:
+    """Least cost of a word that ends at ``end``, listed or spoken, and what leads to it."""
+    cost, row, vowel, letters, spoken = math.inf, 0, False, True, True
+    for start in range(end - 1, max(-1, end - max(LETTERS, _LONGEST) - 1), -1):
+        if plain[start] not in _LETTERS:
+            break
+        size, letters = end - start, letters and low[start] in _LETTERS
+        if (rank := _RANK.get(plain[start:end])) is not None:
+            upper = joint if value[start:end] != low[start:end] else 0.0
+            cost = min(cost, best[start] + math.log10(rank + 1) + (0.0 if letters else joint) + upper)
+        voiced = low[start] in _VOWELS
+        vowel, row = vowel or voiced, 0 if voiced else row + 1
+        spoken = spoken and letters and row <= 3 and size <= LETTERS
+        if spoken and vowel and size >= 4:
+            piece = value[start:end]
+            steady = piece in (low[start:end], piece.upper(), piece.capitalize())
+            cost = min(cost, best[start] + (5.0 if steady else 5.0 + size * joint))
+    return cost
+
+
 def find(text: str | None) -> list[tuple[int, int, int, int]]:
     """Spans as (start, kind, end, start of the value), in order; places are code points.
 
@@ -142,6 +196,7 @@ def find(text: str | None) -> list[tuple[int, int, int, int]]:
         out.append((place, 2, place + len(m[0]), place))
     if any(h in low for h in _CONTEXT_HINTS):
         taken = sorted((value, e) for _, _, e, value in out)
+        starts, reach = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
         heads = sorted(s for s, kind, _, _ in out if kind == 0)
         m = _CONTEXT.search(text)
         while m:
@@ -153,7 +208,11 @@ def find(text: str | None) -> list[tuple[int, int, int, int]]:
             # An assignment that follows is joined by one of these signs.
             value = value.rstrip("\"'`,;.)]}>" + "&?|" * cut)
             end = start + len(value)
-            met = [(s, e) for s, e in taken if s < end and start < e]
+            # Back from the last span that starts before the end, while any reaches the start.
+            met, k = [], bisect.bisect_left(starts, end)
+            while k and reach[k - 1] > start:
+                k -= 1
+                met += [taken[k]] if taken[k][1] > start else []
             if met and (quote := text[start - 1]) in "\"'`" and quote in value:
                 end = text.index(quote, start)
                 value = text[start:end]

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
+import random
 import re
 
 import pytest
@@ -43,6 +46,64 @@ def test_costs():
         assert cost(strong) >= secrets.GUESSES, strong
 
 
+SPOKEN = re.compile("(?:[bcdfghjklmnpqrstvwxz]{0,3}[aeiouy])+[bcdfghjklmnpqrstvwxz]{0,3}")
+
+
+def char(c):
+    return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
+
+
+def price(value, start, end):
+    """A segment by itself, by the definition of each kind; infinite where none fits."""
+    part = value[start:end]
+    low, size, two, out = part.lower(), len(part), math.log10(2), [math.inf]
+    for text, more in ((low, 0), (low.translate(secrets._LEET), two)):
+        if text in secrets._RANK:
+            out.append(math.log10(secrets._RANK[text] + 1) + more + two * (part != low))
+    if 4 <= size <= secrets.LETTERS and SPOKEN.fullmatch(low):
+        out.append(5 + (0 if part in (low, part.upper(), part.capitalize()) else size * two))
+    if secrets._DATE.fullmatch(part):
+        out.append(math.log10(365 * 120))
+    if secrets._YEAR.fullmatch(part):
+        out.append(math.log10(120))
+    if size >= 3 and all(secrets._near(a, b) for a, b in itertools.pairwise(low)):
+        out.append(math.log10(47 * 8 * size))
+    for unit in range(1, min(secrets.UNIT, size // 2) + 1):
+        if part[unit:] == part[:-unit]:
+            out.append(sum(map(char, part[:unit])) + math.log10(size / unit))
+    return min([min(out) + two, *([char(part)] if size == 1 else [])])
+
+
+def test_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(5)
+    alphabets = ["ab", "abcd", "qwertyas", "0123", "12/-90", "aeXtP4$s", "passwordPASS041", "".join(map(chr, range(33, 127)))]
+    made = ["".join(rng.choice(a) for _ in range(rng.randint(1, 10))) for a in alphabets for _ in range(25)]
+    made += ["P4ssw0rd", "Test1234", "aAaAaAaAaA", "31/12/1999", "1999123120", "monkeyABAB", "qwe123qwe1", "Banana9x"]
+    for value in made:
+        n = len(value)
+        priced = {(i, j): price(value, i, j) for i in range(n) for j in range(i + 1, n + 1)}
+        every = itertools.product((False, True), repeat=n - 1)
+        cuts = ([0, *[k for k, c in enumerate(chosen, 1) if c], n] for chosen in every)
+        least = min(sum(priced[s] for s in itertools.pairwise(cut)) for cut in cuts)
+        assert secrets.guess_cost(value) == pytest.approx(least, abs=1e-9), value
+
+
+def test_cost_of_long_runs_tries_every_end():
+    rng = random.Random(6)
+    made = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("ab", 120), ("aab", 90), ("qwer", 100), ("1234", 100), ("abcba0", 80))]
+    made += ["a" * 60 + "b" * 60, "ab" * 30 + "password" + "ab" * 31, "abc" * 25 + "abd" * 25, "qwertyuioplkjhgfdsazxcvbnm" * 3, "password" * 9]
+    for value in made:
+        best = [0.0]
+        for end in range(1, len(value) + 1):
+            best.append(min(best[start] + price(value, start, end) for start in range(end)))
+        assert secrets.guess_cost(value) == pytest.approx(best[-1], abs=1e-9), value
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "kX9#vQ2!mZ", "password1", "qwerty", "1999/12/31 "])
+def test_cost_of_very_long_values(unit):
+    assert 0 < secrets.guess_cost((unit * 200_000)[:200_000])
+
+
 def test_spans_of_the_method():
     text = "pwd: kX9#vQ2!mZ, passphrase => 'changeme' and password: abcdefgh1234 auth=Zt7$wwP0qL."
     kinds = [(secrets.KINDS[k], text[v:e]) for _, k, e, v in secrets.find(text)]
@@ -70,6 +131,12 @@ def test_values_that_meet_base_spans(text, found, clean):
     assert secrets.redacted(text) == clean
 
 
+def test_many_pairs_in_one_text():
+    pairs = 20_000
+    spans = secrets.find("pwd=Zq8#kL2!vR9x token=abcdefgh12 " * pairs)
+    assert [sum(s[1] == k for s in spans) for k in range(4)] == [pairs, 0, 0, pairs]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(k, t, 0) for k, t in enumerate(HARD)] + [(None, "token=12345678", 1), (3, "", 2), (3, "", 2)], "doc_id long, text string, spans int")
     for r in df.select("doc_id", "text", secrets.scan(F.col("text")).alias("d")).collect():
