@@ -6,6 +6,8 @@ from array import array
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+
 from procura.llm import bpe, mixing, queries, secrets
 from tests.llm.test_minhash import brute as near
 from tests.llm.test_mixing import brute as mixed
@@ -77,6 +79,29 @@ def test_an_id_with_different_texts(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, t), (2, u)]
 
 
+def test_documents_of_one_hash_stay(spark, monkeypatch):
+    rng = random.Random(9)
+    t, u = (" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40)) for _ in range(2))
+    df = spark.createDataFrame([(0, t), (1, t), (2, u), (3, t)], "doc_id long, text string")
+    one = F.when(F.col("doc_id").isin(1, 2), F.lit(7)).otherwise(F.col("doc_id"))
+    monkeypatch.setattr(corpus_pipeline, "document_hashes", lambda: (one, F.xxhash64("text", "doc_id")))
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    # Documents 1 and 2 share a hash; 1 is a copy of 0, and 2 must not go with it.
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(0, t), (1, t), (2, u)]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    names = ["_key", "_found", "_mix", "_clean", "_tokens", "_bucket", "held0", "a.b", "größe", "two words"]
+    made = [(i, f"the cat sat on a mat while {i} it was raining over there", "en", "s", 9, *[f"{n}{i}" for n in names]) for i in range(40)]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{n}` string" for n in names)])
+    docs = spark.createDataFrame(made, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        rows = out.collect()
+        assert rows and all(tuple(r)[5:15] == tuple(f"{n}{r.doc_id}" for n in names) for r in rows), name
+
+
 def test_secrets_are_masked(stages):
     before, after = stages["secrets"]
     want = sorted((str(r.doc_id), secrets.redacted(r.text)) for r in before)
