@@ -465,6 +465,14 @@ ORACLE: dict[str, str] = {
       FROM files f CROSS JOIN everyone e LEFT JOIN ranked r ON r.path = f.path AND r.rn = 1
       WHERE {READABLE} AND length(f.path) % 3 > 0
       UNION ALL SELECT path, tender_id, score FROM chosen WHERE length(path) % 3 = 0""",
+    "match_paged": f"""{MATCH}, lines AS (SELECT tender_id, length({OPTION}) AS size FROM lots),
+      longest AS (SELECT tender_id FROM lines ORDER BY size DESC, tender_id LIMIT 1),
+      own AS (SELECT path, tender_id, score FROM ranked JOIN lines USING (tender_id)
+        QUALIFY row_number() OVER (PARTITION BY path ORDER BY size DESC, tender_id) = 1)
+      SELECT f.path, coalesce(r.tender_id, e.tender_id) AS tender_id,
+        CAST(coalesce(r.score, 8) AS INTEGER) AS score
+      FROM files f CROSS JOIN longest e LEFT JOIN own r ON r.path = f.path
+      WHERE {READABLE}""",
     "match_choices": f"""{MATCH}, first AS (SELECT *, length(path) % 5 AS k FROM ranked WHERE rn = 1)
       SELECT path, tender_id, score FROM first WHERE k IN (0, 2, 4) AND score % 4 NOT IN (0, 1)
       UNION ALL SELECT c.path, c.tender_id, c.score FROM chosen c JOIN first f ON f.path = c.path

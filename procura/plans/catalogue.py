@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from procura import vocab
 from procura.functions import cells, responses, text
-from procura.operators import links, matching, ordering, report, scoring, tiers
+from procura.operators import links, matching, ordering, report, scoring, tiers, tournament
 from procura.operators.joins import checkpoint_folder, checkpointed
 from procura.plans import portal, review
 from procura.sources import inventory, listing, pages, snapshots, star
@@ -338,6 +338,35 @@ def match_scored(spark: SparkSession, folder: str) -> DataFrame:
     return matching.choose_by_response(answers, ranked, everyone)
 
 
+def longest_option() -> scoring.Scorer:
+    """A model that takes the longest option, of equal ones that with the smallest id."""
+    import json
+    import re
+
+    def answer(prompt: str, files: list[str]) -> str:
+        # Titles may hold line breaks.
+        lines = re.split(r'\n(?=- ")', prompt.rpartition(vocab.MATCH_PROMPT_OPTIONS)[2])
+        best = min(lines, key=lambda o: (-len(o), o.split('"')[1]))
+        return json.dumps({"tender_id": best.split('"')[1], "confidence": 90})
+
+    return answer
+
+
+@query
+def match_paged(spark: SparkSession, folder: str) -> DataFrame:
+    """Choices of a Python model that sees 20 options at a time.
+
+    Files without candidates choose from all lots, page by page and from the winners.
+    """
+    listed, lots = _scoring_inputs(spark, folder)
+    ranked = checkpointed(matching.rank_candidates(matching.score_pairs(listed, lots)))
+    everyone = star.lots(spark, folder)
+    requests = scoring.match_requests(listed, ranked)
+    options = scoring.match_options(ranked, everyone)
+    answers = tournament.run_match_tournament(requests, options, longest_option, page=20)
+    return matching.choose_by_response(answers, ranked, everyone)
+
+
 def _match_answers(ranked: DataFrame) -> DataFrame:
     """Answers to the match prompts: the best candidate, with flaws by score and name."""
     first = ranked.filter(F.col("rn") == 1)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from procura import vocab
-from procura.operators import matching, ordering, report, scoring, tiers
+from procura.operators import matching, ordering, report, scoring, tiers, tournament
+from procura.operators.answers import Calls
 from procura.operators.joins import BROADCAST_BYTES, checkpointed
 from procura.sources import inventory, listing
 
@@ -45,13 +46,22 @@ def files_of_lots(
 
 def model_matcher(
     make_scorer: Callable[[], scoring.Scorer],
+    page: int | None = None,
+    calls: Calls = Calls(),
 ) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
-    """A matcher that asks a model; see ``scoring.run_match_scorer``."""
+    """A matcher that asks a model; see ``scoring.run_match_scorer``.
+
+    With ``page`` no prompt holds more options, and files without candidates choose from
+    all lots by pages (``tournament.run_match_tournament``, which ``calls`` are for).
+    """
 
     def choose(files: DataFrame, ranked: DataFrame, lots: DataFrame) -> DataFrame:
         requests = scoring.match_requests(files, ranked)
         options = scoring.match_options(ranked, lots)
-        answers = scoring.run_match_scorer(requests, options, make_scorer)
+        if page is None:
+            answers = scoring.run_match_scorer(requests, options, make_scorer)
+        else:
+            answers = tournament.run_match_tournament(requests, options, make_scorer, page, calls)
         return matching.choose_by_response(answers, ranked, lots)
 
     return choose
