@@ -12,15 +12,18 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from procura.functions import text
-from procura.operators.joins import lookup_join
+from procura.operators.joins import checkpointed, lookup_join
 
 _BATCH_BYTES = 16 * 1024 * 1024
 _BATCH_ROWS = 1000
+# Folders that one task lists, and tasks of a level at most.
+_FOLDERS_PER_TASK, _LISTING_TASKS = 16, 4096
 ARCHIVES = "*.[zZ][iI][pP]"
 MEMBER_SCHEMA = "archive string, member string, path string, size long, content binary"
 
@@ -85,6 +88,62 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return describe(listed, root)
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources leave out."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def listed(spark: SparkSession, root: str, scheme: str | None = None) -> DataFrame:
+    """The inventory of ``root`` (columns as of ``inventory``), listed by tasks, level by level.
+
+    ``inventory`` leaves the listing to the driver, which then holds every path. Here a
+    table of folders is dealt out, each is listed where it lands, and the folders found are
+    the next level's table; the driver sees one flag a level. A folder with many folders
+    below it so becomes the work of many tasks; a task holds the entries of one folder.
+    ``root`` must be one that pyarrow can open on every executor; ``scheme`` replaces its
+    scheme in ``store``, where Spark has another name for it (``s3a`` for ``s3``). The rows
+    are those that Spark finds, and empty files, which its scan leaves out: hidden names
+    (``.x``, ``_x`` without ``=``) are not listed, links are followed. A missing root raises an error; an empty one has no rows.
+    """
+    head = _SCHEME.match(root)
+    head = head.group(0) if head else "file:"
+    shown = head if scheme is None else scheme + head[head.index(":") :]
+    # file://host and file:// are both the machine's own disk.
+    shown = "file:" if shown.startswith("file:") else shown
+    base = _SCHEME.sub("", root).rstrip("/")
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        uri = f"file://{base}" if head.startswith("file:") else head
+        files = pyarrow.fs.LocalFileSystem() if head.startswith("file:") else pyarrow.fs.FileSystem.from_uri(uri)[0]
+        bucket = head.partition("://")[2] if head.startswith(("s3", "gs", "abfs")) else ""
+        for batch in batches:
+            for folder in batch["folder"]:
+                found = files.get_file_info(pyarrow.fs.FileSelector(f"{bucket}{folder}" or "/"))
+                found = [i for i in found if not _hidden(i.base_name)]
+                for start in range(0, len(found), _BATCH_ROWS):
+                    part = found[start : start + _BATCH_ROWS]
+                    yield pd.DataFrame({
+                        "path": [f"{folder}/{i.base_name}" for i in part],
+                        "is_folder": [i.type == pyarrow.fs.FileType.Directory for i in part],
+                        "length": [i.size or 0 for i in part],
+                    })
+
+    folders, files = spark.createDataFrame([(base,)], "folder string"), []
+    while True:
+        found = checkpointed(folders.mapInPandas(entries, "path string, is_folder boolean, length long"))
+        files.append(found.filter(~F.col("is_folder")).select("path", "length"))
+        below = found.filter("is_folder").select(F.col("path").alias("folder"))
+        n = below.count()
+        if not n:
+            break
+        tasks = min(_LISTING_TASKS, -(-n // _FOLDERS_PER_TASK))
+        folders = below.repartition(tasks)
+    every = files[0]
+    for level in files[1:]:
+        every = every.unionByName(level)
+    return describe(every.withColumn("store", F.lit(shown)), base)
+
+
 def is_archive(path: Column) -> Column:
     return F.lower(text.suffix(path)) == ".zip"
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from procura.sources import inventory
@@ -104,3 +105,29 @@ def test_roots_in_a_store(spark):
     for root in ("s3a://bucket/in", "hdfs://host:8020/in/", "/in", "file:///in"):
         got = [(r["store"], r["top_dir"], r["rel_path"]) for r in inventory.describe(rows, root).collect()]
         assert got == [("s3a://bucket", "A", "A/x.txt"), ("hdfs://host:8020", "B", "B/y.txt"), ("file:", "C", "C/z.txt")]
+
+
+def test_listing_by_tasks(spark, tmp_path):
+    """The rows of a scan and the empty files, for a tree with hidden names, deep and wide folders, and links."""
+    root = tmp_path / "in"
+    names = [f"wide{k}/a{k}.txt" for k in range(70)] + ["/".join("deep" for _ in range(12)) + "/x.txt", "B 2/sub/%41.txt", "top.txt", "zero.bin"]
+    names += [".hidden/x.txt", "_temporary/x.txt", "_y=1/x.txt", "A/.x", "A/_x", "A/_metadata", "A/x._COPYING_", "A/größe #1?.txt"]
+    for k, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"z" * (0 if name == "zero.bin" else k))
+    (root / "empty").mkdir()
+    (root / "link").symlink_to(root / "B 2")
+    columns = ("path", "store", "rel_path", "top_dir", "name", "suffix", "length")
+    want = inventory.inventory(spark, str(root)).select(*columns)
+    assert want.count() > 70
+    for form in (f"{root}", f"{root}/", f"file:{root}", f"file://{root}/"):
+        got = inventory.listed(spark, form)
+        assert sorted(got.columns) == sorted(columns)
+        have, wanted = ({tuple(r) for r in d.select(*columns).collect()} for d in (got, want))
+        assert not wanted - have, form
+        # A scan has no rows for empty files.
+        assert sorted((r[2], r[6]) for r in have - wanted) == [("wide0/a0.txt", 0), ("zero.bin", 0)], form
+        assert got.count() == len(have)
+    assert inventory.listed(spark, str(root / "empty")).collect() == []
+    with pytest.raises(Exception, match="not exist|No such"):
+        inventory.listed(spark, str(root / "missing")).collect()
