@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 import types
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -34,6 +35,8 @@ SMALL = 64
 # Bytes of encoded words that a worker keeps, the longest word kept, words encoded at once.
 KEPT_BYTES, KEPT_WORD, RUN = 160 * 1024 * 1024, 64, 100_000
 _ENTRY_BYTES = 200
+# Signs that may end a word, and how many of them are looked at apart from it.
+SIGNS, TAIL = b"!#$%&*,.:;?", 4
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -189,16 +192,31 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
     return whole + best
 
 
-def _known_words(key: int) -> dict[bytes, bytes]:
-    """Ids of words seen before, kept while the Python worker lives.
+def _worker_store(tokenizer_json: str) -> types.ModuleType:
+    """What a Python worker keeps from task to task: ``words``, encoded before, and the library.
 
     Functions travel by value, so their globals end with the task; this lives in a module
-    of the worker. One tokenizer's words are kept at a time.
+    of the worker. One tokenizer's words are kept at a time. ``library`` is the whole
+    tokenizer, ``letters`` its model alone, for words of a-z; ``ends`` marks the ids that
+    end a word (none does in a vocabulary without such a mark), ``tails`` the ids of signs
+    at the end of a word.
     """
-    home = sys.modules.setdefault("_procura_words", types.ModuleType("_procura_words"))
+    home, key = sys.modules.setdefault("_procura_words", types.ModuleType("_procura_words")), zlib.crc32(tokenizer_json.encode())
     if getattr(home, "key", None) != key:
-        home.key, home.words = key, {}
-    return home.words
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        library = Tokenizer.from_str(tokenizer_json)
+        library.no_truncation()
+        library.no_padding()
+        vocabulary = library.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        letters = Tokenizer(library.model)
+        letters.pre_tokenizer = WhitespaceSplit()
+        home.words, home.tails, home.library, home.letters, home.ends = {}, {}, library, letters, ends
+        home.key = key
+    return home
 
 
 def word_encoder(tokenizer_json: str):
@@ -208,24 +226,16 @@ def word_encoder(tokenizer_json: str):
     its words in a row, and the library is asked for words it was not asked before. Words
     are cut at ASCII white space only, which is white space to every tokenizer.
     """
-    from tokenizers import Tokenizer
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    library = Tokenizer.from_str(tokenizer_json)
-    library.no_truncation()
-    library.no_padding()
-    known = _known_words(zlib.crc32(tokenizer_json.encode()))
-
-    ends = np.zeros(max(library.get_vocab().values()) + 1, bool)
-    ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
+    kept = _worker_store(tokenizer_json)
+    library, known, tails, ends = kept.library, kept.words, kept.tails, kept.ends
     plain = ends.any()  # the vocabulary marks the ends of words
-    marks = {m.encode(): np.array(library.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in ".,;:!?"}
 
     def one_by_one(words: list[str]) -> list[bytes]:
         found = library.encode_batch_fast(words, add_special_tokens=False) if words else ()
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def in_a_row(words: list[str]) -> list[bytes]:
+    def in_a_row(words: list[str], library) -> list[bytes]:
         """Words of letters only, asked as one text: each ends at the one token that ends a word."""
         if not words:
             return []
@@ -236,26 +246,38 @@ def word_encoder(tokenizer_json: str):
         ids = ids.tobytes()
         return [ids[x:y] for x, y in zip([0, *cuts], cuts)]
 
+    def letters_only(word: str) -> bool:
+        """Whether a word is letters also in the form that the library cuts: some letters fall apart."""
+        return unicodedata.normalize("NFC", word).lower().isalpha()
+
+    def tail_ids(tail: bytes) -> bytes | None:
+        """Ids of signs behind a word; None where they are not those that the signs have alone."""
+        if tail not in tails:
+            alone, word, both = one_by_one([tail.decode(), "a", f"a{tail.decode()}"])
+            tails[tail] = alone if both == word + alone else None
+        return tails[tail]
+
     def ask(words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; such that differ in a mark behind them or in A-Z share their stem."""
+        """Ids of new words; such that differ in the signs behind them or in A-Z share their stem."""
         stems: dict[bytes, tuple[bytes, bytes]] = {}
         odd: dict[bytes, str] = {}
         for w in words:
-            if plain and w.isalpha():  # bytes: ASCII letters
-                stems[w] = w.lower(), b""
-            elif plain and w[:-1].isalpha() and w[-1:] in marks:
-                stems[w] = w[:-1].lower(), marks[w[-1:]]
+            stem = w.rstrip(SIGNS)
+            tail = w[len(stem) :]
+            ids = b"" if not tail else tail_ids(tail) if plain and len(tail) <= TAIL else None
+            if plain and ids is not None and stem.isalpha():  # bytes: ASCII letters
+                stems[w] = stem.lower(), ids
+            elif plain and ids is not None and letters_only(stem.decode("utf-8", "surrogatepass")):
+                stems[w] = stem, ids
             else:
-                text, mark = w.decode("utf-8", "surrogatepass"), w[-1:] if w[-1:] in marks else b""
-                if plain and (text[:-1] if mark else text).isalpha():
-                    stems[w] = w[:-1] if mark else w, marks[mark] if mark else b""
-                else:
-                    odd[w] = text
-        new = list({stem for stem, _ in stems.values() if stem not in known})
-        found = dict(zip(new, in_a_row([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
+                odd[w] = w.decode("utf-8", "surrogatepass")
+        new = {stem for stem, _ in stems.values() if stem not in known}
+        few, others = [s for s in new if s.isascii()], [s for s in new if not s.isascii()]
+        found = dict(zip(few, in_a_row([s.decode() for s in few], kept.letters), strict=True))
+        found |= zip(others, in_a_row([s.decode("utf-8", "surrogatepass") for s in others], library), strict=True)
         found |= zip(odd, one_by_one(list(odd.values())), strict=True)
-        for w, (stem, mark) in stems.items():
-            found[w] = (found.get(stem) or known[stem]) + mark
+        for w, (stem, ids) in stems.items():
+            found[w] = (found.get(stem) or known[stem]) + ids
         return found
 
     def encode(text: str | None) -> bytes:

@@ -110,6 +110,25 @@ def test_old_words_go(monkeypatch, library):
         assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["İ.", "שׁ! שׁ", "word%%% Word.%%% a.!!! Mot.... É*** a#$#$#", "word... <|endoftext|>. 's!"])
+def test_signs_behind_words(library, text):
+    """Letters that fall apart when normalised are not cut from the signs behind them."""
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        encode = packing.word_encoder(f.read())
+    assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_library_is_read_once():
+    """The next task of a worker does not parse the tokenizer again, and finds its words."""
+    with open(word_tokenizer(), encoding="utf-8") as f:
+        spec = f.read()
+    packing.word_encoder(spec)("some words")
+    first = packing._worker_store(spec)
+    library, words = first.library, first.words
+    again = packing._worker_store(spec)
+    assert again.library is library and again.words is words and b"some" in words
+
+
 def checked(spark, library, docs, capacity):
     """Pack and hold the result against the library and the rules of a packing."""
     table = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, length int").repartition(4)
