@@ -126,10 +126,12 @@ def detect_filename(
     href: Column, text: Column, max_chars: int = vocab.FILENAME_CHARS
 ) -> Column:
     """File name for a link: last URL part, else the link text, else a default."""
-    label = F.regexp_replace(
-        strip(F.coalesce(text, F.lit(""))), r"[^a-zA-Z0-9а-яА-Я._-]+", "_"
-    )
-    label = F.btrim(label, F.lit("_"))
+    # A label begins and ends with one of these signs; as many of them as the name may have
+    # are all that can show, so a long text is read no further than that.
+    kept = r"a-zA-Z0-9а-яА-Я.\-"
+    shown = rf"^[^{kept}]*+((?:[^{kept}]*+[{kept}]){{0,{max(0, max_chars)}}}+)"
+    label = F.regexp_extract(F.coalesce(text, F.lit("")), shown, 1)
+    label = F.regexp_replace(label, rf"[^{kept}_]+", "_")
     last = F.substring_index(F.substring_index(href, "/", -1), "?", 1)
     name = F.coalesce(
         F.nullif(last, F.lit("")), F.nullif(label, F.lit("")), F.lit("document")

@@ -78,6 +78,8 @@ def test_dirname_and_filename(spark):
         ("http://h/a/", "", "document"),
         ("http://h/?x/y", "", "y"),
         ("http://h/" + "q" * 200, "", "q" * 180),
+        ("http://h/", " _" * 300 + "а" + "_" * 300 + "b" + " " * 300, "а" + "_" * 179),
+        ("http://h/", "a^ _[b" + "_ " * 300, "a___b.bin"),
     ]
     got = one(
         spark, "h string, t string, e string", rows,
@@ -97,6 +99,15 @@ def test_dirname_and_filename(spark):
     assert all(y == e for y, e in got), got
 
 
+def test_filename_of_a_long_label(spark):
+    """Only as much of a label is read as a name can show."""
+    label = str(text.detect_filename(F.lit("http://h/"), F.col("t")))
+    assert "{0,180}+" in label
+    rows = [("слово " * 200_000, ("слово_" * 30))]
+    got = one(spark, "t string, e string", rows, y=text.detect_filename(F.lit("/"), F.col("t")), e=F.col("e"))
+    assert all(y == e for y, e in got), got
+
+
 def cut(value: str, size: int) -> str:
     raw = value.encode()
     if len(raw) <= size:
