@@ -158,6 +158,16 @@ def match_options(ranked: DataFrame, lots: DataFrame, limit: int = BROADCAST_BYT
     )
 
 
+def copies_of_sets(requests: DataFrame) -> DataFrame:
+    """``option_set, _copies`` of the sets that more than ``_FILES_PER_COPY`` files need.
+
+    Of these there are few, so requests find their set's copies without a shuffle by set:
+    one that half of all files need never meets them in one task.
+    """
+    copies = F.ceil(F.count(F.lit(1)) / _FILES_PER_COPY).cast("int").alias("_copies")
+    return checkpointed(requests.groupBy("option_set").agg(copies).filter("_copies > 1"))
+
+
 def run_match_scorer(
     requests: DataFrame, options: DataFrame, make_scorer: Callable[[], Scorer]
 ) -> DataFrame:
@@ -167,19 +177,18 @@ def run_match_scorer(
     once per ``_FILES_PER_COPY`` files that need it; a prompt holds the whole set, so the
     memory of a task is that of one prompt and its list.
     """
-    counted = requests.groupBy("option_set").agg(
-        F.ceil(F.count(F.lit(1)) / _FILES_PER_COPY).cast("int").alias("_copies")
-    )
-    copy = F.pmod(F.xxhash64("path"), F.col("_copies")).cast("int").alias("_copy")
-    each = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")
-    asked = requests.join(counted, "option_set").select("option_set", copy, "path", "prompt")
-    listed = options.join(counted, "option_set").select(
-        "option_set", each, "rn", "tender_id", "line"
-    )
+    requests, options = requests.filter("option_set IS NOT NULL"), options.filter("option_set IS NOT NULL")
+    many = copies_of_sets(requests)
+    copies = F.coalesce("_copies", F.lit(1))
+    copy = F.pmod(F.xxhash64("path"), copies).cast("int").alias("_copy")
+    each = F.explode(F.sequence(F.lit(0), copies - 1)).alias("_copy")
+    asked = lookup_join(requests, many, ["option_set"], "left").select("option_set", copy, "path", "prompt")
+    listed = lookup_join(options, many, ["option_set"], "left").select("option_set", each, "rn", "tender_id", "line")
     keys = ["option_set", "_copy"]
 
     def call(files: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        scorer, answers, errors = make_scorer(), [], []
+        # A set that no file needs is nothing to ask.
+        scorer, answers, errors = make_scorer() if len(files) else None, [], []
         tail = "\n".join(lines.sort_values(["rn", "tender_id"])["line"])
         for prompt in files["prompt"]:
             try:

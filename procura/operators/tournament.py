@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from procura.functions.responses import parse_matches
 from procura.operators.answers import Calls, Scorer
-from procura.operators.joins import BROADCAST_BYTES, checkpointed, lookup_join
+from procura.operators.joins import BROADCAST_BYTES, checkpointed, fits_broadcast, lookup_join
 from procura.operators.ordering import ordinal
+from procura.operators.scoring import copies_of_sets
 
 # Options that one prompt offers.
 PAGE = 100
+# Pages of a long set that meet the files of one copy in one task.
+_PAGES_PER_PART = 1000
 
 _ANSWER = "path string, option_set string, _page int, _pages int, response string, error string"
 
@@ -25,19 +28,37 @@ def _ask(
     """``path, option_set, _page, _pages, response, error``: every request to each page of its set.
 
     Where the pages fit in memory nothing is shuffled but requests to a size table; else
-    requests and pages meet by set and page, as many rows as there are calls.
+    requests and pages meet by set, so that a prompt moves once, not once per page. A set
+    that many files need has a copy for some of them, and a long one is cut to parts.
     """
     number = F.floor((F.col("_at") - 1) / page).cast("int").alias("_page")
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "line"))), lambda o: o["line"]), "\n")
     pages = checkpointed(known.groupBy("option_set", number).agg(lines.alias("_lines")))
-    counts = pages.groupBy("option_set").agg(F.count(F.lit(1)).cast("int").alias("_pages"))
-    sized = lookup_join(requests, counts, ["option_set"], "left", limit)
+    asked = ["path", "option_set", "_page", "_pages", F.concat("prompt", F.coalesce("_lines", F.lit(""))).alias("prompt")]
     # A set without options is one empty page.
-    sized = sized.withColumn("_pages", F.coalesce("_pages", F.lit(1)))
-    each = sized.withColumn("_page", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1)))
-    asked = lookup_join(each, pages, ["option_set", "_page"], "left", limit).select(
-        "path", "option_set", "_page", "_pages", F.concat("prompt", F.coalesce("_lines", F.lit(""))).alias("prompt")
-    )
+    pages_of = F.coalesce("_pages", F.lit(1)).alias("_pages")
+    if fits_broadcast(pages, limit):
+        counts = F.broadcast(pages.groupBy("option_set").agg(F.count(F.lit(1)).cast("int").alias("_pages")))
+        sized = requests.join(counts, "option_set", "left").select("path", "prompt", "option_set", pages_of)
+        each = sized.withColumn("_page", F.explode(F.sequence(F.lit(0), F.col("_pages") - 1)))
+        asked = each.join(F.broadcast(pages), ["option_set", "_page"], "left").select(*asked)
+    else:
+        # Sets with many files or many pages are few; all others are one copy and one part.
+        many = copies_of_sets(requests)
+        long = pages.groupBy("option_set").agg(F.count(F.lit(1)).cast("int").alias("_pages")).filter(F.col("_pages") > 1)
+        long = checkpointed(long)
+        copies, part = F.coalesce("_copies", F.lit(1)), F.floor(F.col("_page") / _PAGES_PER_PART).cast("int")
+        sized = lookup_join(requests, many, ["option_set"], "left", limit)
+        sized = lookup_join(sized, long, ["option_set"], "left", limit).select(
+            "path", "prompt", "option_set", pages_of, F.pmod(F.xxhash64("path"), copies).cast("int").alias("_copy")
+        )
+        last = F.floor((F.col("_pages") - 1) / _PAGES_PER_PART).cast("int")
+        sized = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+        copied = lookup_join(pages, many, ["option_set"], "left", limit).select(
+            "option_set", "_page", "_lines", part.alias("_part"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("_copy")
+        )
+        met = sized.join(copied, ["option_set", "_copy", "_part"], "left")
+        asked = met.withColumn("_page", F.coalesce("_page", F.lit(0))).select(*asked)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
