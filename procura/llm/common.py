@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procura.operators.batches import BATCH_BYTES, release_memory, small_batches
 from procura.operators.joins import checkpoint_folder
 
+__all__ = [
+    "BATCH_BYTES", "BUCKETS", "bucket", "buckets", "fold", "mix", "release_memory", "shared_table", "shingles",
+    "small_batches", "table", "word_hashes",
+]
+
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -27,29 +31,6 @@ def fold(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(folds))
 
 
-def release_memory() -> None:
-    """Give memory that earlier tasks of this Python worker freed back to the system."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
-# Bytes of texts in an Arrow batch, where the session does not say.
-BATCH_BYTES = 4 * 1024 * 1024
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, unless it has a bound of its own.
-
-    By default a batch may hold 64 MB; the executor, the pipe and the Python worker each
-    hold copies of it. A text longer than the bound is a batch by itself.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 @contextmanager
 def shared_table(df: DataFrame) -> Iterator[DataFrame]:
     """``df``, written once as Parquet to the shared folder and gone after the block.

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from procura.functions import text
+from procura.operators.batches import release_memory, small_batches
 from procura.operators.joins import checkpointed, lookup_join
 
-_BATCH_BYTES = 16 * 1024 * 1024
+# Bytes of members that are handed over at once.
+_BATCH_BYTES = 4 * 1024 * 1024
 _BATCH_ROWS = 1000
 # Folders that one task lists, and tasks of a level at most.
 _FOLDERS_PER_TASK, _LISTING_TASKS = 16, 4096
@@ -164,6 +166,13 @@ def _members(path: str, content: bytes) -> Iterator[tuple[str, str, str, int, by
 
 
 def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    try:
+        yield from _expanded(batches)
+    finally:
+        release_memory()
+
+
+def _expanded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["archive", "member", "path", "size", "content"]
     rows, held = [], 0
     for batch in batches:
@@ -188,6 +197,7 @@ def expand_archives(archives: DataFrame, done: DataFrame | None = None) -> DataF
     Unreadable archives give no rows. ``done`` (column ``archive``) names archives
     expanded earlier; they are left out before Python sees their bytes.
     """
+    small_batches(archives.sparkSession)
     pending = archives.filter(is_archive(F.col("path"))).select("path", "content")
     if done is not None:
         seen = done.select(F.col("archive").alias("path")).distinct()
@@ -208,8 +218,12 @@ def _docx_text(content: bytes | None) -> str:
 
 
 @F.pandas_udf(StringType())
-def docx_text(content: pd.Series) -> pd.Series:
-    return content.map(_docx_text)
+def docx_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for content in batches:
+            yield content.map(_docx_text)
+    finally:
+        release_memory()
 
 
 def plain_text(content: Column) -> Column:
@@ -227,6 +241,7 @@ def text_samples(files: DataFrame, max_chars: int | None = None) -> DataFrame:
     files go through Python. Other kinds give ``''``. The whole text is kept unless
     ``max_chars`` is given.
     """
+    small_batches(files.sparkSession)
     kind = F.lower(text.suffix(F.col("path")))
     # One pass over the bytes; Python gets NULL for all other kinds.
     from_docx = docx_text(F.when(kind == ".docx", F.col("content")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from procura.operators.batches import release_memory, small_batches
 from procura.operators.joins import spread
 
 HEADERS = (
@@ -163,7 +165,7 @@ def order_lots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @F.pandas_udf(BinaryType())
-def _zip(name: pd.Series, body: pd.Series) -> pd.Series:
+def _zip(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def pack(member: str, text: str) -> bytes:
         buffer = io.BytesIO()
         with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
@@ -171,11 +173,15 @@ def _zip(name: pd.Series, body: pd.Series) -> pd.Series:
             archive.writestr("readme.md", str(len(text)))
         return buffer.getvalue()
 
-    return pd.Series([pack(n, b) for n, b in zip(name, body)])
+    try:
+        for name, body in batches:
+            yield pd.Series([pack(n, b) for n, b in zip(name, body)])
+    finally:
+        release_memory()
 
 
 @F.pandas_udf(BinaryType())
-def _docx(body: pd.Series) -> pd.Series:
+def _docx(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def pack(text: str) -> bytes:
         nodes = "".join(f"<w:t>{escape(part)}</w:t>" for part in text.split("\n"))
         xml = f'<w:document xmlns:w="urn:w"><w:body>{nodes}</w:body></w:document>'
@@ -184,7 +190,11 @@ def _docx(body: pd.Series) -> pd.Series:
             archive.writestr("word/document.xml", xml)
         return buffer.getvalue()
 
-    return body.map(pack)
+    try:
+        for body in batches:
+            yield body.map(pack)
+    finally:
+        release_memory()
 
 
 def archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,6 +202,7 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 
     Every seventh archive is damaged: its bytes are plain text.
     """
+    small_batches(spark)
     docs = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
     name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     content = F.when(F.col("doc_id") % 7 == 6, F.encode("text", "UTF-8")).otherwise(
@@ -205,6 +216,7 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, content``: documents as plain, word-processor and other files."""
+    small_batches(spark)
     docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     plain = docs.filter(F.col("doc_id") % 3 != 1).select(
         F.concat(
