@@ -131,3 +131,17 @@ def test_listing_by_tasks(spark, tmp_path):
     assert inventory.listed(spark, str(root / "empty")).collect() == []
     with pytest.raises(Exception, match="not exist|No such"):
         inventory.listed(spark, str(root / "missing")).collect()
+
+
+def test_batches_of_bytes_are_bounded(spark):
+    """Files reach Python in batches bounded by bytes, not by 10,000 rows of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    files = spark.createDataFrame([("/a/x.docx", b"no file")], "path string, content binary")
+    try:
+        for job in (inventory.text_samples, inventory.expand_archives):
+            spark.conf.unset(key)
+            job(files)
+            assert int(spark.conf.get(key)) <= 4 * 1024 * 1024
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

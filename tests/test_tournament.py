@@ -102,3 +102,20 @@ def test_equal_ids_are_offered_once(spark):
     twice = options.unionByName(options)
     want = sorted(map(tuple, tournament.run_match_tournament(requests, options, maker(PAGE), PAGE).collect()))
     assert sorted(map(tuple, tournament.run_match_tournament(requests, twice, maker(PAGE), PAGE).collect())) == want
+
+
+def test_a_set_of_many_files_has_copies(spark, monkeypatch):
+    """A set that many files need is dealt out in copies; only such sets have a row for that."""
+    from procura.operators import scoring
+
+    monkeypatch.setattr(scoring, "_FILES_PER_COPY", 5)
+    rows = [(f"p{i}", f"ask {i}:", "*" if i % 2 else f"p{i}") for i in range(60)]
+    requests = spark.createDataFrame(rows, "path string, prompt string, option_set string")
+    lines = [("*", 0, f"{t}", f"all {t}") for t in range(4)] + [(f"p{i}", 1, "7", f"own {i}") for i in range(0, 60, 2)]
+    options = spark.createDataFrame([*lines, ("unasked", 1, "1", "x")], "option_set string, rn int, tender_id string, line string")
+    many = scoring.copies_of_sets(requests).collect()
+    assert [tuple(r) for r in many] == [("*", 6)]
+    answers = scoring.run_match_scorer(requests, options, lambda: lambda prompt, files: prompt).collect()
+    everyone = "\n".join(f"all {t}" for t in range(4))
+    want = {(p, q + (everyone if s == "*" else f"own {p[1:]}"), None) for p, q, s in rows}
+    assert len(answers) == 60 and {tuple(r) for r in answers} == want
