@@ -58,6 +58,35 @@ def test_links(spark, monkeypatch, block):
     assert sorted((str(a), b, str(c), d) for a, b, c, d in got.collect()) == links(rows)
 
 
+@pytest.mark.parametrize(("blocks", "size", "tasks"), [(1, 1 << 20, 100), (2, 1 << 20, 100), (32, 400, 40)])
+def test_links_of_grown_blocks(spark, monkeypatch, blocks, size, tasks):
+    """Blocks of more rows than are multiplied at once, several in a partition, several tiles in a task."""
+    for name, value in (("BLOCK", 20), ("STRIP", 16), ("BLOCKS", blocks), ("BLOCK_BYTES", size), ("MOST_TASKS", tasks)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = [*enumerate(vectors()), *ODD, (7, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((str(a), b, str(c), d) for a, b, c, d in embedding_dedup.near_duplicates(df).collect()) == links(rows)
+
+
+def test_vectors_are_not_copied_for_each_block(spark, monkeypatch):
+    """640 vectors of 512 bytes in 16 blocks: a copy for each block would be 5 MB of shuffle files."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {f.getName(): f.length() for f in (found.apply(i) for i in range(found.size()))}
+
+    held, write = [], embedding_dedup.checkpointed
+    # While a plan is held, its shuffle files stay.
+    monkeypatch.setattr(embedding_dedup, "checkpointed", lambda df: held.append(df) or write(df))
+    rows = [(i, list(map(float, v))) for i, v in enumerate(np.random.default_rng(4).normal(size=(640, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = files()
+    assert embedding_dedup.near_duplicates(df).count() == 640
+    assert held and sum(n for name, n in files().items() if name not in before) < 3_000_000
+
+
 def test_quantisation_bound():
     x = embedding_dedup.unit(np.random.default_rng(3).normal(size=(300, 64)))
     q, scale, error = embedding_dedup.quantised(x)
