@@ -358,15 +358,17 @@ def choose_by_response(
     min_confidence: int = vocab.MIN_CONFIDENCE,
     accept: int = vocab.ACCEPT_SCORE,
     limit: int = BROADCAST_BYTES,
+    written: bool = False,
 ) -> DataFrame:
     """``path, tender_id, score`` from model answers.
 
     ``responses`` has ``path, response, error``. An answer is accepted when it is
     not NONE, is confident enough and names a candidate of its file; a file without
     ranked candidates may name any tender, which then scores ``accept``. Answers that
-    cannot be read fall back to the margin test.
+    cannot be read fall back to the margin test. ``ranked`` is read three times, and written
+    for that unless it is ``written`` already.
     """
-    ranked = checkpointed(ranked)
+    ranked = ranked if written else checkpointed(ranked)
     parsed = checkpointed(
         parse_matches(responses).select("path", "valid", "chosen", "confidence")
     )

@@ -364,7 +364,7 @@ def match_paged(spark: SparkSession, folder: str) -> DataFrame:
     requests = scoring.match_requests(listed, ranked)
     options = scoring.match_options(ranked, everyone)
     answers = tournament.run_match_tournament(requests, options, longest_option, page=20)
-    return matching.choose_by_response(answers, ranked, everyone)
+    return matching.choose_by_response(answers, ranked, everyone, written=True)
 
 
 def _match_answers(ranked: DataFrame) -> DataFrame:

@@ -119,3 +119,26 @@ def test_a_set_of_many_files_has_copies(spark, monkeypatch):
     everyone = "\n".join(f"all {t}" for t in range(4))
     want = {(p, q + (everyone if s == "*" else f"own {p[1:]}"), None) for p, q, s in rows}
     assert len(answers) == 60 and {tuple(r) for r in answers} == want
+
+
+def test_lines_are_written_once(spark, monkeypatch):
+    """Sets name lines of a megabyte in all; no table that is written repeats them."""
+    from procura.operators.joins import size_expr
+
+    sizes, write = [], tournament.checkpointed
+
+    def measured(df):
+        out = write(df)
+        sizes.append(out.agg(size_expr(out)).first()[0])
+        return out
+
+    monkeypatch.setattr(tournament, "checkpointed", measured)
+    requests = spark.createDataFrame([(f"p{i}", f"ask {i}:", f"p{i}") for i in range(100)], "path string, prompt string, option_set string")
+    text = {t: str(t) * 2000 for t in range(8)}
+    rows = [(f"p{i}", k, f"{(i + k) % 8}", text[(i + k) % 8]) for i in range(100) for k in range(5)]
+    options = spark.createDataFrame(rows, "option_set string, rn int, tender_id string, line string")
+    answers = tournament.run_match_tournament(requests, options, lambda: lambda prompt, files: prompt, 5).collect()
+    want = {(f"p{i}", f"ask {i}:" + "\n".join(text[(i + k) % 8] for k in range(5)), None) for i in range(100)}
+    assert {tuple(r) for r in answers} == want
+    # The answers here are whole prompts; nothing else comes near.
+    assert sorted(sizes)[-2] < 100_000
